@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.llm.bpe import token_ids
+from tideline.llm.mixing import Mix, mix_sources
 from tideline.llm.pairs import pair_counts
 from tideline.llm.topn import top_n
 from tideline.operators.events import typed_events
@@ -37,7 +39,41 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return p5_top(spark, folder).select("sample_id", "aid")
 
 
-QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p5_found": p5_found, "p5_top": p5_top}
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document under byte_bpe_50k."""
+    return token_ids(read_table(spark, folder, "documents"), "doc_id")
+
+
+def _mix(spark: SparkSession, folder: str) -> Mix:
+    return mix_sources(read_table(spark, folder, "documents"), read_table(spark, folder, "mixture_targets"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources that can't fill their share: the mix holds them as often as allowed, and that is too little."""
+    shares = _mix(spark, folder).shares
+    return shares.filter((F.col("capacity_tokens") < F.col("wanted_tokens")) & (F.col("used_tokens") >= F.col("capacity_tokens"))).select("source")
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The mixed documents by output shard."""
+    return _mix(spark, folder).rows
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Wanted and reached shares of the sources."""
+    return _mix(spark, folder).shares
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p2_pairs": p2_pairs,
+    "p5_found": p5_found,
+    "p5_top": p5_top,
+    "p6_ids": p6_ids,
+    "p7_found": p7_found,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
+}
 
 _PAIRS = f"""WITH {COUNTED_SQL}, held AS (SELECT DISTINCT session, aid FROM counted WHERE session IS NOT NULL),
 total AS (SELECT count(DISTINCT session)::DOUBLE AS s FROM held), single AS (SELECT aid, count(*)::DOUBLE AS n FROM held GROUP BY aid),
