@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm.bpe import token_ids
 from tideline.llm.mixing import Mix, mix_sources
+from tideline.llm.neighbours import nearest, valid_vectors
 from tideline.llm.pairs import pair_counts
 from tideline.llm.topn import top_n
 from tideline.operators.events import typed_events
@@ -29,6 +30,22 @@ def p2_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("item_a").alias("aid_a"), F.col("item_b").alias("aid_b"), "n_ab", F.round("lift", 6).alias("lift"), F.round("log_odds", 6).alias("log_odds"))
 
 
+def _vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return valid_vectors(read_table(spark, folder, "item2vec_embeddings"), "item_ids", "vectors", "epoch", 64)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of items with a cosine of 0.94 or more."""
+    near = nearest(_vectors(spark, folder), 10, probes=3, gap=0.2, least=0.94)
+    return near.select(F.least("item", "neighbour").alias("item_id_a"), F.greatest("item", "neighbour").alias("item_id_b")).distinct()
+
+
+def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten most similar items of every item."""
+    near = nearest(_vectors(spark, folder), 10, probes=6, ef=32)
+    return near.select(F.col("item").alias("item_id"), F.col("neighbour").alias("neighbour_id"), F.round("similarity", 6).alias("similarity"))
+
+
 def p5_top(spark: SparkSession, folder: str) -> DataFrame:
     """The ten best items of every sample with score and rank."""
     return top_n(read_table(spark, folder, "candidate_features"), "sample_id", "aid", "final_score", 10)
@@ -67,6 +84,8 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_pairs": p2_pairs,
+    "p3_found": p3_found,
+    "p3_neighbours": p3_neighbours,
     "p5_found": p5_found,
     "p5_top": p5_top,
     "p6_ids": p6_ids,
