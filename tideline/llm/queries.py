@@ -9,6 +9,7 @@ from tideline.llm.bpe import token_ids
 from tideline.llm.mixing import Mix, mix_sources
 from tideline.llm.neighbours import nearest, valid_vectors
 from tideline.llm.pairs import pair_counts
+from tideline.llm.subjects import assign_subjects, fit_subjects
 from tideline.llm.topn import top_n
 from tideline.operators.events import typed_events
 from tideline.plans.training import COUNTED_SQL
@@ -81,6 +82,23 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder).shares
 
 
+def p8_subjects(spark: SparkSession, folder: str) -> DataFrame:
+    """Subjects of every document with the sentences about them."""
+    documents = read_table(spark, folder, "documents")
+    known = fit_subjects(documents, read_table(spark, folder, "subject_examples"))
+    return assign_subjects(documents, known)
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and the subjects that a quarter or more of their sentences are about."""
+    return p8_subjects(spark, folder).select("doc_id", "subject")
+
+
+def p8_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """Make-up of the corpus: documents and sentences by subject."""
+    return p8_subjects(spark, folder).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.sum("about").alias("sentences"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_pairs": p2_pairs,
@@ -92,6 +110,9 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_subjects": p8_subjects,
+    "p8_corpus": p8_corpus,
 }
 
 _PAIRS = f"""WITH {COUNTED_SQL}, held AS (SELECT DISTINCT session, aid FROM counted WHERE session IS NOT NULL),
