@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Nodes that are linked by their exact similarities before the graph is searched, and nodes inserted at a time after that.
-FIRST, BATCH = 1024, 1024
+FIRST, BATCH = 1024, 512
 #: Links a node may have beyond its limit before its list is cut back.
 SLACK = 8
 
@@ -68,7 +68,7 @@ class Hnsw:
 
     def _diverse(self, ids: np.ndarray, near: np.ndarray, m: int) -> np.ndarray:
         """Up to ``m`` of the candidates, best first: those nearer to their node than to any chosen before; then the rest by similarity."""
-        order = np.argsort(-near, axis=1, kind="stable")
+        order = np.argsort(-near, axis=1, kind="stable")[:, : m + m // 2 + 6]
         ids, near = np.take_along_axis(ids, order, axis=1), np.take_along_axis(near, order, axis=1)
         x = self.x[np.maximum(ids, 0)]
         mutual = x @ x.transpose(0, 2, 1)
@@ -174,7 +174,7 @@ class Hnsw:
             best = np.argsort(-all_near, axis=1, kind="stable")[:, :ef]
             ids, near, open_ = np.take_along_axis(all_ids, best, axis=1), np.take_along_axis(all_near, best, axis=1), np.take_along_axis(all_open, best, axis=1)
 
-    def search(self, queries: np.ndarray, k: int, ef: int, batch: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, queries: np.ndarray, k: int, ef: int, batch: int = 256) -> tuple[np.ndarray, np.ndarray]:
         """Positions (in the given vectors; -1: none) and similarities of the ``k`` nearest found."""
         out_ids, out_near = [], []
         for i in range(0, len(queries), batch):
@@ -184,7 +184,7 @@ class Hnsw:
             out_near.append(near[:, :k])
         return self._given(np.concatenate(out_ids)), np.concatenate(out_near)
 
-    def search_own(self, k: int, ef: int, batch: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    def search_own(self, k: int, ef: int, batch: int = 256) -> tuple[np.ndarray, np.ndarray]:
         """As :meth:`search`, for the graph's own vectors in the given order; each starts at its own node and isn't its own neighbour."""
         n = self.sizes[0]
         ids, near = np.full((n, k), -1, dtype=np.int64), np.full((n, k), -np.inf, dtype=np.float32)

@@ -100,7 +100,7 @@ def _search(k: int, m: int, build_width: int, ef: int, least: float, width: int)
     return kernel
 
 
-def nearest(vectors: DataFrame, k: int, item: str = "item", vector: str = "vector", width: int = 64, shard_rows: int = 24_000, probes: int = 4, gap: float = 2.0, m: int = 12, build_width: int = 24, ef: int = 16, least: float = -1.0, sample_rows: int = 40_000, seed: int = 5) -> DataFrame:
+def nearest(vectors: DataFrame, k: int, item: str = "item", vector: str = "vector", width: int = 64, shard_rows: int = 12_000, probes: int = 4, gap: float = 2.0, m: int = 12, build_width: int = 24, ef: int = 16, least: float = -1.0, sample_rows: int = 40_000, seed: int = 5) -> DataFrame:
     """``item, neighbour, similarity``: about the ``k`` most similar other vectors of every vector by cosine, as found by HNSW.
 
     ``vectors`` has one row per item (bigint), each vector ``width`` finite numbers that aren't all zero (see
@@ -139,7 +139,8 @@ def nearest(vectors: DataFrame, k: int, item: str = "item", vector: str = "vecto
         centres = np.concatenate([np.delete(centres, list(large) if finer else [], axis=0), *finer])
     spread_rows = spread(rows, "item")
     routed = spread_rows.mapInArrow(_route(shared, splits, probes, gap, width), "shard long, own boolean, item long, raw binary")
-    found = routed.groupBy("shard").applyInPandas(_search(k, m, build_width, ef, least, width), result)
+    shards = len(centres) + sum(splits.values())
+    found = routed.repartition(4 * shards, "shard").groupBy("shard").applyInPandas(_search(k, m, build_width, ef, least, width), result)
     best = Window.partitionBy("item").orderBy(F.desc("similarity"), "neighbour")
     return found.withColumn("__r", F.row_number().over(best)).filter(F.col("__r") <= k).drop("__r")
 

@@ -37,13 +37,13 @@ def _vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of items with a cosine of 0.94 or more."""
-    near = nearest(_vectors(spark, folder), 10, probes=3, gap=0.2, least=0.94)
+    near = nearest(_vectors(spark, folder), 10, probes=3, gap=0.2, m=10, build_width=20, ef=12, least=0.94)
     return near.select(F.least("item", "neighbour").alias("item_id_a"), F.greatest("item", "neighbour").alias("item_id_b")).distinct()
 
 
 def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The ten most similar items of every item."""
-    near = nearest(_vectors(spark, folder), 10, probes=6, ef=32)
+    near = nearest(_vectors(spark, folder), 10, probes=10, ef=24)
     return near.select(F.col("item").alias("item_id"), F.col("neighbour").alias("neighbour_id"), F.round("similarity", 6).alias("similarity"))
 
 
