@@ -156,6 +156,7 @@ class Knowledge:
 
     subjects: list[str]
     lexicon: dict[str, np.ndarray]
+    seeds: dict[str, np.ndarray] = field(default_factory=dict)
     frames: dict[int, int] = field(default_factory=dict)
     follows: set[int] = field(default_factory=set)
     recurrent: set[int] = field(default_factory=set)
@@ -291,15 +292,19 @@ def _learn(rows: DataFrame, know: Knowledge, text_at: int, documents: int, purit
     found = sums.toPandas()
     table = found[[f"x{i}" for i in range(2 * k + 2)]].to_numpy()
     base = {row["name"]: table[i] for i, row in found[found.kind == 2].iterrows()}
-    lexicon, frames, follows, recurrent = {}, {}, set(), set()
+    tested = set(found.name[found.kind == 0])
+    lexicon = {w: x for w, x in know.seeds.items() if w not in tested}  # seeds that the corpus says too little about stay
+    frames, follows, recurrent = {}, set(), set()
+    empty = np.zeros(2 * k + 2)
+    base = {name: base.get(name, empty) for name in "wf"} if base else base
     if base:
         around_base = base["w"][1 : k + 1] / max(1.0, base["w"][0]) + 1e-6
         word_base = (base["w"][1 : k + 1] + base["w"][k + 2 :]) / max(1.0, base["w"][0]) + 1e-6
-        frame_base = base["f"][1 : k + 1] / base["f"][0] + 1e-6
-        usual_follow = base["f"][k + 1] / base["f"][0]
+        frame_base = base["f"][1 : k + 1] / max(1.0, base["f"][0]) + 1e-6
+        usual_follow = base["f"][k + 1] / max(1.0, base["f"][0])
         for kind, key, name, row in zip(found.kind, found.key, found.name, table, strict=True):
             n, seen = row[0], row[1 : k + 1]
-            if kind == 0:
+            if kind == 0 and name not in lexicon:
                 around = (seen + around_base) / (n + 1) / around_base
                 share = (seen + row[k + 2 :] + 2 * word_base) / (n + 2)
                 pure = share / word_base / (share / word_base).sum()
@@ -320,7 +325,7 @@ def _learn(rows: DataFrame, know: Knowledge, text_at: int, documents: int, purit
                         follows.add(int(key))
                     else:
                         frames[int(key)] = NONE
-    return Knowledge(know.subjects, lexicon if words else know.lexicon, frames, follows, recurrent, know.sources, least=know.least, margin=know.margin)
+    return Knowledge(know.subjects, lexicon if words else know.lexicon, know.seeds, frames, follows, recurrent, know.sources, least=know.least, margin=know.margin)
 
 
 def _patterns(shared, text_at: int, source_at: int):
@@ -400,7 +405,9 @@ def fit_subjects(documents: DataFrame, examples: DataFrame, key: str = "doc_id",
     spark = documents.sparkSession
     labelled = [(r.s, r.t) for r in examples.select(F.lower(F.btrim("subject", F.lit(" \t\r\n"))).alias("s"), F.col("text").alias("t")).dropna().collect()]
     subjects = sorted({s for s, _ in labelled})
-    know = Knowledge(subjects, seed_lexicon(labelled, subjects))
+    seeds = seed_lexicon(labelled, subjects)
+    chance = math.log(max(2, len(subjects)))  # a word that only one of the subjects uses weighs about this
+    know = Knowledge(subjects, seeds, seeds, least=0.5 * chance, margin=0.2 * chance)
     rows = spread(documents.select(key, text, source), key)
     total = documents.count()
     if not subjects:
