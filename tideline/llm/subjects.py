@@ -180,17 +180,17 @@ class Knowledge:
 
     def votes(self, batch: _Batch, sources: list[str | None]) -> np.ndarray:
         """``[sentences, functions]``."""
-        lexicon, _, _ = self.lexicon_votes(batch)
+        lexicon, sums, _ = self.lexicon_votes(batch)
         frame = self.frame_votes(batch)
         n = len(lexicon)
         base = np.where(frame != ABSTAIN, frame, lexicon)
-        before, after = np.full(n, ABSTAIN), np.full(n, ABSTAIN)
-        if n > 1:
-            before[1:] = np.where(batch.first[1:], ABSTAIN, base[:-1])
-            after[:-1] = np.where(batch.first[1:], ABSTAIN, base[1:])
-        unclear = (lexicon == ABSTAIN) & (frame == ABSTAIN)  # sentences whose own words don't tell
-        section = np.where((before >= 0) & ((before == after) | (after == ABSTAIN)), before, np.where((after >= 0) & (before == ABSTAIN), after, ABSTAIN))
-        section = np.where(unclear, section, ABSTAIN)
+        section = np.full(n, ABSTAIN)
+        unclear = np.flatnonzero((lexicon == ABSTAIN) & (frame == ABSTAIN))  # words that several subjects share
+        if len(unclear):
+            hot = np.zeros((n, len(self.subjects)))
+            hot[base >= 0, base[base >= 0]] = 1
+            around = _gather(batch.doc, hot, batch.docs)[batch.doc[unclear]] * (sums[unclear] >= 0.5 * self.least)
+            section[unclear] = np.where(around.max(axis=1) > 0, around.argmax(axis=1), ABSTAIN)
         zero = np.zeros(len(self.subjects))
         by_doc = np.full((batch.docs, 2), ABSTAIN)
         for d, words in enumerate(batch.addresses):
@@ -283,9 +283,9 @@ def _associate(shared, text_at: int):
 def _learn(rows: DataFrame, know: Knowledge, text_at: int, documents: int, purity: float, lift: float, words: bool) -> Knowledge:
     """One round: words and frames that go with a subject more than by chance, and frames that go with none."""
     k, spark = len(know.subjects), rows.sparkSession
-    shared = spark.sparkContext.broadcast(know)
+    known = spark.sparkContext.broadcast(know)
     schema = "kind int, key long, name string, " + ", ".join(f"x{i} double" for i in range(2 * k + 2))
-    partial = rows.mapInArrow(_associate(shared, text_at), schema)
+    partial = rows.mapInArrow(_associate(known, text_at), schema)
     least_word, least_frame = max(3, math.ceil(5e-5 * documents)), max(8, math.ceil(1e-4 * documents))
     sums = partial.groupBy("kind", "key").agg(F.first("name", ignorenulls=True).alias("name"), *(F.sum(f"x{i}").alias(f"x{i}") for i in range(2 * k + 2)))
     sums = sums.filter((F.col("kind") == 2) | ((F.col("kind") == 0) & (F.col("x0") >= least_word)) | ((F.col("kind") == 1) & (F.col("x0") >= least_frame)))
@@ -310,7 +310,8 @@ def _learn(rows: DataFrame, know: Knowledge, text_at: int, documents: int, purit
                 pure = share / word_base / (share / word_base).sum()
                 best = int(pure.argmax())
                 ratio = share[best] / word_base[best]
-                if ratio >= lift and pure[best] >= purity and around[best] >= 1.5:
+                shared = k > 2 and np.sort(pure)[-2:].sum() >= 1.4 * purity  # mostly with two subjects
+                if ratio >= lift and (pure[best] >= purity or shared) and around[best] >= 1.5:
                     lexicon[name] = np.where(pure >= 0.25, np.log(np.maximum(share / word_base, 1e-9)), 0.0).clip(0.0, 3.0)
             elif kind == 1:
                 recurrent.add(int(key))
