@@ -25,6 +25,7 @@ _DATA = re.compile(r"\{[^{}]*\}|#\w+")
 _END = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+|(?<=。)\s*|\n+")
 _STOP = re.compile("([。！？])")
 _NUMBER = re.compile(r"\d+")
+_TOKEN = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*|#")
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _CLOSED = re.compile(r"[.!?…。:;][\"'”’)\]]*$")
@@ -54,11 +55,11 @@ def words_of(sentence: str) -> list[str]:
     return out
 
 
-def sentences_of(text: str | None) -> tuple[list[str], list[str]]:
+def sentences_of(text: str | None, openings: frozenset[str] | set[str] = frozenset()) -> tuple[list[str], list[str]]:
     """Sentences of a text (digits as ``#``, lower case) and the words of its addresses. Null, empty and blank texts have none.
 
     Addresses, data fragments, and pieces of fewer than two words, count as no sentence; nor does an unfinished piece after
-    finished ones.
+    finished ones. A text without any sentence end, as from a transcript, is cut before pairs of words that are ``openings``.
     """
     if not text:
         return [], []
@@ -78,9 +79,25 @@ def sentences_of(text: str | None) -> tuple[list[str], list[str]]:
         if found and not _CLOSED.search(piece):
             continue
         found.append(_NUMBER.sub("#", piece.lower()))
+    if openings and len(found) == 1 and not _CLOSED.search(found[0]):
+        found = _cut(found[0], openings)
     return found, addresses
 
 
+def _cut(text: str, openings: frozenset[str] | set[str], least: int = 3) -> list[str]:
+    words = text.split(" ")
+    starts = [0]
+    for i in range(least, len(words) - 1):
+        if i - starts[-1] >= least and len(words) - i >= least and f"{words[i]} {words[i + 1]}" in openings:
+            starts.append(i)
+    return [" ".join(words[a:b]) for a, b in zip(starts, [*starts[1:], len(words)], strict=True)]
+
+
+def tokens_of(sentence: str) -> list[str]:
+    """Words and numbers of a sentence without its punctuation, which is what a frame is known by."""
+    return _TOKEN.findall(sentence)
+
+
 def _hash(text: str) -> int:
     import xxhash
 
@@ -90,21 +107,25 @@ def _hash(text: str) -> int:
 class _Reader:
     """Splits documents into numbered sentences and words; remembers sentences it has met."""
 
-    def __init__(self) -> None:
+    def __init__(self, openings: set[str] | None = None) -> None:
         self.known: dict[str, tuple[int, list[str]]] = {}
+        self.openings = openings or set()
+        self.texts: dict[int, str] = {}
 
     def read(self, texts: list[str | None]) -> _Batch:
         if len(self.known) > 200_000:
             self.known.clear()
+        self.texts = {}
         vocabulary: dict[str, int] = {}
         b = _Batch()
         for d, text in enumerate(texts):
-            found, addresses = sentences_of(text)
+            found, addresses = sentences_of(text, self.openings)
             b.addresses.append(addresses)
             for sentence in found:
                 known = self.known.get(sentence)
                 if known is None:
-                    known = self.known[sentence] = (_hash(sentence), list(dict.fromkeys(words_of(sentence))))
+                    known = self.known[sentence] = (_hash(" ".join(tokens_of(sentence))), list(dict.fromkeys(words_of(sentence))))
+                self.texts.setdefault(known[0], sentence)
                 b.doc.append(d)
                 b.frame.append(known[0])
                 b.words += [vocabulary.setdefault(w, len(vocabulary)) for w in known[1]]
@@ -160,6 +181,7 @@ class Knowledge:
     frames: dict[int, int] = field(default_factory=dict)
     follows: set[int] = field(default_factory=set)
     recurrent: set[int] = field(default_factory=set)
+    openings: set[str] = field(default_factory=set)
     sources: dict[str, int] = field(default_factory=dict)
     log_vote: np.ndarray | None = None
     log_prior: np.ndarray | None = None
@@ -231,11 +253,11 @@ def seed_lexicon(examples: list[tuple[str, str]], subjects: list[str], least_cou
     return out
 
 
-def _associate(shared, text_at: int):
+def _associate(shared, text_at: int, openings: bool):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per word and frame: its sentences, and how the rest of the sentence and of the document votes; summed per batch."""
         know: Knowledge = shared.value
-        k, reader = len(know.subjects), _Reader()
+        k, reader = len(know.subjects), _Reader(know.openings)
         for batch in batches:
             b = reader.read(batch.column(text_at).to_pylist())
             if not len(b.doc):
@@ -266,6 +288,20 @@ def _associate(shared, text_at: int):
             keys += unique.tolist()
             kinds += [1] * len(unique)
             names += [None] * len(unique)
+            if openings:  # pairs of words that begin sentences, and how often they stand anywhere
+                begins, anywhere = {}, {}
+                for f, times in zip(unique.tolist(), n.tolist(), strict=True):
+                    words = tokens_of(reader.texts[f])
+                    for i, pair in enumerate(map(" ".join, zip(words, words[1:], strict=False))):
+                        anywhere[pair] = anywhere.get(pair, 0) + times
+                        if i == 0:
+                            begins[pair] = begins.get(pair, 0) + times
+                rows = np.zeros((len(begins), 2 * k + 2))
+                rows[:, 0], rows[:, 1] = list(begins.values()), [anywhere[p] for p in begins]
+                numbers.append(rows)
+                keys += [_hash(p) for p in begins]
+                kinds += [3] * len(begins)
+                names += list(begins)
             # one row for the whole batch: the base rates
             totals = np.concatenate(([len(s)], others[s].sum(axis=0), [0.0], same.sum(axis=0)))
             overall = np.concatenate(([len(label)], others.sum(axis=0), [after.sum()], np.zeros(k)))
@@ -285,12 +321,13 @@ def _learn(rows: DataFrame, know: Knowledge, text_at: int, documents: int, purit
     k, spark = len(know.subjects), rows.sparkSession
     known = spark.sparkContext.broadcast(know)
     schema = "kind int, key long, name string, " + ", ".join(f"x{i} double" for i in range(2 * k + 2))
-    partial = rows.mapInArrow(_associate(known, text_at), schema)
+    partial = rows.mapInArrow(_associate(known, text_at, openings=not words), schema)
     least_word, least_frame = max(3, math.ceil(5e-5 * documents)), max(8, math.ceil(1e-4 * documents))
     sums = partial.groupBy("kind", "key").agg(F.first("name", ignorenulls=True).alias("name"), *(F.sum(f"x{i}").alias(f"x{i}") for i in range(2 * k + 2)))
-    sums = sums.filter((F.col("kind") == 2) | ((F.col("kind") == 0) & (F.col("x0") >= least_word)) | ((F.col("kind") == 1) & (F.col("x0") >= least_frame)))
+    sums = sums.filter((F.col("kind") == 2) | ((F.col("kind") == 0) & (F.col("x0") >= least_word)) | (F.col("kind").isin(1, 3) & (F.col("x0") >= least_frame)))
     found = sums.toPandas()
     table = found[[f"x{i}" for i in range(2 * k + 2)]].to_numpy()
+    openings = know.openings if words else {name for kind, name, row in zip(found.kind, found.name, table, strict=True) if kind == 3 and row[0] >= 0.7 * row[1]}
     base = {row["name"]: table[i] for i, row in found[found.kind == 2].iterrows()}
     tested = set(found.name[found.kind == 0])
     lexicon = {w: x for w, x in know.seeds.items() if w not in tested}  # seeds that the corpus says too little about stay
@@ -311,7 +348,8 @@ def _learn(rows: DataFrame, know: Knowledge, text_at: int, documents: int, purit
                 best = int(pure.argmax())
                 ratio = share[best] / word_base[best]
                 shared = k > 2 and np.sort(pure)[-2:].sum() >= 1.4 * purity  # mostly with two subjects
-                if ratio >= lift and (pure[best] >= purity or shared) and around[best] >= 1.5:
+                sure = seen[best] - n * around_base[best] >= 2.5 * math.sqrt(n * around_base[best])  # beyond chance in the documents around
+                if ratio >= lift and (pure[best] >= purity or shared) and around[best] >= 2 and sure:
                     lexicon[name] = np.where(pure >= 0.25, np.log(np.maximum(share / word_base, 1e-9)), 0.0).clip(0.0, 3.0)
             elif kind == 1:
                 recurrent.add(int(key))
@@ -326,13 +364,13 @@ def _learn(rows: DataFrame, know: Knowledge, text_at: int, documents: int, purit
                         follows.add(int(key))
                     else:
                         frames[int(key)] = NONE
-    return Knowledge(know.subjects, lexicon if words else know.lexicon, know.seeds, frames, follows, recurrent, know.sources, least=know.least, margin=know.margin)
+    return Knowledge(know.subjects, lexicon if words else know.lexicon, know.seeds, frames, follows, recurrent, openings, know.sources, least=know.least, margin=know.margin)
 
 
 def _patterns(shared, text_at: int, source_at: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         know: Knowledge = shared.value
-        reader, width = _Reader(), len(know.subjects) + 2
+        reader, width = _Reader(know.openings), len(know.subjects) + 2
         for batch in batches:
             b = reader.read(batch.column(text_at).to_pylist())
             sources = batch.column(source_at).to_pylist()
@@ -432,7 +470,7 @@ def fit_subjects(documents: DataFrame, examples: DataFrame, key: str = "doc_id",
 def _source_votes(shared):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         know: Knowledge = shared.value
-        reader = _Reader()
+        reader = _Reader(know.openings)
         for batch in batches:
             b = reader.read(batch.column(1).to_pylist())
             names = [None if x is None else x.strip().lower() for x in batch.column(2).to_pylist()]
@@ -449,7 +487,7 @@ def _source_votes(shared):
 def _assign(shared, share: float):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         know: Knowledge = shared.value
-        reader, k = _Reader(), len(know.subjects)
+        reader, k = _Reader(know.openings), len(know.subjects)
         for batch in batches:
             b = reader.read(batch.column(1).to_pylist())
             p = know.posterior(know.votes(b, batch.column(2).to_pylist())) if len(b.doc) else np.zeros((0, k + 1))
