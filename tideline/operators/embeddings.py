@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators.sessions import number_rows
 from tideline.operators.vectors import unit
 from tideline.session import settle
 
@@ -78,7 +79,7 @@ def svd(triplets: DataFrame, row: str, column: str, value: str, dimensions: int)
     from pyspark.mllib.linalg import Vectors
     from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 
-    index = settle(triplets.select(column).distinct().withColumn("__c", F.row_number().over(Window.orderBy(column)) - 1))
+    index = number_rows(triplets.select(column).distinct(), "__c", column)
     width = index.count()
     rows = triplets.join(index, column).groupBy(F.col(row).cast("long").alias("r")).agg(F.array_sort(F.collect_list(F.struct(F.col("__c").alias("c"), F.col(value).cast("double").alias("v")))).alias("x"))
     k = max(1, min(dimensions, width - 1))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators.sessions import number_rows
+
 ACTION_WEIGHTS = {"clicks": 0.1, "carts": 0.3, "orders": 0.6}
 
 
@@ -131,11 +133,10 @@ def single_positive_auc(scored: DataFrame, key: str = "sample_id", score: str =
 def popularity_ranks(samples: DataFrame, events: DataFrame, exclude_seen: bool = True) -> DataFrame:
     """``sample_id, rank`` of the target in the list of all items by popularity; items of the history don't count, the target does.
 
-    The rank is the target's place less the seen items before it, so no list is built per sample.
+    The rank is the target's place less the seen items before it, so no list is built per sample. Runs jobs (the numbering).
     """
     counts = events.groupBy("item").agg(F.count(F.lit(1)).alias("__n"))
-    place = counts.withColumn("__place", F.row_number().over(Window.orderBy(F.desc("__n"), "item")))
-    places = place.select("item", "__place")
+    places = number_rows(counts, "__place", F.desc("__n"), F.col("item")).select("item", (F.col("__place") + 1).alias("__place"))
     rows = samples.join(places.select(F.col("item").alias("target"), F.col("__place").alias("__t")), "target", "left")
     if not exclude_seen:
         return rows.select("sample_id", F.col("__t").cast("long").alias("rank"))

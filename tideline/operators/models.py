@@ -158,11 +158,12 @@ def static_fusion(probabilities: list[str], raw: list[float]) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
-def causal_mask(batch: DataFrame) -> DataFrame:
-    """``row, column, allowed`` of a batch (``row, aid, ts``): another row's target may serve as a negative if it is known by then and isn't the own item."""
-    a, b = batch.select("row", "aid", "ts"), batch.select(F.col("row").alias("column"), F.col("aid").alias("__aid"), F.col("ts").alias("__ts"))
+def causal_mask(rows: DataFrame, batch: str = "batch") -> DataFrame:
+    """``batch, row, column, allowed`` for rows (``batch, row, aid, ts``) of the same batch: another row's target may serve as a negative
+    if it is known by then and isn't the own item. Batches are as large as a training step."""
+    a, b = rows.select(batch, "row", "aid", "ts"), rows.select(batch, F.col("row").alias("column"), F.col("aid").alias("__aid"), F.col("ts").alias("__ts"))
     allowed = (F.col("row") == F.col("column")) | ((F.col("__ts") <= F.col("ts")) & (F.col("__aid") != F.col("aid")))
-    return a.join(F.broadcast(b)).select("row", "column", allowed.alias("allowed"))
+    return a.join(b, batch).select(batch, "row", "column", allowed.alias("allowed"))
 
 
 def train_towers(samples: DataFrame, items: DataFrame, dims: int = 16, epochs: int = 3, rate: float = 0.5, batch: int = 128, seed: int = 7, max_items: int = 2_000_000) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.operators.sessions import TYPE_IDS, _at_positions
+from tideline.operators.sessions import TYPE_IDS, _at_positions, number_rows
 
 
 def type_id(column: str = "type") -> Column:
@@ -78,9 +78,8 @@ def feedback_sequences(events: DataFrame, max_length: int | None = None, min_pos
 
 
 def interaction_sequences(events: DataFrame, min_length: int = 1, max_length: int | None = None, order: str = "event_order") -> DataFrame:
-    """``user_id, items`` with items replaced by their dense rank from 0; users with fewer than ``min_length`` events go."""
-    ids = events.select("item_id").distinct()
-    ids = ids.withColumn("__index", F.row_number().over(Window.orderBy("item_id")) - 1)
+    """``user_id, items`` with items replaced by their dense rank from 0; users with fewer than ``min_length`` events go. Runs jobs."""
+    ids = number_rows(events.select("item_id").distinct(), "__index", "item_id")
     rows = feedback_sequences(events.join(ids, "item_id").withColumns({"item_id": F.col("__index").cast("long"), "is_positive": F.lit(1)}), max_length, 0, order)
     return rows.filter(F.size("items") >= min_length).select("user_id", "items")
 

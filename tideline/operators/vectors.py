@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators.sessions import number_rows
+
 
 def dot(a: Column | str, b: Column | str) -> Column:
     """Inner product of two arrays of numbers, in double precision."""
@@ -93,7 +95,7 @@ def session_vectors(samples: DataFrame, vectors: DataFrame, last: int = 5) -> Da
 
 def sampled_auc(samples: DataFrame, vectors: DataFrame, negatives: int = 100, seed: int = 7) -> DataFrame:
     """One row: share of hash-drawn items that score less than the target by the session's vector, over pairs and as a mean over sessions."""
-    ids = vectors.select("item_id").withColumn("__i", F.row_number().over(Window.orderBy("item_id")) - 1)
+    ids = number_rows(vectors.select("item_id"), "__i", "item_id")
     n = vectors.count()
     user = session_vectors(samples, vectors).withColumnRenamed("vector", "u")
     rows = samples.select("session", F.col("target_aid").alias("item_id")).join(vectors.select("item_id", unit("vector").alias("v")), "item_id").join(user, "session").select("session", F.col("item_id").alias("target"), "u", dot("u", "v").alias("s"))

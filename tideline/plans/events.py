@@ -234,11 +234,11 @@ def catalog_snapshots(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""{with_sql('beh', 'state', 'tree')}, {_PATHS}, c AS (SELECT itemid AS aid, arg_max(categoryid, timestamp) AS categoryid, max(timestamp) AS cts, arg_max(available, timestamp) AS available, max(timestamp) AS ats FROM state WHERE timestamp < {CUTOFF_MS} GROUP BY itemid), f AS (SELECT aid, min(ts) AS first_seen_ts FROM beh GROUP BY aid)
- SELECT aid, categoryid, root_categoryid, available, first_seen_ts, round(({CUTOFF_MS} - first_seen_ts) / 86400000.0, 6) AS candidate_age_days, round(({CUTOFF_MS} - cts) / 86400000.0, 6) AS category_state_age_days FROM (SELECT coalesce(c.aid, f.aid) AS aid, categoryid, available, cts, first_seen_ts FROM c FULL JOIN f ON c.aid = f.aid) LEFT JOIN paths USING (categoryid)""")
+ SELECT aid, coalesce(categoryid, -1) AS categoryid, coalesce(root_categoryid, -1) AS root_categoryid, coalesce(available, -1) AS available, coalesce(first_seen_ts, -1) AS first_seen_ts, coalesce(round(({CUTOFF_MS} - first_seen_ts) / 86400000.0, 6), -1) AS candidate_age_days, coalesce(round(({CUTOFF_MS} - cts) / 86400000.0, 6), -1) AS category_state_age_days FROM (SELECT coalesce(c.aid, f.aid) AS aid, categoryid, available, cts, first_seen_ts FROM c FULL JOIN f ON c.aid = f.aid) LEFT JOIN paths USING (categoryid)""")
 def item_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     changes, events = state(spark, folder), behaviour(spark, folder)
     rows = asof.item_snapshot(CUTOFF_MS, changes, changes, asof.category_paths(spark, tree(spark, folder), changes), asof.first_seen(events))
-    return rounded(rows.select("aid", "categoryid", "root_categoryid", "available", "first_seen_ts", "candidate_age_days", "category_state_age_days"))
+    return rounded(rows.select("aid", "categoryid", "root_categoryid", "available", "first_seen_ts", "candidate_age_days", "category_state_age_days")).fillna(-1)
 
 
 _AGE = "CASE WHEN availability_state_ts >= 0 THEN (ts - availability_state_ts) / 3600000.0 END"

@@ -193,11 +193,11 @@ def ppmi(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(embeddings.ppmi(feedback(spark, folder)))
 
 
-@query("""WITH d AS (SELECT doc_id, regexp_replace(lower(text), '\\s+', ' ', 'g') AS t FROM documents WHERE source = 'video_caption' AND text IS NOT NULL AND lang IN ('en', 'de', 'es')), g AS (SELECT doc_id, unnest(list_concat([substring(t, i, 1) for i in range(1, length(t) + 1)], [substring(t, i, 2) for i in range(1, length(t))])) AS term FROM d),
+@query("""WITH d AS (SELECT doc_id, regexp_replace(lower(text), '\\s+', ' ', 'g') AS t FROM documents), g AS (SELECT doc_id, unnest(list_concat([substring(t, i, 1) for i in range(1, length(t) + 1)], [substring(t, i, 2) for i in range(1, length(t))])) AS term FROM d),
  c AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM c GROUP BY term HAVING count(*) >= 2), n AS (SELECT count(*) AS n FROM d), w AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1.0 + n) / (1.0 + df)) + 1) AS w FROM c JOIN f USING (term), n)
  SELECT doc_id, count(*) AS terms, round(max(w) / sqrt(sum(w * w)), 6) AS greatest, round(sum(w) / sqrt(sum(w * w)), 6) AS total FROM w GROUP BY doc_id""")
 def tfidf_terms(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spark.read.parquet(f"{folder}/documents.parquet").filter("source = 'video_caption' AND text IS NOT NULL AND lang IN ('en', 'de', 'es')")
+    rows = spark.read.parquet(f"{folder}/documents.parquet")
     weights = embeddings.char_tfidf(rows, "doc_id", "text")
     return rounded(weights.groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.max("weight").alias("greatest"), F.sum("weight").alias("total")))
 
@@ -252,9 +252,9 @@ def text_functions(spark: SparkSession, folder: str) -> DataFrame:
     return texts_of.to_number(rows, "k").select("event_id", texts_of.bucket(F.col("value"), [10, 30], ["low", "middle", "high"]).alias("class"), "k")
 
 
-@query("WITH t AS (SELECT aid AS row, sample_id, target_ts FROM (SELECT DISTINCT sample_id, target_aid AS aid, target_ts FROM validation_samples WHERE sample_id < 60)), s AS (SELECT DISTINCT sample_id AS row, target_aid AS aid, target_ts AS ts FROM validation_samples WHERE sample_id < 60) SELECT a.row, b.row AS column, (a.row = b.row OR (b.ts <= a.ts AND b.aid <> a.aid)) AS allowed FROM s a, s b")
+@query("WITH s AS (SELECT DISTINCT sample_id // 32 AS batch, sample_id AS row, target_aid AS aid, target_ts AS ts FROM validation_samples) SELECT a.batch, a.row, b.row AS column, (a.row = b.row OR (b.ts <= a.ts AND b.aid <> a.aid)) AS allowed FROM s a JOIN s b ON a.batch = b.batch")
 def causal_mask(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spark.read.parquet(f"{folder}/validation_samples.parquet").filter("sample_id < 60").select(F.col("sample_id").alias("row"), F.col("target_aid").alias("aid"), F.col("target_ts").alias("ts")).distinct()
+    rows = spark.read.parquet(f"{folder}/validation_samples.parquet").select(F.expr("sample_id div 32").alias("batch"), F.col("sample_id").alias("row"), F.col("target_aid").alias("aid"), F.col("target_ts").alias("ts")).distinct()
     return models.causal_mask(rows)
 
 

@@ -16,7 +16,7 @@ from tideline.operators.indexes import weight
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    """Sessions per visitor as they close: bounds, events and items. A gap of exactly ``gap`` ends a session here, a longer one in the batch operator."""
+    """Sessions per visitor as they close: bounds, events and items. As in the batch operator, events exactly ``gap`` apart stay together."""
     marked = events.withWatermark("event_time", late)
     rows = marked.groupBy("visitorid", F.session_window("event_time", gap).alias("s")).agg(F.count(F.lit(1)).alias("events"), F.approx_count_distinct("aid").alias("items"), F.max("event_time").alias("end_time"))
     return rows.select("visitorid", F.col("s.start").alias("start_time"), "end_time", "events", "items")
