@@ -47,6 +47,13 @@ def codebook_stats(codes: DataFrame, sizes: list[int]) -> DataFrame:
     return total.select(F.col("level").cast("long").alias("level"), "used_tokens", (F.col("used_tokens") / size[F.col("level")]).alias("utilization"), entropy.alias("entropy_bits"), F.when(greatest > 0, entropy / greatest).otherwise(1.0).alias("normalized_entropy"), "largest_bucket")
 
 
+def compare_stats(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Differences of two :func:`codebook_stats`, right less left, per level both have."""
+    measures = ["used_tokens", "utilization", "entropy_bits", "normalized_entropy", "largest_bucket"]
+    a, b = left.alias("a"), right.alias("b")
+    return a.join(b, "level").select("level", *((F.col(f"b.{m}") - F.col(f"a.{m}")).alias(m) for m in measures))
+
+
 def category_pairs(codes: DataFrame, label: str) -> DataFrame:
     """Per level: how often two items of one category, and of different ones, agree in the token and in the prefix, with the lift of prefixes.
 

@@ -150,3 +150,21 @@ def ordinal_violations(scored: DataFrame, key: str = "sample_id") -> DataFrame:
     bad = (F.col("p_click") < F.col("p_cart")) | (F.col("p_cart") < F.col("p_order"))
     rows = scored.groupBy(key).agg(F.count_if(bad).alias("b"), F.count(F.lit(1)).alias("n"))
     return rows.agg((F.sum("b") / F.sum("n")).alias("candidate_violation_rate"), F.avg((F.col("b") > 0).cast("double")).alias("session_violation_rate"))
+
+
+def grid_search(rows: DataFrame, columns: list[str], grid: list[tuple[float, ...]], first: Column, k: int = 20) -> DataFrame:
+    """Per set of weights: hit rate at ``k`` on the samples where ``first`` holds and on the others, and whether it is best on the first.
+
+    ``rows``: ``sample_id, aid, label, target_type`` and the columns to weigh. The grid is a short list, so each row is scored for all of it at once.
+    """
+    options = F.array(*(F.struct(F.lit(i).alias("i"), *(F.lit(float(w)).alias(f"w{j}") for j, w in enumerate(ws))) for i, ws in enumerate(grid)))
+    wide = rows.withColumns({"__first": first, "g": F.explode(options)})
+    score = F.lit(0.0)
+    for j, c in enumerate(columns):
+        score = score + F.col(f"g.w{j}") * F.col(c)
+    scored = wide.select(F.struct("g.i", "sample_id", "__first").alias("cell"), "aid", "label", "target_type", F.round(score, 9).alias("final_score"))
+    ranks = positive_ranks(scored, "cell")
+    hit = F.coalesce(F.col("rank") <= k, F.lit(False)).cast("double")
+    out = ranks.groupBy(F.col("cell.i").alias("option")).agg(F.avg(F.when(F.col("cell.__first"), hit)).alias("first_hit_rate"), F.avg(F.when(~F.col("cell.__first"), hit)).alias("held_out_hit_rate"))
+    best = out.agg(F.max(F.struct(F.round("first_hit_rate", 9).alias("h"), (-F.col("option")).alias("o"))).alias("b")).select((-F.col("b.o")).alias("__best"))
+    return out.join(F.broadcast(best)).select(F.col("option").cast("long").alias("option"), "first_hit_rate", "held_out_hit_rate", (F.col("option") == F.col("__best")).alias("chosen"))

@@ -148,14 +148,38 @@ def logistic_heads(rows: DataFrame, columns: list[str], labels: tuple[str, ...]
     return rows.sparkSession.createDataFrame(out, "task string, intercept double, coefficients array<double>")
 
 
+def logit(column: str) -> Column:
+    """Log odds of a probability, kept within 1e-6 of 0 and 1."""
+    p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(column)))
+    return F.log(p / (F.lit(1.0) - p))
+
+
+def sigmoid(z: Column) -> Column:
+    """Probability of log odds."""
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+
+
 def static_fusion(probabilities: list[str], raw: list[float]) -> Column:
-    """Mean of logits with softplus weights, as a probability; probabilities are kept within 1e-6 of 0 and 1."""
+    """Mean of logits with softplus weights, as a probability."""
     weights = [float(np.log1p(np.exp(x))) for x in raw]
-    logit = lambda c: F.log(F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(c))) / (F.lit(1.0) - F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(c)))))
     total = F.lit(0.0)
     for c, w in zip(probabilities, weights, strict=True):
         total = total + F.lit(w / sum(weights)) * logit(c)
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
+    return sigmoid(total)
+
+
+def gated_fusion(probabilities: list[str], context: list[str], weights: list[list[float]], bias: list[float]) -> Column:
+    """Mean of logits with softmax weights that depend linearly on the context columns (one row of ``weights`` per probability)."""
+    scores = []
+    for row, b in zip(weights, bias, strict=True):
+        z = F.lit(float(b))
+        for c, w in zip(context, row, strict=True):
+            z = z + F.lit(float(w)) * F.col(c)
+        scores.append(F.exp(z))
+    top, below = F.lit(0.0), F.lit(0.0)
+    for c, e in zip(probabilities, scores, strict=True):
+        top, below = top + e * logit(c), below + e
+    return sigmoid(top / below)
 
 
 def causal_mask(rows: DataFrame, batch: str = "batch") -> DataFrame:

@@ -67,7 +67,7 @@ def cosine_topk(queries: DataFrame, catalogue: DataFrame, k: int, same: bool = F
     return found.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
-def lsh_topk(vectors: DataFrame, k: int, tables: int = 8, width: float = 0.8, radius: float = 1.0, seed: int = 7) -> DataFrame:
+def lsh_topk(vectors: DataFrame, k: int, tables: int = 8, width: float = 2.0, radius: float = 1.3, seed: int = 7) -> DataFrame:
     """``query_id, item_id, similarity, rank``: nearest other items among those that share a bucket of MLlib's random projections."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector

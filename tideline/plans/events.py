@@ -310,6 +310,18 @@ def positive_samples(spark: SparkSession, folder: str) -> DataFrame:
     return texts(sequences.positive_samples(sequences.feedback_sequences(feedback(spark, folder)), history=5), "history", "feedback")
 
 
+@query(f"{with_sql('feedback')}, d AS (SELECT *, dense_rank() OVER (ORDER BY item_id) - 1 AS i, row_number() OVER (PARTITION BY user_id ORDER BY timestamp DESC, event_order DESC) AS back FROM feedback) SELECT user_id, string_agg(i::VARCHAR, ',' ORDER BY timestamp, event_order) AS items FROM d WHERE back <= 30 GROUP BY user_id HAVING count(*) >= 10")
+def interaction_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    return texts(sequences.interaction_sequences(feedback(spark, folder), 10, 30), "items")
+
+
+@query(f"""{with_sql('feedback')}, {_FS}, t AS (SELECT user_id, max(p) AS p FROM fs WHERE is_positive = 1 GROUP BY user_id), h AS (SELECT t.user_id, t.p, coalesce(string_agg(f.item_id::VARCHAR, ',' ORDER BY f.p), '') AS hist, coalesce(string_agg((f.is_positive + 1)::VARCHAR, ',' ORDER BY f.p), '') AS fb, count(f.p) AS c FROM t LEFT JOIN fs f ON f.user_id = t.user_id AND f.p < t.p AND f.p >= t.p - 5 GROUP BY ALL)
+ SELECT h.user_id, h.p - 1 AS position, repeat('0,', 5 - c::INT) || hist AS history, repeat('0,', 5 - c::INT) || fb AS feedback, item_id AS target FROM h JOIN fs ON fs.user_id = h.user_id AND fs.p = h.p WHERE c > 0""")
+def last_positive_samples(spark: SparkSession, folder: str) -> DataFrame:
+    rows = sequences.last_positive_samples(sequences.feedback_sequences(feedback(spark, folder)), history=5)
+    return texts(rows.filter("position > 0"), "history", "feedback")
+
+
 @query()
 def masked_windows(spark: SparkSession, folder: str) -> DataFrame:
     return texts(sequences.masked_windows(sequences.feedback_sequences(feedback(spark, folder)), length=8, stride=4), "items", "feedback", "labels")

@@ -42,6 +42,14 @@ def codebook_stats(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(codes.codebook_stats(_codes(spark, folder).drop("label"), [10, 5, 4]))
 
 
+@query()
+def compared_codebooks(spark: SparkSession, folder: str) -> DataFrame:
+    """Semantic against random codes of the same sizes."""
+    rows = vectors(spark, folder)
+    semantic = codes.codebook_stats(codes.assign(rows, codes.fit_codebooks(rows, [8, 8])), [8, 8])
+    return codes.compare_stats(codes.codebook_stats(codes.random_codes(rows, [8, 8]), [8, 8]), semantic)
+
+
 def _pair_sql() -> str:
     pairs = "(SELECT coalesce(sum(n * (n - 1) / 2), 0)::DOUBLE FROM (SELECT count(*) AS n FROM codes GROUP BY {}))"
     rows = []

@@ -256,6 +256,36 @@ def probability_fusion(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(probabilities(spark, folder).select("sample_id", "aid", fusion.probability_fusion().alias("score")))
 
 
+_CLIP = "greatest(1e-6, least(1 - 1e-6, {}))"
+_LOGIT = {c: f"ln({_CLIP.format(c)} / (1 - {_CLIP.format(c)}))" for c in ("p_click", "p_cart", "p_order")}
+_SOFT = "ln(1 + exp({}))"
+
+
+@query(f"WITH {_SCORED}, p AS ({_PROB}) SELECT sample_id, aid, round(1 / (1 + exp(-(({_SOFT.format('0.5')}) * {_LOGIT['p_click']} + ({_SOFT.format('1.0')}) * {_LOGIT['p_cart']} + ({_SOFT.format('-1.0')}) * {_LOGIT['p_order']}) / ({_SOFT.format('0.5')} + {_SOFT.format('1.0')} + {_SOFT.format('-1.0')}))), 6) AS fused, round(1 / (1 + exp(-(exp(0.1 + 2 * p_click) * {_LOGIT['p_click']} + exp(-1 * p_click) * {_LOGIT['p_order']}) / (exp(0.1 + 2 * p_click) + exp(-1 * p_click)))), 6) AS gated FROM p")
+def fusion_heads(spark: SparkSession, folder: str) -> DataFrame:
+    from tideline.operators import models
+
+    rows = probabilities(spark, folder)
+    static = models.static_fusion(["p_click", "p_cart", "p_order"], [0.5, 1.0, -1.0])
+    gated = models.gated_fusion(["p_click", "p_order"], ["p_click"], [[2.0], [-1.0]], [0.1, 0.0])
+    return rounded(rows.select("sample_id", "aid", static.alias("fused"), gated.alias("gated")))
+
+
+_OPTIONS = [(0.05, 0.30, 0.40), (1.0, 0.0, 0.0), (0.0, 0.0, 1.0)]
+_GRID_SQL = " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS option, sample_id, aid, label, round({a} * p_click + {b} * p_cart + {c} * p_order, 9) AS s FROM pl" for i, (a, b, c) in enumerate(_OPTIONS))
+
+
+@query(f"WITH {_SCORED}, p AS ({_PROB}), pl AS (SELECT p.*, label FROM p JOIN scored USING (sample_id, aid)), g AS ({_GRID_SQL}), r AS (SELECT *, row_number() OVER (PARTITION BY option, sample_id ORDER BY s DESC, aid) AS r FROM g), h AS (SELECT option, sample_id, max(CASE WHEN label = 1 AND r <= 20 THEN 1.0 ELSE 0 END) AS hit FROM r GROUP BY ALL), o AS (SELECT option, avg(CASE WHEN sample_id % 2 = 0 THEN hit END) AS a, avg(CASE WHEN sample_id % 2 = 1 THEN hit END) AS b FROM h GROUP BY option) SELECT option, round(a, 6) AS first_hit_rate, round(b, 6) AS held_out_hit_rate, row_number() OVER (ORDER BY round(a, 9) DESC, option) = 1 AS chosen FROM o")
+def fusion_grid(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(metrics.grid_search(probabilities(spark, folder), ["p_click", "p_cart", "p_order"], _OPTIONS, F.col("sample_id") % 2 == 0))
+
+
+@query(f"SELECT sample_id, aid, source, 125.0::DOUBLE AS source_rank, {_FIN} AS final_score FROM candidate_features")
+def masked_features(spark: SparkSession, folder: str) -> DataFrame:
+    rows = clean.finite(spark.read.parquet(f"{folder}/candidate_features.parquet"), "final_score")
+    return clean.mask_columns(rows, {"source_rank": 125.0}).select("sample_id", "aid", "source", "source_rank", "final_score")
+
+
 # Diagnosis.
 _HIT = "hit AS (SELECT DISTINCT c.session, c.source FROM cand c JOIN lab l ON l.session = c.session AND l.target_aid = c.aid), one AS (SELECT session, count(*) AS k, min(source) AS solo FROM hit GROUP BY session)"
 
