@@ -122,7 +122,10 @@ measured AS (SELECT t.*, x.n AS n_a, y.n AS n_b, s FROM together t JOIN single x
 _TOP = """WITH valid AS (SELECT sample_id, aid, max(final_score) AS final_score FROM candidate_features
   WHERE sample_id IS NOT NULL AND aid IS NOT NULL AND isfinite(final_score) GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY final_score DESC, aid) AS rank FROM valid)"""
+_VECTORS = """WITH newest AS (SELECT item_ids AS i, max(struct_pack(e := epoch, v := vectors)).v AS v FROM item2vec_embeddings WHERE item_ids IS NOT NULL GROUP BY item_ids),
+valid AS (SELECT i, v::DOUBLE[] AS v FROM newest WHERE len(v) = 64 AND len([x for x in v if isfinite(x)]) = 64 AND len([x for x in v if x <> 0]) > 0)"""
 ORACLES = {
+    "p3_found": f"{_VECTORS} SELECT a.i AS item_id_a, b.i AS item_id_b FROM valid a JOIN valid b ON a.i < b.i WHERE list_cosine_similarity(a.v, b.v) >= 0.94",
     "p2_found": f"{_PAIRS} SELECT aid_a, aid_b FROM measured WHERE n_ab >= 10 AND n_ab * s / (n_a * n_b) >= 15",
     "p2_pairs": f"{_PAIRS} SELECT aid_a, aid_b, n_ab, round(n_ab * s / (n_a * n_b), 6) AS lift, round(ln((n_ab + 0.5) * (s - n_a - n_b + n_ab + 0.5) / ((n_a - n_ab + 0.5) * (n_b - n_ab + 0.5))), 6) AS log_odds FROM measured",
     "p5_found": f"{_TOP} SELECT sample_id, aid FROM ranked WHERE rank <= 10",
