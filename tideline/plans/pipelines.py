@@ -10,6 +10,7 @@ from tideline.operators import asof, clean, diagnostics, fusion, indexes, metric
 from tideline.plans.events import _LABELS, _SPLIT, rounded
 from tideline.plans.recall import SOURCES
 from tideline.plans.registry import Registry
+from tideline.session import settle
 
 query = Registry()
 
@@ -29,9 +30,9 @@ query(
 
 
 def _samples(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    events = behaviour(spark, folder)
+    events = settle(behaviour(spark, folder))
     labels = sessions.time_splits(sessions.last_event_labels(events)).filter("split = 'validation'")
-    return events, sequences.evaluation_samples(events, labels)
+    return events, settle(sequences.evaluation_samples(events, labels))
 
 
 _VAL = f"{with_sql('beh')}, {_LABELS.format('beh')}, {_SPLIT}, v AS (SELECT session, target_ts, target_ts - target_ts % {DAY_MS} AS snapshot_ts FROM split s WHERE split = 'validation' AND (SELECT count(*) FROM beh b WHERE b.session = s.session AND b.ts < s.target_ts) >= 2), snap AS (SELECT DISTINCT snapshot_ts FROM v)"
@@ -88,7 +89,7 @@ def snapshot_audit(spark: SparkSession, folder: str) -> DataFrame:
 
 def rolling_folds(spark: SparkSession, folder: str, folds: int = 2, warmup: float = 0.4) -> DataFrame:
     """Out-of-fold training candidates: each fold's samples meet indexes frozen at its start; positives are added where they lack."""
-    events, changes = behaviour(spark, folder), state(spark, folder)
+    events, changes = settle(behaviour(spark, folder)), state(spark, folder)
     enriched = asof.asof_enrich(events, changes, changes, asof.category_paths(spark, tree(spark, folder), changes))
     samples = sequences.training_samples(events, max_history=30)
     out = None

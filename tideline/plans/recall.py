@@ -9,6 +9,7 @@ from tideline.adapters import CUTOFF_MS, DAY_MS, basket, behaviour, state, tree,
 from tideline.operators import asof, fusion, indexes, routes, sequences, sessions
 from tideline.plans.events import _LABELS, _PATHS, _SPLIT, ENRICHED_SQL, rounded
 from tideline.plans.registry import Registry
+from tideline.session import settle
 
 query = Registry()
 SOURCES = ["category", "hybrid_popular", "itemcf", "recent", "transition"]
@@ -151,7 +152,10 @@ def session_matrix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _samples(spark: SparkSession, folder: str) -> DataFrame:
-    events = behaviour(spark, folder)
+    return _samples_of(behaviour(spark, folder))
+
+
+def _samples_of(events: DataFrame) -> DataFrame:
     return sequences.evaluation_samples(events, sessions.time_splits(sessions.last_event_labels(events)).filter("split = 'validation'"))
 
 
@@ -225,7 +229,10 @@ def recall_category_root(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"{_BASE}, {_INDEX_SQL} {_ROUND} ({_UNION})")
 def recall_union(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(routes.from_indexes(_samples(spark, folder), _indexes(spark, folder)))
+    events, changes = settle(behaviour(spark, folder)), state(spark, folder)
+    enriched = asof.asof_enrich(events, changes, changes, asof.category_paths(spark, tree(spark, folder), changes))
+    samples = settle(_samples_of(events))
+    return rounded(routes.from_indexes(samples, indexes.freeze(events, enriched, changes, CUTOFF_MS)))
 
 
 _R_POP50 = f"SELECT DISTINCT session, p.aid, 'popular' AS source, p.rank AS source_rank, 1.0 / p.rank AS source_score FROM seeds, ({_top(_POP, 50)}) p"
