@@ -43,7 +43,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The ten most similar items of every item."""
-    near = nearest(_vectors(spark, folder), 10, probes=10, ef=24)
+    near = nearest(_vectors(spark, folder), 10, probes=4, m=16, build_width=48, ef=96)
     return near.select(F.col("item").alias("item_id"), F.col("neighbour").alias("neighbour_id"), F.round("similarity", 6).alias("similarity"))
 
 
