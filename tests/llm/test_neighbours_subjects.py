@@ -77,6 +77,17 @@ def test_sentences():
     assert sentences_of(None) == ([], []) and sentences_of("  \n ") == ([], [])
 
 
+def test_sentences_of_a_transcript_with_one_mark():
+    openings = {"my partner", "the dough", "we kept", "nobody answered"}
+    text = "my partner wanted a whisk is the oven any good? the dough was cold and grey we kept the brine for a week nobody answered for days"
+    assert sentences_of(text, openings)[0] == ["my partner wanted a whisk is the oven any good?", "the dough was cold and grey", "we kept the brine for a week", "nobody answered for days"]
+    before = "the dough was cold and grey we kept the brine for a week nobody answered for days my partner wanted a whisk so is the oven good?"
+    assert len(sentences_of(before, openings)[0]) == 4
+    assert sentences_of("The oven is hot. It works! שלום ١٢٣ ไทย नमस्ते")[0] == sentences_of("The oven is hot. It works! 哈哈哈哈哈哈")[0] == ["the oven is hot.", "it works!"]
+    assert sentences_of("The oven is hot. It works. without any effort")[0][2:] == ["without any effort"]
+    assert sentences_of("They said the dough was cold. It works.", openings)[0] == ["they said the dough was cold.", "it works."]
+
+
 def test_latent_model_trusts_the_better_function():
     rng = np.random.default_rng(9)
     truth = rng.integers(-1, 4, 4000)

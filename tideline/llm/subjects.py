@@ -29,6 +29,8 @@ _TOKEN = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*|#")
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _CLOSED = re.compile(r"[.!?…。:;][\"'”’)\]]*$")
+#: Words from which a piece may be several sentences without marks.
+_LONG = 24
 
 
 def _plain(text: str) -> str:
@@ -58,8 +60,9 @@ def words_of(sentence: str) -> list[str]:
 def sentences_of(text: str | None, openings: frozenset[str] | set[str] = frozenset()) -> tuple[list[str], list[str]]:
     """Sentences of a text (digits as ``#``, lower case) and the words of its addresses. Null, empty and blank texts have none.
 
-    Addresses, data fragments, and pieces of fewer than two words, count as no sentence; nor does an unfinished piece after
-    finished ones. A text without any sentence end, as from a transcript, is cut before pairs of words that are ``openings``.
+    Addresses, data fragments, and pieces of fewer than two words, count as no sentence; nor does a symbol string after sentences.
+    Pieces without an end mark and long ones, as from a transcript, are cut before pairs of words that are ``openings``; where they
+    make up most of a text, so are its other pieces.
     """
     if not text:
         return [], []
@@ -76,14 +79,28 @@ def sentences_of(text: str | None, openings: frozenset[str] | set[str] = frozens
         letters = sum(map(str.isalpha, piece))
         if letters < 4 or (" " not in piece and not _CJK.search(piece)):
             continue
-        if found and not _CLOSED.search(piece):
+        if found and not _CLOSED.search(piece) and _symbols(piece):
             continue
         found.append(_NUMBER.sub("#", piece.lower()))
-    if openings and len(found) == 1 and not _CLOSED.search(found[0]):
-        found = _cut(found[0], openings)
+    if openings and found:
+        sizes = [piece.count(" ") + 1 for piece in found]
+        loose = [n >= _LONG or not _CLOSED.search(piece) for piece, n in zip(found, sizes, strict=True)]
+        if any(loose):
+            most = 2 * sum(n for n, x in zip(sizes, loose, strict=True) if x) > sum(sizes)
+            found = [part for piece, x in zip(found, loose, strict=True) for part in (_cut(piece, openings) if x or most else [piece])]
     return found, addresses
 
 
+def _symbols(piece: str) -> bool:
+    """Whether a piece is no language: one or two letters again and again, or a few words in three scripts or more."""
+    letters = {c for c in piece.lower() if c.isalpha()}
+    if len(letters) <= 2:
+        return True
+    if piece.isascii() or piece.count(" ") > 4:
+        return False
+    return len({"CJK" if _CJK.match(c) else unicodedata.name(c, "").split(" ")[0] for c in letters}) > 2
+
+
 def _cut(text: str, openings: frozenset[str] | set[str], least: int = 3) -> list[str]:
     words = text.split(" ")
     starts = [0]
