@@ -119,9 +119,13 @@ def beam_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def beam_narrow(spark: SparkSession, folder: str) -> DataFrame:
-    one, moves = _catalogue(spark, folder)
-    users = one.select(F.col("c1").alias("user_id"), F.col("c1").alias("state")).distinct()
-    return codes.beam_search(users, one, codes.token_model(one, moves), beam=20, topk=10)
+    """All items, with unique codes, for each user of the feedback log; the moves are those of the users' sequences."""
+    items = codes.collision_tail(_codes(spark, folder).drop("label")).withColumnRenamed("tail", "c4")
+    logs = sequences.feedback_sequences(feedback(spark, folder).join(items.select("item_id"), "item_id", "left_semi"))
+    steps = F.arrays_zip(F.slice("items", F.lit(1), F.size("items") - 1).alias("src"), F.slice("items", F.lit(2), F.size("items") - 1).alias("dst"))
+    moves = logs.select(F.explode(steps).alias("m")).select("m.src", "m.dst")
+    users = logs.select("user_id", F.element_at("items", -1).alias("item_id")).join(items.select("item_id", F.col("c1").alias("state")), "item_id").select("user_id", "state")
+    return codes.beam_search(users, items, codes.token_model(items, moves), beam=20, topk=10)
 
 
 _BOOK1, _BOOK2 = "(SELECT vec_id AS token, embedding AS c FROM embeddings WHERE vec_id < 8)", "(SELECT vec_id - 8 AS token, [x * 0.25 for x in embedding] AS c FROM embeddings WHERE vec_id BETWEEN 8 AND 11)"
