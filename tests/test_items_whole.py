@@ -26,3 +26,13 @@ def test_beam_narrow_holds_all_items(spark, tmp_path):
         got.setdefault(r.user_id, []).append(r.item_id)
     assert set(got) == {70, 71}
     assert got[70] == [280, 0, 140, 1] and set(got[71]) == {0, 1, 140, 280}
+
+
+def test_warm_start_holds_all_items(spark, tmp_path):
+    one = [0.5] * 64
+    write(spark, tmp_path, "embeddings", [(0, one, 1)], "vec_id long, embedding array<float>, label int")
+    write(spark, tmp_path, "events_all", [(1, 5, 2_000, 7), (1, 5, 70_000, 8), (2, 6, None, 9), (2, 6, 70_000, 9)], "session long, visitorid long, aid long, ts long")
+    rows = [(70_000, one, 1), (70_000, one, 2), (90_000, one, 1), (2_000, one, 1), (2_000, [float("nan")] * 64, 2), (None, one, 1)]
+    write(spark, tmp_path, "item2vec_embeddings", rows, "item_ids long, vectors array<float>, epoch int")
+    got = sorted(tuple(r) for r in items.QUERIES["warm_start"](spark, str(tmp_path)).collect())
+    assert got == [(2_000, False, 64), (70_000, True, 64), (90_000, True, 64)]

@@ -97,6 +97,14 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"), "label")
 
 
+def item_vectors(spark: SparkSession, folder: str, width: int = 64) -> DataFrame:
+    """``item_id, vector``: the vector of each ``aid`` from its highest epoch, if it has ``width`` finite numbers that aren't all zero."""
+    exports = read_table(spark, folder, "item2vec_embeddings").filter(F.col("item_ids").isNotNull())
+    newest = exports.groupBy(F.col("item_ids").alias("item_id")).agg(F.max(F.struct("epoch", "vectors"))["vectors"].alias("vector"))
+    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("vector", lambda x: x != 0)
+    return newest.filter(F.col("vector").isNotNull() & (F.size("vector") == width)).filter(finite)
+
+
 _K = "cast(json_extract_string(props, '$.k') as bigint)"
 SQL = {
     "raw": f"raw AS (SELECT epoch_us(ts)//1000 AS timestamp, user_id AS visitorid, CASE WHEN event_type IN ('view', 'click') THEN 'view' WHEN event_type = 'signup' THEN 'addtocart' WHEN event_type = 'purchase' THEN 'transaction' ELSE event_type END AS event, {_K} AS itemid, event_id AS event_order, value FROM events)",

@@ -6,13 +6,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideline.adapters import behaviour, feedback, vectors, with_sql
+from tideline.adapters import behaviour, feedback, item_vectors, vectors, with_sql
 from tideline.functions import text as texts_of
 from tideline.operators import codes, embeddings, features, fusion, indexes, metrics, models, sequences
 from tideline.operators import vectors as vec
 from tideline.plans.events import rounded, texts
 from tideline.plans.recall import ROUTE_NAMES, candidates, labels
 from tideline.plans.registry import Registry
+from tideline.session import read_table
 from tideline.sources import files
 
 query = Registry()
@@ -249,7 +250,10 @@ def item2vec_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def warm_start(spark: SparkSession, folder: str) -> DataFrame:
-    return embeddings.warm_start(spark.range(0, 1000).withColumnRenamed("id", "item_id"), vectors(spark, folder), 64).select("item_id", "warm", F.size("vector").alias("width"))
+    """All items of the session log and all that have a vector."""
+    known = item_vectors(spark, folder)
+    seen = read_table(spark, folder, "events_all").select(F.col("aid").alias("item_id")).filter("item_id IS NOT NULL")
+    return embeddings.warm_start(seen.unionByName(known.select("item_id")).distinct(), known, 64).select("item_id", "warm", F.size("vector").alias("width"))
 
 
 @query("SELECT doc_id, CASE WHEN s = '' AND l = '' THEN 'unknown item' WHEN l = '' THEN 'source: ' || s WHEN s = '' THEN 'lang: ' || l ELSE 'source: ' || s || ' ; lang: ' || l END AS text, l AS lang FROM (SELECT doc_id, trim(coalesce(source, '')) AS s, trim(coalesce(lang, '')) AS l FROM documents)")
