@@ -2,6 +2,10 @@
 
 import datetime as dt
 
+import numpy as np
+import pytest
+
+from tideline.operators import embeddings
 from tideline.plans import items
 
 
@@ -36,3 +40,25 @@ def test_warm_start_holds_all_items(spark, tmp_path):
     write(spark, tmp_path, "item2vec_embeddings", rows, "item_ids long, vectors array<float>, epoch int")
     got = sorted(tuple(r) for r in items.QUERIES["warm_start"](spark, str(tmp_path)).collect())
     assert got == [(2_000, False, 64), (70_000, True, 64), (90_000, True, 64)]
+
+
+def test_svd_embedding_keeps_sessions_apart(spark, tmp_path):
+    # sessions of visitors 0, 97 and 194 are equal modulo 97; each holds items that no other holds, so two dimensions tell the larger two apart
+    rows = [event(10 * v + i, 97 * v, 10 * v + i, i) for v in range(3) for i in range(4 - v)]
+    write(spark, tmp_path, "events", rows, EVENTS)
+    got = {r.item_id: np.array(r.vector) for r in items.QUERIES["svd_embedding"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 10, 11, 12, 20, 21]
+    assert abs(got[0] @ got[3]) == pytest.approx(1, abs=1e-6) and abs(got[10] @ got[12]) == pytest.approx(1, abs=1e-6)
+    assert got[0] @ got[10] == pytest.approx(0, abs=1e-6)
+
+
+@pytest.mark.parametrize("shape", [(7, 40), (40, 7), (6, 6)])
+def test_svd_of_either_shape(spark, shape):
+    x = np.random.default_rng(5).normal(size=shape)
+    cells = spark.createDataFrame([(r * 10, c * 10, float(v)) for (r, c), v in np.ndenumerate(x)], "row long, col long, value double")
+    got = {r.item_id: np.array(r.vector) for r in embeddings.svd(cells, "row", "col", "value", 4).collect()}
+    u, s, _ = np.linalg.svd(x, full_matrices=False)
+    want = u[:, :4] * s[:4]
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    found = np.stack([got[r * 10] for r in range(shape[0])])
+    assert np.allclose(np.abs(found @ found.T), np.abs(want @ want.T), atol=1e-6)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,18 +75,31 @@ def char_tfidf(texts: DataFrame, key: str, text: str, sizes: tuple[int, ...] = (
 def svd(triplets: DataFrame, row: str, column: str, value: str, dimensions: int) -> DataFrame:
     """``item_id, vector``: left singular vectors times singular values of a sparse matrix, as unit vectors, by MLlib.
 
-    Columns are numbered; the Gram matrix of the columns is what the solver iterates on, so the fewer side should be the columns. Runs jobs.
+    The solver iterates on the Gram matrix of the fewer side, ``row`` or ``column``, whose singular vectors the driver holds. Rows and columns
+    that are null don't count; repeated cells are summed. Runs jobs.
     """
     from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
+    from pyspark.mllib.linalg.distributed import IndexedRowMatrix
 
-    index = number_rows(triplets.select(column).distinct(), "__c", column)
+    cells = settle(triplets.select(F.col(row).cast("long").alias("r"), F.col(column).alias("c"), F.col(value).cast("double").alias("v")).dropna(subset=["r", "c"]).groupBy("r", "c").agg(F.sum("v").alias("v")))
+    items, others = cells.select("r").distinct(), cells.select("c").distinct()
+    turned = items.count() < others.count()
+    index = number_rows(items, "__i", "r") if turned else number_rows(others, "__i", "c")
     width = index.count()
-    rows = triplets.join(index, column).groupBy(F.col(row).cast("long").alias("r")).agg(F.array_sort(F.collect_list(F.struct(F.col("__c").alias("c"), F.col(value).cast("double").alias("v")))).alias("x"))
+    if not width:
+        return cells.sparkSession.createDataFrame([], "item_id long, vector array<double>")
+    near, far = ("r", "c") if turned else ("c", "r")
+    rows = settle(cells.join(index, near).groupBy(far).agg(F.array_sort(F.collect_list(F.struct(F.col("__i").alias("c"), "v"))).alias("x")))
     k = max(1, min(dimensions, width - 1))
-    matrix = IndexedRowMatrix(rows.rdd.map(lambda r: IndexedRow(r.r, Vectors.sparse(width, [e.c for e in r.x], [e.v for e in r.x]))), 0, width)
-    found = matrix.computeSVD(k, computeU=True)
+    numbered = rows.select((F.lit(0).cast("long") if turned else F.col("r")).alias("r"), "x")  # the turned matrix's rows need no numbers
+    sparse = numbered.rdd.map(lambda r: (r.r, Vectors.sparse(width, [e.c for e in r.x], [e.v for e in r.x]))).toDF(["index", "vector"]).persist(StorageLevel.MEMORY_AND_DISK)  # the solver goes over it again and again
+    found = IndexedRowMatrix(sparse, 1 if turned else 0, width).computeSVD(k, computeU=not turned)
     sigma = found.s.toArray()
+    if turned:
+        sparse.unpersist()
+        ids = [r["r"] for r in index.orderBy("__i").collect()]
+        own = (found.V.toArray() * sigma).tolist()
+        return cells.sparkSession.createDataFrame(list(zip(ids, own, strict=True)), "item_id long, vector array<double>").select("item_id", unit("vector").alias("vector"))
     out = found.U.rows.map(lambda r: (int(r.index), [float(a * b) for a, b in zip(r.vector.toArray(), sigma, strict=True)])).toDF("item_id long, vector array<double>")
     return out.select("item_id", unit("vector").alias("vector"))
 

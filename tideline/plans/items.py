@@ -217,7 +217,8 @@ def tfidf_terms(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def svd_embedding(spark: SparkSession, folder: str) -> DataFrame:
-    return embeddings.svd(indexes.session_matrix(behaviour(spark, folder)).select(F.col("aid").alias("row"), F.expr("session % 97").alias("col"), "value").groupBy("row", "col").agg(F.sum("value").alias("value")), "row", "col", "value", 8)
+    """Items by the sessions that hold them: every session is a column."""
+    return embeddings.svd(indexes.session_matrix(behaviour(spark, folder)), "aid", "session", "value", 8)
 
 
 @query()
