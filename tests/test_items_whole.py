@@ -62,3 +62,15 @@ def test_svd_of_either_shape(spark, shape):
     want /= np.linalg.norm(want, axis=1, keepdims=True)
     found = np.stack([got[r * 10] for r in range(shape[0])])
     assert np.allclose(np.abs(found @ found.T), np.abs(want @ want.T), atol=1e-6)
+
+
+def test_sampled_auc_takes_vectors_of_the_aids(spark, tmp_path):
+    def towards(d):
+        return [1.0 if i == d else 0.0 for i in range(64)]
+
+    # aids 70_000 and 70_400 are equal modulo 400 and point to opposite sides of the others
+    write(spark, tmp_path, "item2vec_embeddings", [(70_000, towards(0), 1), (70_400, [-x for x in towards(0)], 1), *((80_000 + i, towards(1 + i), 1) for i in range(20))], "item_ids long, vectors array<float>, epoch int")
+    write(spark, tmp_path, "embeddings", [(i, towards(i % 64), 1) for i in range(400)], "vec_id long, embedding array<float>, label int")
+    write(spark, tmp_path, "validation_samples", [(1, [70_000], 70_000), (2, [70_000], 70_400), (2, [70_000], 70_400), (3, [99_999], 70_000)], "sample_id long, history_aids array<long>, target_aid long")
+    got = items.QUERIES["sampled_auc"](spark, str(tmp_path)).first()
+    assert got.sessions == 2 and got.gauc == pytest.approx(0.5, abs=0.01)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.operators.sessions import number_rows
+from tideline.session import settle
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -98,9 +99,14 @@ def sampled_auc(samples: DataFrame, vectors: DataFrame, negatives: int = 100, se
     ids = number_rows(vectors.select("item_id"), "__i", "item_id")
     n = vectors.count()
     user = session_vectors(samples, vectors).withColumnRenamed("vector", "u")
-    rows = samples.select("session", F.col("target_aid").alias("item_id")).join(vectors.select("item_id", unit("vector").alias("v")), "item_id").join(user, "session").select("session", F.col("item_id").alias("target"), "u", dot("u", "v").alias("s"))
-    drawn = rows.select("session", "target", "u", "s", F.explode(F.transform(F.sequence(F.lit(1), F.lit(negatives)), lambda j: F.pmod(F.xxhash64("session", j, F.lit(seed)), F.lit(n)))).alias("__i"))
-    scored = drawn.join(ids, "__i").filter(F.col("item_id") != F.col("target")).join(vectors.select("item_id", unit("vector").alias("v")), "item_id")
-    won = F.when(F.col("s") > dot("u", "v"), 1.0).when(F.col("s") == dot("u", "v"), 0.5).otherwise(0.0)
+    known = vectors.select("item_id", F.col("vector").alias("v"), norm("vector").alias("l"))
+    score = F.when(F.col("l") > 0, dot("u", "v") / F.col("l")).otherwise(0.0)
+    rows = samples.select("session", F.col("target_aid").alias("item_id")).join(known, "item_id").join(user, "session")
+    rows = settle(rows.select(F.monotonically_increasing_id().alias("__row"), "session", F.col("item_id").alias("target"), "u", score.alias("s")))
+    drawn = rows.select("__row", "target", F.explode(F.transform(F.sequence(F.lit(1), F.lit(negatives)), lambda j: F.pmod(F.xxhash64("session", j, F.lit(seed)), F.lit(n)))).alias("__i"))
+    # the drawn items are known by number before vectors come to them
+    pairs = drawn.join(ids, "__i").filter(F.col("item_id") != F.col("target")).select("__row", "item_id")
+    scored = pairs.join(rows.drop("target"), "__row").join(known, "item_id").select("session", "s", score.alias("other"))
+    won = F.when(F.col("s") > F.col("other"), 1.0).when(F.col("s") == F.col("other"), 0.5).otherwise(0.0)
     per = scored.groupBy("session").agg(F.sum(won).alias("w"), F.count(F.lit(1)).alias("n"))
     return per.agg((F.sum("w") / F.sum("n")).alias("auc"), F.avg(F.col("w") / F.col("n")).alias("gauc"), F.count(F.lit(1)).alias("sessions"))

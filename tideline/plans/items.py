@@ -13,7 +13,7 @@ from tideline.operators import vectors as vec
 from tideline.plans.events import rounded, texts
 from tideline.plans.recall import ROUTE_NAMES, candidates, labels
 from tideline.plans.registry import Registry
-from tideline.session import read_table
+from tideline.session import read_table, settle
 from tideline.sources import files
 
 query = Registry()
@@ -186,7 +186,9 @@ def ann_lsh(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def sampled_auc(spark: SparkSession, folder: str) -> DataFrame:
-    return vec.sampled_auc(_vector_samples(spark, folder), vectors(spark, folder).select("item_id", "vector"), 20)
+    """Samples with the vectors of their own aids."""
+    samples = read_table(spark, folder, "validation_samples").distinct().select(F.col("sample_id").alias("session"), "history_aids", "target_aid")
+    return vec.sampled_auc(samples, settle(item_vectors(spark, folder)), 20)
 
 
 @query(f"{with_sql('feedback')}, r AS (SELECT user_id, item_id, ln(1 + greatest(0, least(3.0, value / 20.0))) * sqrt(greatest(0.2, least(5.0, value / 5.0))) AS score FROM feedback JOIN (SELECT event_id, value FROM events) ON event_id = event_order), m AS (SELECT item_id AS item, user_id AS user_, avg(score) AS m FROM r GROUP BY ALL) SELECT item, user_ AS user, round(m - u, 6) AS value FROM (SELECT *, avg(m) OVER (PARTITION BY user_) AS u FROM m) WHERE abs(m - u) > 1e-12")
