@@ -135,6 +135,16 @@ def test_subjects_of_documents(spark):
     assert assign_subjects(df.limit(0), known).count() == 0
 
 
+def test_rare_words_are_learned_in_large_corpora(spark):
+    rng = np.random.default_rng(11)
+    rows, _ = corpus(rng, 400)
+    rows += [(1000 + i, f"Between the zamboni and the {a} there is little to choose. Ask the {b} about the {c}. The {c} and the {a} came.", "review") for i, (a, b, c) in enumerate(zip(WORDS["sport"], WORDS["sport"][1:], WORDS["sport"][2:])) if i < 6]
+    examples = [(s, f"Between the {a} and the {b} there is little to choose. Ask about the {b}.") for s, w in WORDS.items() for a, b in zip(w, w[1:] + w[:1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").unionByName(spark.range(10_000, 210_000).selectExpr("id AS doc_id", "CAST(NULL AS string) AS text", "'review' AS source"))
+    known = fit_subjects(df, spark.createDataFrame(examples, "subject string, text string"))
+    assert "zamboni" in known.lexicon and known.lexicon["zamboni"].argmax() == known.subjects.index("sport")
+
+
 def test_subjects_without_examples_or_documents(spark):
     none = spark.createDataFrame([], "subject string, text string")
     docs = spark.createDataFrame([(1, "Some text here.", "a")], "doc_id long, text string, source string")

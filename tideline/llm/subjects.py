@@ -333,13 +333,13 @@ def _associate(shared, text_at: int, openings: bool):
     return kernel
 
 
-def _learn(rows: DataFrame, know: Knowledge, text_at: int, documents: int, purity: float, lift: float, words: bool) -> Knowledge:
+def _learn(rows: DataFrame, know: Knowledge, text_at: int, purity: float, lift: float, words: bool) -> Knowledge:
     """One round: words and frames that go with a subject more than by chance, and frames that go with none."""
     k, spark = len(know.subjects), rows.sparkSession
     known = spark.sparkContext.broadcast(know)
     schema = "kind int, key long, name string, " + ", ".join(f"x{i} double" for i in range(2 * k + 2))
     partial = rows.mapInArrow(_associate(known, text_at, openings=not words), schema)
-    least_word, least_frame = max(3, math.ceil(5e-5 * documents)), max(8, math.ceil(1e-4 * documents))
+    least_word, least_frame = 3, 8
     sums = partial.groupBy("kind", "key").agg(F.first("name", ignorenulls=True).alias("name"), *(F.sum(f"x{i}").alias(f"x{i}") for i in range(2 * k + 2)))
     sums = sums.filter((F.col("kind") == 2) | ((F.col("kind") == 0) & (F.col("x0") >= least_word)) | (F.col("kind").isin(1, 3) & (F.col("x0") >= least_frame)))
     found = sums.toPandas()
@@ -455,8 +455,8 @@ def fit_subjects(documents: DataFrame, examples: DataFrame, key: str = "doc_id",
     ``examples`` (``subject, text``; names trimmed and in lower case; nulls are left out) give the first lexicon: a fixed table, read by the
     driver. Each round labels all sentences and keeps the words and frames (whole sentences, digits aside) that stand with one
     subject ``lift`` times as often as usual and mostly with it (words are judged by the rest of their sentences and documents, frames, which recur,
-    by the rest of their documents alone, and words aren't judged by recurring sentences), at least 3 and 8 times and in 5 and 10 of 100,000 documents, which bounds
-    both tables by the length of a document. Frames that stand with all subjects alike vote for none.
+    by the rest of their documents alone, and words aren't judged by recurring sentences), at least 3 and 8 times whatever the size
+    of the corpus; the driver holds both tables, which grow with the corpus as its vocabulary does. Frames that stand with all subjects alike vote for none.
     """
     spark = documents.sparkSession
     labelled = [(r.s, r.t) for r in examples.select(F.lower(F.btrim("subject", F.lit(" \t\r\n"))).alias("s"), F.col("text").alias("t")).dropna().collect()]
@@ -469,7 +469,7 @@ def fit_subjects(documents: DataFrame, examples: DataFrame, key: str = "doc_id",
     if not subjects:
         return know
     for r in range(rounds):
-        know = _learn(rows, know, 1, total, purity, lift, words=r > 0)
+        know = _learn(rows, know, 1, purity, lift, words=r > 0)
     shared = spark.sparkContext.broadcast(know)
     sources = rows.mapInArrow(_source_votes(shared), "source string, vote int, n long").groupBy("source", "vote").agg(F.sum("n").alias("n")).filter(F.col("vote") >= 0)
     by_source: dict[str, dict[int, int]] = {}
