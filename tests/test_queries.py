@@ -15,6 +15,14 @@ ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
 pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="the test tables aren't here")
 
 
+@pytest.fixture(scope="module", autouse=True)
+def stock(spark):
+    """Arrow conversion off, as in a session without settings of its own."""
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+
+
 @pytest.fixture(scope="module")
 def con():
     duckdb = pytest.importorskip("duckdb")

@@ -174,7 +174,7 @@ def item2vec(pairs: DataFrame, dims: int = 32, epochs: int = 3, negatives: int =
     ids = counts["item_id"].to_numpy()
     if not len(ids):
         return spark.createDataFrame([], "item_id long, vector array<double>")
-    index = spark.createDataFrame(pd.DataFrame({"item_id": ids, "i": np.arange(len(ids))}))
+    index = spark.createDataFrame(list(zip(ids.tolist(), range(len(ids)), strict=True)), "item_id long, i long")
     rows = settle(pairs.join(index.withColumnsRenamed({"item_id": "center", "i": "a"}), "center").join(index.withColumnsRenamed({"item_id": "context", "i": "b"}), "context").select("a", "b", F.col("weight").cast("double").alias("weight")))
     rng = np.random.default_rng(seed)
     centre, context = (rng.random((len(ids), dims)) - 0.5) / dims, np.zeros((len(ids), dims))
@@ -189,7 +189,7 @@ def item2vec(pairs: DataFrame, dims: int = 32, epochs: int = 3, negatives: int =
             own = mean[mean.kind == kind]
             matrix[own.i.to_numpy(), own.d.to_numpy()] += own.x.to_numpy()
         shared.unpersist()
-    return spark.createDataFrame(pd.DataFrame({"item_id": ids, "vector": list(centre)}), "item_id long, vector array<double>")
+    return spark.createDataFrame(list(zip(ids.tolist(), centre.tolist(), strict=True)), "item_id long, vector array<double>")
 
 
 def warm_start(items: DataFrame, vectors: DataFrame, width: int, seed: int = 7) -> DataFrame:

@@ -236,4 +236,4 @@ def train_towers(samples: DataFrame, items: DataFrame, dims: int = 16, epochs: i
         deltas = samples.select("history", "target", "ts").mapInPandas(epoch(shared), "i long, delta array<double>")
         mean = deltas.select("i", F.posexplode("delta").alias("d", "x")).groupBy("i", "d").agg(F.avg("x").alias("x")).toPandas()
         x[mean.i.to_numpy(), mean.d.to_numpy()] += mean.x.to_numpy()
-    return spark.createDataFrame(pd.DataFrame({"item_id": known, "vector": list(x)}), "item_id long, vector array<double>")
+    return spark.createDataFrame(list(zip(known.tolist(), x.tolist(), strict=True)), "item_id long, vector array<double>")
