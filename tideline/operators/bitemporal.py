@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Entities whose ranges are broadcast at most; beyond it the ranges meet the rows in an ordinary join.
-BROADCAST_RANGES = 200_000
+from tideline.session import settle
+
+#: Names of hot entities and trees that are broadcast at most; more of them meet the rows in an ordinary join.
+MOST_BROADCAST = 200_000
 
 
 class PersistentTree:
@@ -59,10 +61,10 @@ class PersistentTree:
         return np.where(here >= 0, here, down)
 
 
-def _probe(entity: list[str], valued: list[str]):
+def _probe(entity: list[str], valued: list[str], carried: list[str]):
     def kernel(states: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         if points.empty or states.empty:
-            return pd.DataFrame(columns=[*entity, "__known", "__valid", "__state_ts", *valued])
+            return pd.DataFrame(columns=[*entity, "__known", "__valid", *carried, "__state_ts", *valued])
         both = pd.concat([states[entity], points[entity]], ignore_index=True)
         codes = both.groupby(entity, sort=False).ngroup().to_numpy(dtype=np.int64)
         order = np.argsort(states["__recorded"].to_numpy(), kind="stable")
@@ -77,7 +79,7 @@ def _probe(entity: list[str], valued: list[str]):
         roots = np.searchsorted(states["__recorded"].to_numpy(), points["__known"].to_numpy(), side="right") - 1
         found = tree.floor(roots, np.searchsorted(keys, wanted, side="right") - 1)
         hit = (found >= 0) & (state_code[found] == point_code)
-        answer = points.loc[hit, [*entity, "__known", "__valid"]].reset_index(drop=True)
+        answer = points.loc[hit, [*entity, "__known", "__valid", *carried]].reset_index(drop=True)
         chosen = states.iloc[found[hit]].reset_index(drop=True)
         answer["__state_ts"] = chosen["__state_ts"]
         for name in valued:
@@ -94,50 +96,21 @@ def as_known(queries: DataFrame, states: DataFrame, entity: list[str], values: l
     ``valid`` comes out, as columns ``<prefix>ts`` and ``<prefix><value>``; of states with equal ``valid`` the one recorded
     last (equal there too: undefined, so clean such contradictions before). Times are bigint. Entities with few rows share
     a persistent tree per shard (:class:`PersistentTree`): a query takes the root of its known time and searches the valid
-    time. An entity with more than ``tree_rows`` states is cut into ranges of the valid time, each of which has its tree;
-    a query needs two of them at most, the range of its time and the last earlier one in which anything was known by then.
-    If more than ``tree_points`` queries ask for one entity, they are divided among copies of its trees. So no task holds
-    more than a bounded part of an entity. Runs small jobs (counts, the hot entities, a sample of their times).
+    time. Entities with more than ``tree_rows`` states are range-sorted by the valid time, and each range has its tree. A
+    query needs two ranges at most: the last that begins by its valid time and holds a state known by its known time, and
+    the one before that. Both are found by the same lookup over the ranges' first times, which is as distributed as the
+    lookup itself. If more than ``tree_points`` queries ask for one tree, they are divided among copies of it. So no task
+    holds more than a bounded part of an entity, but for states of one entity and one valid time, which stay together, and
+    the driver gets counts only. Runs small jobs, and settles the ranges. Both tables are read several times.
 
     A query with a null in entity or time, or without a known state, gets nulls; states with a null in entity, ``valid`` or
     ``recorded`` never count. Repeated queries each get their answer; other columns of either table don't matter.
     """
-    spark = queries.sparkSession
     valid_from = F.col(valid_at) if valid_at else F.col(known_at)
     kept = states.select(*entity, F.col(valid).cast("long").alias("__state_ts"), F.col(recorded).cast("long").alias("__recorded"), *(F.col(v).alias(f"__v{i}") for i, v in enumerate(values)))
     kept = kept.dropna(subset=[*entity, "__state_ts", "__recorded"])
-    valued = [f"__v{i}" for i in range(len(values))]
-    points = queries.select(*entity, F.col(known_at).cast("long").alias("__known"), valid_from.cast("long").alias("__valid")).dropna().distinct()
-
-    sizes = kept.groupBy(*entity).agg(F.count(F.lit(1)).alias("rows"))
-    asked = points.groupBy(*entity).agg(F.count(F.lit(1)).alias("points"))
-    total_rows = sizes.agg(F.sum("rows")).first()[0] or 0
-    total_points = asked.agg(F.sum("points")).first()[0] or 0
-    shards = max(1, math.ceil(total_rows / tree_rows), math.ceil(total_points / tree_points), min(spark.sparkContext.defaultParallelism, total_rows // 2000))
-    hot = sizes.filter(F.col("rows") > tree_rows).join(asked.filter(F.col("points") > tree_points), entity, "full_outer").fillna(0, ["rows", "points"]).collect()
-
-    units = _units(kept, hot, entity, tree_rows, tree_points)
-    if units is not None:
-        units = F.broadcast(units) if len(hot) + total_rows // tree_rows <= BROADCAST_RANGES else units
-        cut = kept.join(units, entity, "left")
-        kept = cut.withColumn("__range", F.coalesce(F.size(F.filter("__from", lambda x: x <= F.col("__state_ts"))), F.lit(0))).drop("__from")
-        first_known = kept.filter(F.col("__copies").isNotNull()).groupBy(*entity, "__range").agg(F.min("__recorded").alias("k")).groupBy(*entity).agg(F.collect_list(F.struct(F.col("__range").alias("r"), "k")).alias("__known_from"))
-        kept = kept.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.coalesce("__copies", F.lit(1)) - 1))).drop("__copies")
-        placed = points.join(units, entity, "left").join(F.broadcast(first_known) if len(hot) <= BROADCAST_RANGES else first_known, entity, "left")
-        placed = placed.withColumn("__own", F.coalesce(F.size(F.filter("__from", lambda x: x <= F.col("__valid"))), F.lit(0)))
-        before = F.array_max(F.transform(F.filter("__known_from", lambda x: (x.r < F.col("__own")) & (x.k <= F.col("__known"))), lambda x: x.r))
-        placed = placed.withColumn("__range", F.explode(F.array_distinct(F.array_compact(F.array("__own", before)))))
-        points = placed.withColumn("__copy", F.coalesce(F.pmod(F.xxhash64("__known", "__valid"), F.col("__copies").cast("long")).cast("int"), F.lit(0))).select(*points.columns, "__range", "__copy")
-    else:
-        kept = kept.withColumns({"__range": F.lit(0), "__copy": F.lit(0)})
-        points = points.withColumns({"__range": F.lit(0), "__copy": F.lit(0)})
-
-    shard = F.pmod(F.xxhash64(*entity, "__range", "__copy"), F.lit(shards)).cast("int")
-    kept, points = kept.withColumn("__shard", shard), points.withColumn("__shard", shard)
-    fields = [points.schema[c] for c in [*entity, "__known", "__valid"]] + [T.StructField("__state_ts", T.LongType())] + [kept.schema[c] for c in valued]
-    answers = kept.groupBy("__shard").cogroup(points.groupBy("__shard")).applyInPandas(_probe(entity, valued), T.StructType(fields))
-    if units is not None:
-        answers = answers.groupBy(*entity, "__known", "__valid").agg(F.max_by(F.struct("__state_ts", *valued), "__state_ts").alias("s")).select(*entity, "__known", "__valid", "s.*")
+    points = settle(queries.select(*entity, F.col(known_at).cast("long").alias("__known"), valid_from.cast("long").alias("__valid")).dropna().distinct())
+    answers = _lookup(points, kept, entity, [f"__v{i}" for i in range(len(values))], [], tree_rows, tree_points)
     named = answers.select(*(F.col(e).alias(f"__e{i}") for i, e in enumerate(entity)), "__known", "__valid", F.col("__state_ts").alias(f"{prefix}ts"), *(F.col(f"__v{i}").alias(prefix + v) for i, v in enumerate(values)))
     matched = (F.col(known_at).cast("long") == F.col("__known")) & (valid_from.cast("long") == F.col("__valid"))
     for i, e in enumerate(entity):
@@ -145,25 +118,52 @@ def as_known(queries: DataFrame, states: DataFrame, entity: list[str], values: l
     return queries.join(named, matched, "left").select(*queries.columns, f"{prefix}ts", *(prefix + v for v in values))
 
 
-def _units(kept: DataFrame, hot: list, entity: list[str], tree_rows: int, tree_points: int, sample_rows: int = 200_000) -> DataFrame | None:
-    """Ranges of the valid time (their starts, ascending) and number of copies of each hot entity; None without any."""
-    if not hot:
-        return None
-    spark = kept.sparkSession
-    keys = {tuple(row[e] for e in entity): row for row in hot}
-    names = spark.createDataFrame([list(k) for k in keys], T.StructType([kept.schema[e] for e in entity]))
-    total = sum(row["rows"] for row in hot)
-    samples: dict[tuple, list[int]] = {}
-    if total:
-        own = kept.join(F.broadcast(names), entity, "left_semi").select(*entity, "__state_ts")
-        for row in own.sample(False, min(1.0, sample_rows / total), 11).collect():
-            samples.setdefault(tuple(row[e] for e in entity), []).append(row["__state_ts"])
-    out = []
-    for key, row in keys.items():
-        ranges, seen = math.ceil(row["rows"] / tree_rows), np.sort(np.array(samples.get(key, []), dtype=np.int64))
-        cuts = np.unique(seen[(np.arange(1, ranges) * len(seen)) // ranges]) if ranges > 1 and len(seen) else []
-        out.append([*key, [int(x) for x in cuts], max(1, math.ceil(row["points"] / tree_points))])
-    return spark.createDataFrame(out, T.StructType([*(kept.schema[e] for e in entity), T.StructField("__from", T.ArrayType(T.LongType())), T.StructField("__copies", T.IntegerType())]))
+def _lookup(points: DataFrame, kept: DataFrame, entity: list[str], valued: list[str], carried: list[str], tree_rows: int, tree_points: int) -> DataFrame:
+    """The points that have a known state, with its ``__state_ts`` and values."""
+    spark = points.sparkSession
+    sizes = kept.groupBy(*entity).agg(F.count(F.lit(1)).alias("rows"))
+    large = F.col("rows") > tree_rows
+    total = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.count_if(large).alias("hot"), F.coalesce(F.sum(F.when(large, F.col("rows"))), F.lit(0)).alias("hot_rows")).first()
+    kept, points = kept.withColumn("__range", F.lit(0)), points.withColumn("__range", F.lit(0))
+    if total["hot"]:
+        names = _small(sizes.filter(large).select(*entity), total["hot"])
+        cut = kept.join(names, entity, "left_semi").repartitionByRange(2 * math.ceil(total["hot_rows"] / tree_rows), *entity, "__state_ts")
+        cut = settle(cut.withColumn("__range", F.spark_partition_id() + 1))
+        ranges = settle(cut.groupBy(*entity, F.col("__range").alias("__place")).agg(F.min("__state_ts").alias("__state_ts"), F.min("__recorded").alias("__recorded")))
+        kept = kept.join(names, entity, "left_anti").unionByName(cut)
+        asking = points.join(names, entity, "left_semi").drop("__range")
+        columns = [*entity, "__known", "__valid", *carried]
+        own = settle(_lookup(asking, ranges, entity, ["__place"], carried, tree_rows, tree_points))
+        asked_for = f"__asked{len(carried)}"  # a name per level
+        earlier = own.withColumns({asked_for: F.col("__valid"), "__valid": F.try_subtract("__state_ts", F.lit(1))}).drop("__state_ts", "__place").dropna(subset=["__valid"])
+        before = _lookup(earlier, ranges, entity, ["__place"], [*carried, asked_for], tree_rows, tree_points).drop("__valid").withColumnRenamed(asked_for, "__valid")
+        placed = settle(own.unionByName(before).select(*columns, F.col("__place").alias("__range")))
+        points = points.join(names, entity, "left_anti").unionByName(placed)
+
+    cells = points.groupBy(*entity, "__range").agg(F.count(F.lit(1)).alias("points"))
+    busy = F.col("points") > tree_points
+    asked = cells.agg(F.coalesce(F.sum("points"), F.lit(0)).alias("points"), F.count_if(busy).alias("busy")).first()
+    copies = F.lit(1)
+    if asked["busy"]:
+        divided = _small(cells.filter(busy).select(*entity, "__range", F.ceil(F.col("points") / F.lit(tree_points)).cast("int").alias("__copies")), asked["busy"])
+        kept, points = (df.join(divided, [*entity, "__range"], "left") for df in (kept, points))
+        copies = F.coalesce("__copies", F.lit(1))
+    kept = kept.withColumn("__copy", F.explode(F.sequence(F.lit(0), copies - 1)))
+    points = points.withColumn("__copy", F.pmod(F.xxhash64("__known", "__valid"), copies.cast("long")).cast("int"))
+
+    shards = max(1, math.ceil(total["rows"] / tree_rows), math.ceil(asked["points"] / tree_points), min(spark.sparkContext.defaultParallelism, total["rows"] // 2000))
+    shard = F.pmod(F.xxhash64(*entity, "__range", "__copy"), F.lit(shards)).cast("int").alias("__shard")
+    kept = kept.select(shard, *entity, "__state_ts", "__recorded", *valued)
+    points = points.select(shard, *entity, "__known", "__valid", *carried)
+    fields = [points.schema[c] for c in points.columns[1:]] + [T.StructField("__state_ts", T.LongType())] + [kept.schema[c] for c in valued]
+    answers = kept.groupBy("__shard").cogroup(points.groupBy("__shard")).applyInPandas(_probe(entity, valued, carried), T.StructType(fields))
+    if total["hot"]:  # of the two ranges' states the later one
+        answers = answers.groupBy(*points.columns[1:]).agg(F.max_by(F.struct("__state_ts", *valued), "__state_ts").alias("s")).select(*points.columns[1:], "s.*")
+    return answers
+
+
+def _small(rows: DataFrame, number: int) -> DataFrame:
+    return F.broadcast(rows) if number <= MOST_BROADCAST else rows
 
 
 def clean_states(states: DataFrame, entity: list[str], value: str, valid: str = "timestamp", recorded: str = "recorded_ts") -> DataFrame:

@@ -30,21 +30,21 @@ def _sample_states(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
     for table, attribute in (("item_category_changes", "categoryid"), ("item_availability_changes", "available")):
         one = read_table(spark, folder, table).select(F.lit(attribute).alias("attribute"), "itemid", "timestamp", F.col(attribute).alias("value"), "recorded_ts")
         changes = one if changes is None else changes.unionByName(one)
-    states = settle(clean_states(changes, ["attribute", "itemid"], "value"))
-    return as_known(samples, states, ["attribute", "itemid"], ["value"]), states
+    return settle(samples), settle(clean_states(changes, ["attribute", "itemid"], "value"))
 
 
 def p4_states(spark: SparkSession, folder: str) -> DataFrame:
     """Category and availability of each sample's item as known at its time."""
-    return _sample_states(spark, folder)[0].select("sample_id", "attribute", F.coalesce("state_ts", F.lit(-1)).alias("state_ts"), F.coalesce("state_value", F.lit(-1)).alias("state_value"))
+    known = as_known(*_sample_states(spark, folder), ["attribute", "itemid"], ["value"])
+    return known.select("sample_id", "attribute", F.coalesce("state_ts", F.lit(-1)).alias("state_ts"), F.coalesce("state_value", F.lit(-1)).alias("state_value"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Samples whose known state differs from the newest one."""
-    known, states = _sample_states(spark, folder)
+    """Samples whose known state differs from the newest one; the newest is attached first, so that the trees are built once."""
+    samples, states = _sample_states(spark, folder)
     newest = newest_states(states, ["attribute", "itemid"], "value").select("attribute", "itemid", F.col("value").alias("newest"))
-    both = skewed_join(known, newest, ["attribute", "itemid"])
-    return both.filter(~F.col("state_value").eqNullSafe(F.col("newest"))).select("session", "attribute", F.coalesce("state_ts", F.lit(-1)).alias("state_ts")).distinct()
+    known = as_known(settle(skewed_join(samples, newest, ["attribute", "itemid"])), states, ["attribute", "itemid"], ["value"])
+    return known.filter(~F.col("state_value").eqNullSafe(F.col("newest"))).select("session", "attribute", F.coalesce("state_ts", F.lit(-1)).alias("state_ts")).distinct()
 
 
 QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p4_found": p4_found, "p4_states": p4_states}
