@@ -6,9 +6,11 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tideline.llm.bpe import TOKENIZERS, Encoder, Merges, token_counts, token_ids
-from tideline.llm.mixing import mix_sources, split_quotas
+from tideline.llm import mixing
+from tideline.llm.mixing import mix_sources, permuted, split_quotas
 
 FILE = os.path.join(TOKENIZERS, "byte_bpe_50k.json")
 
@@ -48,11 +50,32 @@ def test_table_of_texts(spark, library):
     assert token_ids(df.limit(0), "doc_id").count() == 0
 
 
-def test_split_quotas_keeps_sums():
-    counts = np.array([100, 3, 0, 57])
-    out = split_quotas(counts, 7, np.random.default_rng(1))
-    assert (out.sum(axis=0) == counts).all() and (out >= 0).all()
-    assert out.sum(axis=1).max() - out.sum(axis=1).min() <= 3
+@pytest.mark.parametrize("unit", [1, 10**9])
+def test_split_quotas_keeps_sums(unit):
+    counts = np.array([100, 3, 0, 57]) * unit
+    ranges, out = split_quotas(counts, 0, 7, 1)
+    assert (out.sum(axis=0) == counts).all() and (out >= 0).all() and [tuple(r) for r in ranges] == [(i, i + 1) for i in range(7)]
+    assert out.sum(axis=1).max() - out.sum(axis=1).min() <= max(3, 0.01 * counts.sum())
+    top, part = split_quotas(counts, 0, 7, 1, most=4)
+    below = [split_quotas(part[i], int(l), int(h), 1)[1] for i, (l, h) in enumerate(top)]
+    assert len(top) == 4 and (np.concatenate(below) == out).all()
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 1000, 4097])
+def test_permutation_is_one(n):
+    assert sorted(permuted(np.arange(n), n, 3).tolist()) == list(range(n))
+
+
+def test_many_shards_are_near_the_targets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "TOP_NODES", 64)
+    df = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.when(F.col("id") % 6 == 0, "b").otherwise("a").alias("source"))
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 3)], "source string, target_share double, max_repeats int")
+    per = defaultdict(Counter)
+    for r in mix_sources(df, targets, shard_tokens=200).rows.collect():
+        per[r.shard][r.source] += r.tokens
+    assert len(per) == 300 and sum(sum(c.values()) for c in per.values()) == pytest.approx(60_000, abs=2)
+    assert all(140 <= sum(c.values()) <= 260 and 0.3 <= c["b"] / sum(c.values()) <= 0.7 for c in per.values())
+    assert sum(c["b"] for c in per.values()) == pytest.approx(30_000, abs=1)
 
 
 @pytest.fixture(scope="module")
