@@ -52,6 +52,17 @@ def test_nearest_over_shards(spark, points):
     assert all(len(v) == len(set(v)) == 10 for v in found.values())
 
 
+@pytest.mark.parametrize(("sample_rows", "ask_rows"), [(64, None), (40_000, 300)])
+def test_small_sample_and_slices_of_askers(spark, points, sample_rows, ask_rows):
+    # a first fit with two centres only, divided in tasks; shards that many vectors ask search in slices
+    df = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(points)], "item long, vector array<float>")
+    found = {}
+    for r in nearest(df, 10, width=16, shard_rows=400, probes=4, ef=24, sample_rows=sample_rows, ask_rows=ask_rows).collect():
+        found.setdefault(r.item, []).append(r.neighbour)
+    assert recall(found, points, 10, np.arange(0, 3000, 20)) >= 0.9
+    assert all(len(v) == len(set(v)) == 10 for v in found.values())
+
+
 def test_large_cell_of_equal_vectors(spark):
     rng = np.random.default_rng(8)
     rows = [(i, [1.0] * 8) for i in range(300)] + [(1000 + i, [float(v) for v in rng.normal(size=8)]) for i in range(100)]

@@ -12,8 +12,9 @@ from tideline.llm.pairs import pair_counts
 from tideline.llm.subjects import assign_subjects, fit_subjects
 from tideline.llm.topn import top_n
 from tideline.operators.events import typed_events
+from tideline.operators.vectors import cosine_topk
 from tideline.plans.training import COUNTED_SQL
-from tideline.session import read_table
+from tideline.session import read_table, settle
 
 
 def _pairs(spark: SparkSession, folder: str, **limits: float) -> DataFrame:
@@ -47,6 +48,19 @@ def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return near.select(F.col("item").alias("item_id"), F.col("neighbour").alias("neighbour_id"), F.round("similarity", 6).alias("similarity"))
 
 
+def p3_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Items divisible by 20, all their true ten most similar items, and whether p3_neighbours holds 0.95 or more of these."""
+    return _recall(spark, folder).select("asked", "pairs", (F.col("held") >= 0.95 * F.col("pairs")).alias("reached"))
+
+
+def _recall(spark: SparkSession, folder: str) -> DataFrame:
+    valid = settle(_vectors(spark, folder))
+    near = p3_neighbours(spark, folder).filter(F.col("item_id") % 20 == 0).select(F.col("item_id").alias("query_id"), F.col("neighbour_id").alias("item_id"), F.lit(1).alias("held"))
+    catalogue = valid.withColumnRenamed("item", "item_id")
+    exact = cosine_topk(catalogue.filter(F.col("item_id") % 20 == 0).withColumnRenamed("item_id", "query_id"), catalogue, 10, same=True)
+    return exact.join(near, ["query_id", "item_id"], "left").agg(F.count_distinct("query_id").alias("asked"), F.count(F.lit(1)).alias("pairs"), F.coalesce(F.sum("held"), F.lit(0)).alias("held"))
+
+
 def p5_top(spark: SparkSession, folder: str) -> DataFrame:
     """The ten best items of every sample with score and rank."""
     return top_n(read_table(spark, folder, "candidate_features"), "sample_id", "aid", "final_score", 10)
@@ -104,6 +118,7 @@ QUERIES = {
     "p2_pairs": p2_pairs,
     "p3_found": p3_found,
     "p3_neighbours": p3_neighbours,
+    "p3_recall": p3_recall,
     "p5_found": p5_found,
     "p5_top": p5_top,
     "p6_ids": p6_ids,
@@ -125,6 +140,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY final_sc
 _VECTORS = """WITH newest AS (SELECT item_ids AS i, max(struct_pack(e := epoch, v := vectors)).v AS v FROM item2vec_embeddings WHERE item_ids IS NOT NULL GROUP BY item_ids),
 valid AS (SELECT i, v::DOUBLE[] AS v FROM newest WHERE len(v) = 64 AND len([x for x in v if isfinite(x)]) = 64 AND len([x for x in v if x <> 0]) > 0)"""
 ORACLES = {
+    "p3_recall": f"{_VECTORS} SELECT count(*) AS asked, CAST(sum(least(10, (SELECT count(*) FROM valid) - 1)) AS BIGINT) AS pairs, true AS reached FROM valid WHERE i % 20 = 0",
     "p3_found": f"{_VECTORS} SELECT a.i AS item_id_a, b.i AS item_id_b FROM valid a JOIN valid b ON a.i < b.i WHERE list_cosine_similarity(a.v, b.v) >= 0.94",
     "p2_found": f"{_PAIRS} SELECT aid_a, aid_b FROM measured WHERE n_ab >= 10 AND n_ab * s / (n_a * n_b) >= 15",
     "p2_pairs": f"{_PAIRS} SELECT aid_a, aid_b, n_ab, round(n_ab * s / (n_a * n_b), 6) AS lift, round(ln((n_ab + 0.5) * (s - n_a - n_b + n_ab + 0.5) / ((n_a - n_ab + 0.5) * (n_b - n_ab + 0.5))), 6) AS log_odds FROM measured",
