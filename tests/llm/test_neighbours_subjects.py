@@ -5,7 +5,7 @@ import pytest
 
 from tideline.llm.hnsw import Hnsw
 from tideline.llm.neighbours import nearest, valid_vectors
-from tideline.llm.subjects import assign_subjects, fit_accuracies, fit_subjects, sentences_of
+from tideline.llm.subjects import FUNCTIONS, Knowledge, _Reader, assign_subjects, fit_accuracies, fit_subjects, sentences_of
 
 
 def unit(x):
@@ -106,10 +106,32 @@ def test_latent_model_trusts_the_better_function():
     bad = np.where(rng.random(4000) < 0.4, truth, rng.integers(-1, 4, 4000))
     votes = np.stack([good, np.full(4000, -2), good, bad, np.full(4000, -2)], axis=1)
     unique, counts = np.unique(votes, axis=0, return_counts=True)
-    log_vote, _ = fit_accuracies(unique, counts.astype(float), 4)
+    log_vote, _, _ = fit_accuracies(unique, counts.astype(float), 4)
     assert log_vote[0][0, 0] > log_vote[3][0, 0]
 
 
+@pytest.mark.parametrize("scale", [1, 1000])
+def test_rare_bad_function_loses_weight(scale):
+    rng = np.random.default_rng(12)
+    truth = rng.integers(-1, 4, 20_000)
+    lexicon = np.where(rng.random(20_000) < 0.9, truth, rng.integers(-1, 4, 20_000))
+    frame = np.where(rng.random(20_000) < 0.5, truth, -2)
+    none = np.full(20_000, -2)
+    address = np.where(rng.random(20_000) < 0.01, rng.integers(0, 4, 20_000), -2)
+    votes = np.stack([lexicon, frame, none, none, address, none], axis=1)
+    unique, counts = np.unique(votes, axis=0, return_counts=True)
+    _, _, right = fit_accuracies(unique, scale * counts.astype(float), 4)
+    assert right[0] > 0.88 and right[4] < 0.6
+
+
+def test_heading_votes_for_its_section():
+    know = Knowledge(["law", "sport"], {"court": np.array([3.0, 0.0]), "goal": np.array([0.0, 3.0])}, least=1.0, margin=0.5)
+    batch = _Reader().read(["Nothing yet. Chapter 3: the court. It was late. <h2>The goal</h2> Rain fell. <p>Nobody came.</p>", "It was late."])
+    batch.sources = [None, None]
+    section = know.votes(batch)[:, FUNCTIONS.index("section")]
+    assert section.tolist() == [-2, -2, 0, -2, 1, 1, -2]
+
+
 WORDS = {
     "law": "court judge verdict lawsuit bailiff tribunal notary statute plaintiff witness probate clause".split(),
     "sport": "goal striker racket hurdle trophy referee marathon javelin goalkeeper regatta league stadium".split(),
@@ -139,10 +161,11 @@ def test_subjects_of_documents(spark):
     examples = [(s.upper() + " ", f"Between the {a} and the {b} there is little to choose. Ask about the {b}.") for s, w in WORDS.items() for a, b in zip(w[:9], w[1:9] + w[:1])]
     examples += [(None, "x y z."), ("law", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS subject", "2 AS key")
-    known = fit_subjects(df, spark.createDataFrame(examples, "subject string, text string"))
+    known, parsed = fit_subjects(df, spark.createDataFrame(examples, "subject string, text string"))
     assert known.subjects == ["cooking", "law", "sport"] and "clause" in known.lexicon
     got = {(r.doc_id, r.subject) for r in assign_subjects(df, known).collect()}
     assert len(got & truth) / len(got | truth) > 0.97
+    assert {(r.doc_id, r.subject) for r in assign_subjects(df, known, parsed).collect()} == got
     assert assign_subjects(df.limit(0), known).count() == 0
 
 
@@ -152,13 +175,13 @@ def test_rare_words_are_learned_in_large_corpora(spark):
     rows += [(1000 + i, f"Between the zamboni and the {a} there is little to choose. Ask the {b} about the {c}. The {c} and the {a} came.", "review") for i, (a, b, c) in enumerate(zip(WORDS["sport"], WORDS["sport"][1:], WORDS["sport"][2:])) if i < 6]
     examples = [(s, f"Between the {a} and the {b} there is little to choose. Ask about the {b}.") for s, w in WORDS.items() for a, b in zip(w, w[1:] + w[:1])]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").unionByName(spark.range(10_000, 210_000).selectExpr("id AS doc_id", "CAST(NULL AS string) AS text", "'review' AS source"))
-    known = fit_subjects(df, spark.createDataFrame(examples, "subject string, text string"))
+    known, parsed = fit_subjects(df, spark.createDataFrame(examples, "subject string, text string"))
     assert "zamboni" in known.lexicon and known.lexicon["zamboni"].argmax() == known.subjects.index("sport")
 
 
 def test_subjects_without_examples_or_documents(spark):
     none = spark.createDataFrame([], "subject string, text string")
     docs = spark.createDataFrame([(1, "Some text here.", "a")], "doc_id long, text string, source string")
-    assert assign_subjects(docs, fit_subjects(docs, none)).count() == 0
+    assert assign_subjects(docs, *fit_subjects(docs, none)).count() == 0
     one = spark.createDataFrame([("law", "The court and the judge. The court and the judge.")], "subject string, text string")
-    assert assign_subjects(docs.limit(0), fit_subjects(docs.limit(0), one)).count() == 0
+    assert assign_subjects(docs.limit(0), *fit_subjects(docs.limit(0), one)).count() == 0

@@ -5,6 +5,7 @@ from itertools import combinations
 
 import pytest
 
+from tideline.llm import pairs
 from tideline.llm.pairs import item_codes, pair_counts
 from tideline.llm.topn import top_n
 
@@ -28,8 +29,10 @@ def log():
     return rows
 
 
-@pytest.mark.parametrize("block", [256, 4])
-def test_pairs_equal_brute_force(spark, log, block):
+@pytest.mark.parametrize(("block", "broadcast"), [(256, 500_000), (4, 0)])
+def test_pairs_equal_brute_force(spark, log, block, broadcast, monkeypatch):
+    monkeypatch.setattr(pairs, "MOST_BROADCAST", broadcast)
+    log = log + [(s, 10**9) for s in range(120)]  # an item of nearly all records
     total, single, both = brute_pairs(log)
     df = spark.createDataFrame(log, "session long, aid long").selectExpr("*", "1 AS item_a", "2 AS code", "3 AS n_ab")
     got = {(r.item_a, r.item_b): r for r in pair_counts(df, "session", "aid", block=block).collect()}

@@ -215,7 +215,7 @@ def nearest(vectors: DataFrame, k: int, item: str = "item", vector: str = "vecto
     asks the ``probes`` nearest shards whose centres are at most ``gap`` less similar than the nearest. Centres are fitted on a
     sample of at most ``sample_rows`` vectors; a cell with far more vectors than a shard gets centres of its own, fitted in tasks, as often
     as needed, and one that centres can't divide is divided by item, all parts being asked. Each shard's task builds a navigable
-    small-world graph in flat arrays and searches it in batches. A shard that more than ``ask_rows`` (default: twice ``shard_rows``)
+    small-world graph in flat arrays and searches it in batches. A shard that more than ``ask_rows`` (default: four times ``shard_rows``)
     other vectors ask stores its graph, and slices of its askers search it in tasks of their own. The shard results are merged by
     similarity, then the smaller item. ``probes`` and ``ef`` (beam width) set the accuracy. The driver holds the centres, one per shard.
     Runs jobs (row count, sample, cell sizes).
@@ -229,7 +229,7 @@ def nearest(vectors: DataFrame, k: int, item: str = "item", vector: str = "vecto
     centres, own, asked = _fit_cells(rows, total, shard_rows, probes, gap, sample_rows, width, seed)
     parts = np.maximum(1, np.where(own > 2 * shard_rows, np.ceil(own / shard_rows), 1)).astype(np.int64)
     first = np.cumsum(parts) - parts
-    ask_rows = 2 * shard_rows if ask_rows is None else ask_rows
+    ask_rows = 4 * shard_rows if ask_rows is None else ask_rows
     askers = np.repeat(asked + np.where(parts > 1, own, 0), parts)  # of a divided cell, the other parts' vectors ask, too
     slices = np.where(askers > ask_rows, np.ceil(askers / ask_rows), 0).astype(np.int64)
     hot = frozenset(np.flatnonzero(slices).tolist())

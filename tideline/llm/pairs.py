@@ -14,6 +14,8 @@ from tideline.session import settle
 
 #: Pair codes in one sorted run of a task (8 bytes each).
 RUN_CODES = 1 << 21
+#: Items up to which their names and counts (24 bytes each) are broadcast to the counted pairs; more of them meet in a join that splits hot items.
+MOST_BROADCAST = 500_000
 
 
 def item_codes(items: DataFrame, item: str) -> DataFrame:
@@ -122,7 +124,7 @@ def pair_counts(records: DataFrame, record: str, item: str, min_count: int = 1,
 
     Items get dense 32-bit codes; a pair is one 64-bit code. Each task writes sorted runs with run-length counts (its
     map-side combine), Spark's shuffle divides the runs by code, its external sort spills and merges them, and a last
-    pass sums the run lengths. Records of more than ``block`` items are cut into blocks, and each pair of blocks is a work
+    pass sums the run lengths. The items' names and counts are broadcast to the pairs if they are few, else joined with hot items split. Records of more than ``block`` items are cut into blocks, and each pair of blocks is a work
     item of its own, so a long record doesn't stay in one task. Two exact bounds save work where limits are given: an item
     in fewer than ``min_count`` records has no such pair, nor has one in more than ``records / min_lift`` of them, since
     ``lift <= records / max(n_a, n_b)``. Runs several jobs.
@@ -155,8 +157,10 @@ def pair_counts(records: DataFrame, record: str, item: str, min_count: int = 1,
 
     low, high = unpack("code")
     merged = merged.select(low.alias("__a"), high.alias("__b"), F.col("n").alias("n_ab"))
+    few = items.count() <= MOST_BROADCAST
     for side in "ab":
-        merged = merged.join(items.select(F.col("code").alias(f"__{side}"), F.col("__i").alias(f"item_{side}"), F.col("__n").alias(f"n_{side}")), f"__{side}")
+        named = items.select(F.col("code").alias(f"__{side}"), F.col("__i").alias(f"item_{side}"), F.col("__n").alias(f"n_{side}"))
+        merged = merged.join(F.broadcast(named), f"__{side}") if few else skewed_join(settle(merged), named, [f"__{side}"])
     cells = [F.col("n_ab"), F.col("n_a") - F.col("n_ab"), F.col("n_b") - F.col("n_ab"), F.lit(total) - F.col("n_a") - F.col("n_b") + F.col("n_ab")]
     a, b, c, d = (x.cast("double") + 0.5 for x in cells)
     lift = F.col("n_ab").cast("double") * F.lit(float(total)) / (F.col("n_a").cast("double") * F.col("n_b").cast("double"))

@@ -99,8 +99,7 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 def p8_subjects(spark: SparkSession, folder: str) -> DataFrame:
     """Subjects of every document with the sentences about them."""
     documents = read_table(spark, folder, "documents")
-    known = fit_subjects(documents, read_table(spark, folder, "subject_examples"))
-    return assign_subjects(documents, known)
+    return assign_subjects(documents, *fit_subjects(documents, read_table(spark, folder, "subject_examples")))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,6 +112,12 @@ def p8_corpus(spark: SparkSession, folder: str) -> DataFrame:
     return p8_subjects(spark, folder).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.sum("about").alias("sentences"))
 
 
+def p8_accuracies(spark: SparkSession, folder: str) -> DataFrame:
+    """Votes of each labelling function and the learned share of right ones among those for sentences with a subject."""
+    known, _ = fit_subjects(read_table(spark, folder, "documents"), read_table(spark, folder, "subject_examples"))
+    return spark.createDataFrame(known.accuracies, "function string, votes long, accuracy double")
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_pairs": p2_pairs,
@@ -128,6 +133,7 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_subjects": p8_subjects,
     "p8_corpus": p8_corpus,
+    "p8_accuracies": p8_accuracies,
 }
 
 _PAIRS = f"""WITH {COUNTED_SQL}, held AS (SELECT DISTINCT session, aid FROM counted WHERE session IS NOT NULL),
