@@ -1,5 +1,4 @@
 import itertools
-import json
 import math
 import zipfile
 
@@ -38,6 +37,45 @@ def test_rq_kmeans(points):
     assert first.max() <= math.ceil(60 / 4 * 1.2)
 
 
+def test_repair_keeps_the_capacity():
+    rng = np.random.default_rng(4)
+    prefix, distance = np.repeat(np.arange(6), 5)[:, None], rng.random((30, 8))
+    distance[:, 0] -= 2  # all want the first token
+    token, capacity = codes.balanced_tokens(distance, 1.25)
+    got = codes.resolve_last_level(prefix, token, distance, capacity)
+    assert capacity == 5 and np.bincount(got, minlength=8).max() <= capacity
+    assert all(len(set(got[prefix[:, 0] == p])) == 5 for p in range(6))
+    assert np.bincount(codes.resolve_last_level(prefix, token, distance), minlength=8).max() > capacity
+
+
+def test_preparation_whitens(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 6)) @ np.diag([5, 3, 2, 1, 0.5, 0.1]) + 4
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item_id long, vector array<double>").selectExpr("*", "1 AS c1")
+    state = codes.prepare(df, 3, unit=False)
+    got = np.array([r.vector for r in codes.prepared(df, state).orderBy("item_id").collect()])
+    assert got.shape == (200, 3) and np.allclose(np.cov(got.T), np.eye(3), atol=1e-6) and np.allclose(got.mean(axis=0), 0, atol=1e-9)
+    assert np.allclose(state["variance"], np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1][:3])
+    units = np.array([r.vector for r in codes.prepared(df, codes.prepare(df, 3)).collect()])
+    assert np.allclose((units**2).sum(axis=1), 1)
+    with pytest.raises(ValueError):
+        codes.fit_quantiser(df, [1, 4])
+    with pytest.raises(ValueError):
+        codes.fit_quantiser(df, [4, 4], max_items=100)
+
+
+def test_stored_quantiser_encodes_alike(spark, points, tmp_path):
+    found = codes.fit_quantiser(points, [4, 30], dimensions=6)
+    files.save_quantiser(spark, found, str(tmp_path / "q"))
+    again = files.load_quantiser(spark, str(tmp_path / "q"))
+    assert sorted(map(tuple, again.codes.collect())) == sorted(map(tuple, found.codes.collect()))
+    assert sorted(map(tuple, codes.encode(points, again).collect())) == sorted(map(tuple, codes.encode(points, found).collect()))
+    assert [m["level"] for m in again.measures] == [1, 2] and all(m["largest_bucket"] <= m["capacity"] for m in again.measures)
+    codes.encode(points, found).write.mode("overwrite").parquet(str(tmp_path / "q/codes.parquet"))
+    with pytest.raises(ValueError):
+        files.load_quantiser(spark, str(tmp_path / "q"))
+
+
 def test_residuals_fall(points):
     books = codes.fit_codebooks(points, [4, 4, 4])
     left = np.array([r.vector for r in points.orderBy("item_id").collect()])
@@ -142,7 +180,7 @@ def test_artefacts(spark, points, tmp_path):
     path = str(tmp_path / "v")
     files.save_vectors(points, path)
     assert files.load_vectors(spark, path).count() == 60
-    files.write_json(json.loads((tmp_path / "v/manifest.json").read_text()) | {"fingerprint": "x"}, f"{path}/manifest.json")
+    files.write_json(spark, files.read_json(spark, f"{path}/manifest.json") | {"fingerprint": "x"}, f"{path}/manifest.json")
     with pytest.raises(ValueError):
         files.load_vectors(spark, path)
     calls = []

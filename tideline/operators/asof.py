@@ -2,41 +2,68 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tideline.session import settle
+
 DAY_MS = 86_400_000
 
 
-def backward_asof(queries: DataFrame, states: DataFrame, key: str, time: str, state_key: str, state_time: str, values: list[str], prefix: str = "", bucket_ms: int = 7 * DAY_MS) -> DataFrame:
+def backward_asof(queries: DataFrame, states: DataFrame, key: str, time: str, state_key: str, state_time: str, values: list[str], prefix: str = "", bucket_ms: int = 7 * DAY_MS, cell_rows: int = 1_000_000) -> DataFrame:
     """Add to each query the values and ``<prefix>state_ts`` of the last state of its key with a time not later than its own.
 
-    Queries and states are united and the last state is carried forward. A key is cut into time buckets, so that one that
-    holds most rows is spread over many tasks; what comes before a bucket is carried in one row per bucket. Each row is
-    shuffled once. States of one key and time: the one with the greatest values. Nulls in key or time match nothing; other
-    columns of the states don't matter.
+    States of one key and time: the one with the greatest values. Nulls in key or time match nothing; other columns of the states don't
+    matter. See :func:`backward_asof_all` for how it is done.
+    """
+    return backward_asof_all(queries, key, time, [(states, state_key, state_time, values, prefix)], bucket_ms, cell_rows)
+
+
+def backward_asof_all(queries: DataFrame, key: str, time: str, tables: list[tuple[DataFrame, str, str, list[str], str]], bucket_ms: int = 7 * DAY_MS, cell_rows: int = 1_000_000) -> DataFrame:
+    """:func:`backward_asof` for several state tables ``(states, key, time, values, prefix)`` in one pass over the queries.
+
+    Queries and states are united and the last state of each table is carried forward. A key is cut into cells by time; cells of more than
+    ``cell_rows`` rows are range-sorted by key and time and cut by the number of rows, so that a key that holds most rows, of all times or
+    of one, is spread over many tasks (rows of one key and instant stay together). What comes before a cell is carried in one row per cell.
+    Rows are counted first, in a job, and those of large cells are settled; all others are shuffled once.
     """
-    kept = states.select(F.col(state_key).alias("__k"), F.col(state_time).alias("__t"), *(F.col(v).alias(f"__v_{v}") for v in values)).dropna(subset=["__k", "__t"])
     tagged = queries.select(F.col(key).alias("__k"), F.col(time).alias("__t"), F.struct(*(queries[c] for c in queries.columns)).alias("__q"))
-    state = F.struct(F.col("__t").alias("t"), *(F.col(f"__v_{v}").alias(v) for v in values))
-    both = tagged.withColumns({"__s": F.lit(None).cast(kept.select(state.alias("s")).schema["s"].dataType), "__tag": F.lit(1)})
-    both = both.unionByName(kept.select("__k", "__t", F.lit(None).cast(tagged.schema["__q"].dataType).alias("__q"), state.alias("__s"), F.lit(0).alias("__tag")))
-    both = both.withColumn("__b", F.expr(f"__t div {bucket_ms}"))
-    inside = Window.partitionBy("__k", "__b").orderBy("__t", "__tag", "__s").rowsBetween(Window.unboundedPreceding, 0)
-    last_of = both.groupBy("__k", "__b").agg(F.max("__s").alias("__last"))
-    before = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = last_of.withColumn("__before", F.last("__last", ignorenulls=True).over(before)).drop("__last")
-    rows = both.withColumn("__own", F.last("__s", ignorenulls=True).over(inside)).filter("__tag = 1")
-    joined = rows.join(carried, (rows["__k"].eqNullSafe(carried["__k"])) & (rows["__b"].eqNullSafe(carried["__b"])), "left")
-    found = F.when(rows["__k"].isNotNull() & rows["__t"].isNotNull(), F.coalesce("__own", "__before"))
-    return joined.withColumn("__f", found).select("__q.*", F.col("__f.t").alias(f"{prefix}state_ts"), *(F.col(f"__f.{v}").alias(v) for v in values))
+    kinds, parts = [], []
+    for states, state_key, state_time, values, _ in tables:
+        kept = states.select(F.col(state_key).alias("__k"), F.col(state_time).alias("__t"), *(F.col(v).alias(f"__v_{v}") for v in values)).dropna(subset=["__k", "__t"])
+        parts.append(kept.select("__k", "__t", F.struct(F.col("__t").alias("t"), *(F.col(f"__v_{v}").alias(v) for v in values)).alias("__s")))
+        kinds.append(parts[-1].schema["__s"].dataType)
+    empty = [F.lit(None).cast(kind).alias(f"__s{i}") for i, kind in enumerate(kinds)]
+    both = tagged.select("__k", "__t", "__q", *empty, F.lit(1).alias("__tag"))
+    for i, part in enumerate(parts):
+        own = [F.col("__s").alias(f"__s{i}") if i == j else e for j, e in enumerate(empty)]
+        both = both.unionByName(part.select("__k", "__t", F.lit(None).cast(tagged.schema["__q"].dataType).alias("__q"), *own, F.lit(0).alias("__tag")))
+    both = both.withColumns({"__b": F.expr(f"__t div {bucket_ms}"), "__c": F.lit(0)})
+    cells = both.groupBy("__k", "__b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cell_rows)
+    large = cells.agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("rows")).first()
+    if large["cells"]:
+        names = cells.select(F.col("__k").alias("__k2"), F.col("__b").alias("__b2"))
+        names = F.broadcast(names) if large["cells"] <= 200_000 else names
+        same = F.col("__k").eqNullSafe(F.col("__k2")) & F.col("__b").eqNullSafe(F.col("__b2"))
+        cut = both.join(names, same, "left_semi").repartitionByRange(2 * math.ceil(large["rows"] / cell_rows), "__k", "__t")
+        both = both.join(names, same, "left_anti").unionByName(settle(cut.withColumn("__c", F.spark_partition_id())))
+    inside = Window.partitionBy("__k", "__b", "__c").orderBy("__t", "__tag", *(f"__s{i}" for i in range(len(tables)))).rowsBetween(Window.unboundedPreceding, 0)
+    last_of = both.groupBy("__k", "__b", "__c").agg(*(F.max(f"__s{i}").alias(f"__last{i}") for i in range(len(tables))))
+    before = Window.partitionBy("__k").orderBy("__b", "__c").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last_of.select("__k", "__b", "__c", *(F.last(f"__last{i}", ignorenulls=True).over(before).alias(f"__before{i}") for i in range(len(tables))))
+    rows = both.select("__k", "__t", "__b", "__c", "__q", "__tag", *(F.last(f"__s{i}", ignorenulls=True).over(inside).alias(f"__own{i}") for i in range(len(tables)))).filter("__tag = 1")
+    joined = rows.join(carried, rows["__k"].eqNullSafe(carried["__k"]) & rows["__b"].eqNullSafe(carried["__b"]) & (rows["__c"] == carried["__c"]), "left")
+    found = {f"__f{i}": F.when(rows["__k"].isNotNull() & rows["__t"].isNotNull(), F.coalesce(f"__own{i}", f"__before{i}")) for i in range(len(tables))}
+    out = [c for i, (*_, values, prefix) in enumerate(tables) for c in (F.col(f"__f{i}.t").alias(f"{prefix}state_ts"), *(F.col(f"__f{i}.{v}").alias(v) for v in values))]
+    return joined.withColumns(found).select("__q.*", *out)
 
 
 def asof_enrich(events: DataFrame, categories: DataFrame, availability: DataFrame, paths: DataFrame) -> DataFrame:
     """Category, availability and category path of each event's item as of its time; -1, false and ``[-1]`` where unknown."""
-    rows = backward_asof(events, categories, "aid", "ts", "itemid", "timestamp", ["categoryid"], "category_")
-    rows = backward_asof(rows, availability, "aid", "ts", "itemid", "timestamp", ["available"], "availability_")
-    rows = rows.join(F.broadcast(paths), "categoryid", "left")
+    rows = backward_asof_all(events, "aid", "ts", [(categories, "itemid", "timestamp", ["categoryid"], "category_"), (availability, "itemid", "timestamp", ["available"], "availability_")])
+    rows = rows.join(paths, "categoryid", "left")
     fill = {c: F.coalesce(c, F.lit(-1)) for c in ("categoryid", "category_state_ts", "available", "availability_state_ts", "root_categoryid", "category_depth")}
     return rows.withColumns(fill | {"category_path": F.coalesce("category_path", F.array(F.lit(-1).cast("long"))), "in_tree": F.coalesce("in_tree", F.lit(False))})
 
@@ -50,7 +77,7 @@ def latest_state(changes: DataFrame, cutoff: int, value: str, item: str = "itemi
 def item_snapshot(cutoff: int, categories: DataFrame, availability: DataFrame, paths: DataFrame, first_seen: DataFrame) -> DataFrame:
     """Item table as of ``cutoff``: category with path, availability, first sight, and their ages in days; items known to any of them."""
     cat = latest_state(categories, cutoff, "categoryid").withColumnsRenamed({"itemid": "aid", "state_ts": "category_state_ts"})
-    cat = cat.join(F.broadcast(paths.drop("category_path")), "categoryid", "left")
+    cat = cat.join(paths.drop("category_path"), "categoryid", "left")
     avail = latest_state(availability, cutoff, "available").withColumnsRenamed({"itemid": "aid", "state_ts": "availability_state_ts"})
     rows = cat.join(avail, "aid", "full_outer").join(first_seen, "aid", "full_outer")
     age = lambda c: (F.lit(cutoff) - F.col(c)) / F.lit(float(DAY_MS))
@@ -94,7 +121,7 @@ def category_paths(spark: SparkSession, tree: DataFrame, observed: DataFrame, ma
             break
         if depth == max_depth:
             raise ValueError("the category tree has a cycle")
-        up = paths.join(F.broadcast(parents.withColumnRenamed("parentid", "__up")), F.col("__next") == F.col("__c"), "left")
+        up = paths.join(parents.withColumnRenamed("parentid", "__up"), F.col("__next") == F.col("__c"), "left")
         paths = up.select("categoryid", F.when(F.col("__next").isNotNull(), F.concat(F.array("__next"), "category_path")).otherwise(F.col("category_path")).alias("category_path"), F.col("__up").alias("__next"))
     inside = paths.withColumn("in_tree", F.lit(True)).drop("__next")
     outside = observed.select("categoryid").dropna().distinct().join(known.withColumnRenamed("__c", "categoryid"), "categoryid", "left_anti")

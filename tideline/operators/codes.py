@@ -7,13 +7,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tideline.session import settle
 
@@ -194,62 +194,170 @@ def match(cost: np.ndarray) -> np.ndarray:
     return out
 
 
-def resolve_last_level(prefix: np.ndarray, token: np.ndarray, distance: np.ndarray) -> np.ndarray:
-    """Last tokens such that items of one prefix have different ones where they are few enough, at least added distance."""
+def resolve_last_level(prefix: np.ndarray, token: np.ndarray, distance: np.ndarray, capacity: int | None = None) -> np.ndarray:
+    """Last tokens such that items of one prefix have different ones where they are few enough, at least added distance.
+
+    Only tokens below ``capacity`` are offered where enough of them are free; else being different counts for more. Larger groups,
+    which have less choice, come first.
+    """
     token = token.copy()
     _, group = np.unique(prefix, axis=0, return_inverse=True)
-    for g in np.flatnonzero(np.bincount(group) > 1):
-        own = np.flatnonzero(group == g)
-        if len(own) <= distance.shape[1] and len(np.unique(token[own])) < len(own):
-            token[own] = match(distance[own])
+    group = group.ravel()
+    size = np.bincount(group)
+    held = np.bincount(token, minlength=distance.shape[1])
+    members = np.split(np.argsort(group, kind="stable"), np.cumsum(size)[:-1])
+    for g in np.argsort(-size, kind="stable"):
+        own = members[g]
+        if not 1 < len(own) <= distance.shape[1] or len(np.unique(token[own])) == len(own):
+            continue
+        held -= np.bincount(token[own], minlength=len(held))
+        free = np.arange(len(held)) if capacity is None else np.flatnonzero(held < capacity)
+        if len(free) < len(own):
+            free = np.arange(len(held))
+        token[own] = free[match(distance[np.ix_(own, free)])]
+        held += np.bincount(token[own], minlength=len(held))
     return token
 
 
-def rq_kmeans(vectors: DataFrame, sizes: list[int], ratio: float | None = None, unique: bool = True, seed: int = 7) -> DataFrame:
-    """``item_id, c1 .. cL`` of residual K-means with codebooks from :func:`fit_codebooks`.
+@dataclass
+class Quantiser:
+    """``codes`` (``item_id, c1 .. cL``), a codebook per level, what :func:`prepare` did, and measures per level."""
+
+    codes: DataFrame
+    books: list[np.ndarray]
+    preparation: dict
+    measures: list[dict]
+
+
+def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n, total, square = 0, 0.0, 0.0
+    for batch in batches:
+        if batch.num_rows:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            n, total, square = n + len(x), total + x.sum(axis=0), square + x.T @ x
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tolist()]), pa.array([square.ravel().tolist()])], names=["n", "total", "square"])
+
+
+def prepare(vectors: DataFrame, dimensions: int | None = None, whiten: bool = True, unit: bool = True) -> dict:
+    """State of the preparation of vectors: principal components (None: none), their variances, whether to whiten and to scale to length 1.
+
+    Each task gives its sums and products once, a matrix of the vectors' width; the components are fitted from their total. The largest
+    entry of a component is positive. Nulls among the numbers raise ValueError.
+    """
+    state: dict = {"dimensions": None, "whiten": bool(whiten), "unit": bool(unit)}
+    if dimensions is None:
+        return state
+    parts = vectors.select(F.col("vector").cast("array<double>")).mapInArrow(_moments, "n long, total array<double>, square array<double>").collect()
+    n = sum(p.n for p in parts)
+    if not n:
+        raise ValueError("no vectors")
+    mean = sum(np.array(p.total) for p in parts) / n
+    square = sum(np.array(p.square).reshape(len(mean), -1) for p in parts)
+    values, axes = np.linalg.eigh((square - n * np.outer(mean, mean)) / max(1, n - 1))
+    kept = max(1, min(int(dimensions), len(mean), n))
+    order = np.argsort(-values)[:kept]
+    axes = axes[:, order].T
+    axes = axes * np.sign(axes[np.arange(kept), np.abs(axes).argmax(axis=1)])[:, None]
+    return state | {"dimensions": kept, "mean": mean, "axes": axes, "variance": np.maximum(values[order], 0.0)}
+
+
+def prepared(vectors: DataFrame, state: dict) -> DataFrame:
+    """``item_id, vector`` after the steps of :func:`prepare`."""
+    shared = vectors.sparkSession.sparkContext.broadcast(state)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                if s["dimensions"] is not None:
+                    x = (x - s["mean"]) @ s["axes"].T
+                    if s["whiten"]:
+                        x = x / np.sqrt(np.maximum(s["variance"], 1e-12))
+                if s["unit"]:
+                    length = np.linalg.norm(x, axis=1, keepdims=True)
+                    x = x / np.where(length > 0, length, 1.0)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), flat], names=["item_id", "vector"])
+
+    return vectors.select(F.col("item_id").cast("long").alias("item_id"), F.col("vector").cast("array<double>").alias("vector")).mapInArrow(kernel, "item_id long, vector array<double>")
+
+
+def encode(vectors: DataFrame, found: Quantiser) -> DataFrame:
+    """``item_id, c1 .. cL`` of new items by a fitted quantiser: prepared as its items were, the nearest centroid per level, balance aside."""
+    return assign(prepared(vectors, found.preparation), found.books)
+
+
+def fit_quantiser(vectors: DataFrame, sizes: list[int], ratio: float | None = 1.25, unique: bool = True, dimensions: int | None = None, whiten: bool = True, unit: bool = True, seed: int = 7, max_items: int = 2_000_000) -> Quantiser:
+    """Residual K-means over prepared vectors, with codebooks from :func:`fit_codebooks`.
 
     With a ``ratio``, no token of a level holds more than its share times that; with ``unique``, items of one prefix get different last
-    tokens. Both are sequential over the catalogue and done on the driver, for catalogues of up to some millions of items; without them,
-    items are assigned in parallel.
+    tokens, at the least added distance, of those with room as far as these suffice. Both look at the whole catalogue in turn and are done
+    on the driver; more than ``max_items`` items then raise ValueError. Without them items are assigned in parallel, any number of them.
     """
-    books = fit_codebooks(vectors, sizes, seed)
+    if not sizes or min(sizes) < 2:
+        raise ValueError("codebooks need two tokens or more")
+    state = prepare(vectors, dimensions, whiten, unit)
+    ready = settle(prepared(vectors, state))
+    books = fit_codebooks(ready, sizes, seed)
     if ratio is None and not unique:
-        return assign(vectors, books)
-    rows = vectors.select("item_id", F.col("vector").cast("array<double>").alias("vector")).orderBy("item_id").toPandas()
+        return Quantiser(assign(ready, books), books, state, [])
+    rows = ready.orderBy("item_id").limit(max_items + 1).toPandas()
+    if len(rows) > max_items:
+        raise ValueError("too many items to be balanced on the driver")
     left = np.array(rows["vector"].tolist())
-    tokens = []
+    tokens, measures = [], []
     for i, book in enumerate(books):
         distance = (left**2).sum(axis=1)[:, None] - 2 * left @ book.T + (book**2).sum(axis=1)
-        token = distance.argmin(axis=1) if ratio is None else balanced_tokens(distance, ratio)[0]
+        token, capacity = (distance.argmin(axis=1), len(left)) if ratio is None else balanced_tokens(distance, ratio)
+        changed = 0
         if unique and i == len(books) - 1 and tokens:
-            token = resolve_last_level(np.stack(tokens, axis=1), token, distance)
+            different = resolve_last_level(np.stack(tokens, axis=1), token, distance, capacity if ratio is not None else None)
+            token, changed = different, int((different != token).sum())
         tokens.append(token)
         left = left - book[token]
-    frame = pd.DataFrame({"item_id": rows["item_id"]} | {f"c{i + 1}": t.astype(np.int64) for i, t in enumerate(tokens)})
-    return vectors.sparkSession.createDataFrame(frame)
+        counts = np.bincount(token, minlength=len(book))
+        measures.append({"level": i + 1, "capacity": int(capacity), "largest_bucket": int(counts.max()), "smallest_bucket": int(counts.min()), "used_tokens": int((counts > 0).sum()), "mean_square_error": float((left**2).sum(axis=1).mean()), "reassigned": changed})
+    schema = "item_id long, " + ", ".join(f"c{i + 1} long" for i in range(len(tokens)))
+    codes = vectors.sparkSession.createDataFrame(list(zip(rows["item_id"].tolist(), *(t.tolist() for t in tokens), strict=True)), schema)
+    return Quantiser(codes, books, state, measures)
 
 
-def _split(size: int, name: str, seed: int):
+def rq_kmeans(vectors: DataFrame, sizes: list[int], ratio: float | None = 1.25, unique: bool = True, seed: int = 7) -> DataFrame:
+    """``item_id, c1 .. cL`` of :func:`fit_quantiser` over unit vectors."""
+    return fit_quantiser(vectors, sizes, ratio, unique, seed=seed).codes
+
+
+def _centres(size: int, seed: int):
     def cluster(group: pd.DataFrame) -> pd.DataFrame:
         x = np.array(group["vector"].tolist(), dtype=np.float64)
-        centres = x[np.random.default_rng(seed).permutation(len(x))[: min(size, len(x))]]
+        centres = np.unique(x[np.random.default_rng(seed).permutation(len(x))[:size]], axis=0)
         for _ in range(15):
             own = (-2 * x @ centres.T + (centres**2).sum(axis=1)).argmin(axis=1)
             centres = np.stack([x[own == i].mean(axis=0) if (own == i).any() else centres[i] for i in range(len(centres))])
-        return group.assign(**{name: own})
+        return pd.DataFrame({"prefix": [group["prefix"].iloc[0]] * len(centres), "token": np.arange(len(centres)), "centre": centres.tolist()})
 
     return cluster
 
 
-def tree_codes(vectors: DataFrame, sizes: list[int], seed: int = 7) -> DataFrame:
-    """``item_id, c1 .. cL`` where each level clusters the items of one prefix on their own; the first level by MLlib, the rest per group."""
-    codes = assign(vectors, [fit_codebooks(vectors, sizes[:1], seed)[0]])
-    rows = vectors.join(codes, "item_id")
+def tree_codes(vectors: DataFrame, sizes: list[int], seed: int = 7, fit_rows: int = 20_000) -> DataFrame:
+    """``item_id, c1 .. cL`` where each level clusters the items of one prefix on their own; the first level by MLlib.
 
-    for level, size in enumerate(sizes[1:], 2):
-        keys = [f"c{i}" for i in range(1, level)]
-        rows = rows.groupBy(*keys).applyInPandas(_split(size, f"c{level}", seed), T.StructType([*rows.schema.fields, T.StructField(f"c{level}", T.LongType())]))
-    return rows.select("item_id", *(f"c{i}" for i in range(1, len(sizes) + 1)))
+    A prefix' centres are fitted in a task on at most ``fit_rows`` of its items, those least by a hash; all items are then assigned in
+    parallel, each by its prefix' centres, of which there are as many as codes.
+    """
+    codes = assign(vectors, [fit_codebooks(vectors, sizes[:1], seed)[0]])
+    rows = settle(vectors.select("item_id", F.col("vector").cast("array<double>").alias("vector")).join(codes, "item_id").select("item_id", "vector", F.array("c1").alias("prefix")))
+    for size in sizes[1:]:
+        w = Window.partitionBy("prefix").orderBy(F.xxhash64("item_id", F.lit(seed)), "item_id")
+        sample = rows.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= fit_rows).drop("__r")
+        centres = sample.groupBy("prefix").applyInPandas(_centres(size, seed), "prefix array<long>, token long, centre array<double>")
+        each = centres.groupBy("prefix").agg(F.array_sort(F.collect_list(F.struct("token", "centre"))).alias("__centres"))
+        away = lambda c: F.aggregate(F.zip_with("vector", c["centre"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x)
+        best = F.array_min(F.transform("__centres", lambda c: F.struct(F.round(away(c), 9).alias("d"), c["token"].alias("token"))))
+        rows = settle(rows.join(each, "prefix").select("item_id", "vector", F.concat("prefix", F.array(best["token"])).alias("prefix")))
+    return rows.select("item_id", *(F.col("prefix")[i].alias(f"c{i + 1}") for i in range(len(sizes))))
 
 
 def random_codes(items: DataFrame, sizes: list[int], seed: int = 7) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -131,11 +131,21 @@ def _scaled(column: str, factor: float) -> Column:
     return F.transform(column, lambda x: x * F.lit(factor))
 
 
+def _step(table: np.ndarray, seen: np.ndarray, ids: np.ndarray, gradient: np.ndarray, rate: float) -> None:
+    """Move the rows of a batch by their summed gradients, each divided by the root of its squares so far, so that frequent items don't run away."""
+    rows, where = np.unique(ids, return_inverse=True)
+    total = np.zeros((len(rows), table.shape[1]))
+    np.add.at(total, where, gradient)
+    seen[rows] += (total**2).mean(axis=1)
+    table[rows] += rate * total / np.sqrt(seen[rows] + 1e-8)[:, None]
+
+
 def _sgns(shared, dims: int, negatives: int, rate: float, seed: int):
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         centre, context, draw = shared.value
         centre, context = centre.copy(), context.copy()
         start_a, start_b = centre.copy(), context.copy()
+        seen = np.zeros(len(centre)), np.zeros(len(context))
         rng = np.random.default_rng(seed)
         rows = 0
         for batch in batches:
@@ -150,8 +160,8 @@ def _sgns(shared, dims: int, negatives: int, rate: float, seed: int):
                 blocked = (target == b[:, None]) & (hit == 0)
                 error = (hit - 1 / (1 + np.exp(-np.clip(np.einsum("bd,bnd->bn", x, y), -30, 30)))) * w[:, None]
                 error[blocked] = 0
-                np.add.at(centre, a, rate * np.einsum("bn,bnd->bd", error, y))
-                np.add.at(context, target, rate * error[..., None] * x[:, None, :])
+                _step(centre, seen[0], a, np.einsum("bn,bnd->bd", error, y), rate)
+                _step(context, seen[1], target.ravel(), (error[..., None] * x[:, None, :]).reshape(-1, dims), rate)
                 rows += len(a)
         for kind, now, before in (("a", centre, start_a), ("b", context, start_b)):
             moved = np.flatnonzero((now != before).any(axis=1))
@@ -161,37 +171,67 @@ def _sgns(shared, dims: int, negatives: int, rate: float, seed: int):
     return kernel
 
 
-def item2vec(pairs: DataFrame, dims: int = 32, epochs: int = 3, negatives: int = 5, rate: float = 0.05, seed: int = 7, max_items: int = 2_000_000) -> DataFrame:
-    """``item_id, vector``: skip-grams with negative sampling on weighted pairs ``center, context, weight``.
+def item2vec(pairs: DataFrame, dims: int = 32, epochs: int = 3, negatives: int = 5, rate: float = 0.05, seed: int = 7, max_items: int = 2_000_000, schedule: Callable[[int], float] | None = None, checkpoint: Callable[[int, np.ndarray, np.ndarray], None] | None = None) -> DataFrame:
+    """``item_id, vector``: skip-grams with negative sampling on weighted pairs ``center, context, weight``, the weights divided by their mean.
 
-    Both matrices are broadcast, each task trains on its pairs, and the means of the tasks' changes per item are added after each epoch.
-    More than ``max_items`` items raise ValueError, as the matrices must fit on the driver. Runs a job per epoch.
+    Frequent items are thinned before pairs are made (:func:`clean.subsample_frequent`). Both matrices are broadcast, each task trains on
+    its pairs, and the means of the tasks' changes per item are added after each epoch; ``schedule`` gives a factor of the rate per epoch,
+    ``checkpoint`` gets each epoch's number, the items and their vectors. More than ``max_items`` items raise ValueError, as the matrices must
+    fit on the driver and in each task. Runs a job per epoch.
     """
     spark = pairs.sparkSession
-    counts = pairs.groupBy(F.col("center").alias("item_id")).agg(F.count(F.lit(1)).alias("n")).orderBy("item_id").limit(max_items + 1).toPandas()
+    counts = pairs.groupBy(F.col("center").alias("item_id")).agg(F.count(F.lit(1)).alias("n")).orderBy("item_id").limit(max_items + 1).collect()
     if len(counts) > max_items:
         raise ValueError("too many items for one matrix")
-    ids = counts["item_id"].to_numpy()
+    ids = np.array([r["item_id"] for r in counts], dtype=np.int64)
     if not len(ids):
         return spark.createDataFrame([], "item_id long, vector array<double>")
     index = spark.createDataFrame(list(zip(ids.tolist(), range(len(ids)), strict=True)), "item_id long, i long")
-    rows = settle(pairs.join(index.withColumnsRenamed({"item_id": "center", "i": "a"}), "center").join(index.withColumnsRenamed({"item_id": "context", "i": "b"}), "context").select("a", "b", F.col("weight").cast("double").alias("weight")))
+    mean = pairs.agg(F.avg("weight")).first()[0] or 1.0
+    rows = settle(pairs.join(index.withColumnsRenamed({"item_id": "center", "i": "a"}), "center").join(index.withColumnsRenamed({"item_id": "context", "i": "b"}), "context").select("a", "b", (F.col("weight").cast("double") / F.lit(mean)).alias("weight")))
     rng = np.random.default_rng(seed)
     centre, context = (rng.random((len(ids), dims)) - 0.5) / dims, np.zeros((len(ids), dims))
-    draw = np.cumsum(counts["n"].to_numpy() ** 0.75)
+    draw = np.cumsum(np.array([r["n"] for r in counts], dtype=np.float64) ** 0.75)
     draw = draw / draw[-1]
     draw[-1] = 1.0
     for epoch in range(epochs):
         shared = spark.sparkContext.broadcast((centre, context, draw))
-        deltas = rows.mapInPandas(_sgns(shared, dims, negatives, rate, seed + epoch), "kind string, i long, delta array<double>")
-        mean = deltas.select("kind", "i", F.posexplode("delta").alias("d", "x")).groupBy("kind", "i", "d").agg(F.avg("x").alias("x")).toPandas()
-        for kind, matrix in (("a", centre), ("b", context)):
-            own = mean[mean.kind == kind]
-            matrix[own.i.to_numpy(), own.d.to_numpy()] += own.x.to_numpy()
+        step = rate * (schedule(epoch) if schedule else 1.0)
+        deltas = rows.mapInPandas(_sgns(shared, dims, negatives, step, seed + epoch), "kind string, i long, delta array<double>")
+        total = {"a": np.zeros_like(centre), "b": np.zeros_like(context)}
+        tasks = {"a": np.zeros(len(ids)), "b": np.zeros(len(ids))}
+        for part in deltas.toLocalIterator():  # a task's changes of one item at a time; as many as items and tasks
+            total[part["kind"]][part["i"]] += part["delta"]
+            tasks[part["kind"]][part["i"]] += 1
+        centre = centre + total["a"] / np.maximum(tasks["a"], 1)[:, None]
+        context = context + total["b"] / np.maximum(tasks["b"], 1)[:, None]
         shared.unpersist()
+        if checkpoint:
+            checkpoint(epoch, ids, centre)
     return spark.createDataFrame(list(zip(ids.tolist(), centre.tolist(), strict=True)), "item_id long, vector array<double>")
 
 
+def text_vectors(texts: DataFrame, key: str, text: str, embed: Callable[[list[str]], np.ndarray] | None = None, dimensions: int = 64, sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """``<key>, vector``: unit vectors of texts by ``embed``, which gets batches of texts in the tasks and gives a row of numbers for each.
+
+    Without it, character grams by :func:`char_tfidf` reduced by :func:`svd` (keys are bigint then). Null and blank texts have no vector.
+    """
+    if embed is None:
+        return svd(char_tfidf(texts, key, text, sizes), key, "term", "weight", dimensions).withColumnRenamed("item_id", key)
+    clean = F.btrim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    rows = texts.select(F.col(key), clean.alias("__t")).filter(F.col("__t").isNotNull() & (F.col("__t") != ""))
+
+    @F.pandas_udf("array<double>")
+    def vector(column: pd.Series) -> pd.Series:
+        if not len(column):
+            return pd.Series([], dtype=object)
+        x = np.asarray(embed(column.tolist()), dtype=np.float64)
+        length = np.linalg.norm(x, axis=1, keepdims=True)
+        return pd.Series((x / np.where(length > 0, length, 1.0)).tolist())
+
+    return rows.select(key, vector("__t").alias("vector"))
+
+
 def warm_start(items: DataFrame, vectors: DataFrame, width: int, seed: int = 7) -> DataFrame:
     """``item_id, vector, warm``: the known vector of each item, a small hash-drawn one otherwise."""
     drawn = F.transform(F.sequence(F.lit(1), F.lit(width)), lambda d: (F.shiftrightunsigned(F.xxhash64("item_id", d, F.lit(seed)), 11) / F.lit(float(1 << 53)) - F.lit(0.5)) / F.lit(float(width)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tideline.operators import fusion
 from tideline.operators.asof import DAY_MS
 from tideline.operators.clean import fill_routes
+from tideline.operators.sessions import number_rows
 
 
 def item_statistics(events: DataFrame) -> DataFrame:
@@ -113,9 +114,8 @@ def standardise(df: DataFrame, columns: list[str], logs: list[str] | None = None
 
 
 def vocabulary(df: DataFrame, column: str) -> DataFrame:
-    """``<column>, index``: values numbered from 1 in their order, for columns of few values."""
-    values = df.select(column).dropna().distinct()
-    return values.withColumn("index", F.row_number().over(Window.orderBy(column)).cast("long"))
+    """``<column>, index``: values numbered from 1 in their order, without sorting in one task; runs jobs."""
+    return number_rows(df.select(column).dropna().distinct(), "index", column).withColumn("index", F.col("index") + 1)
 
 
 def encode(df: DataFrame, column: str, words: DataFrame, name: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,3 +112,55 @@ def round_robin(pools: DataFrame, blocked: DataFrame, limit: int) -> DataFrame:
     first = free.groupBy("sample_id", "aid").agg(F.min(F.struct("ordinal", "pool")).alias("o"))
     w = Window.partitionBy("sample_id").orderBy("o", "aid")
     return first.withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= limit).select("sample_id", "aid", "place")
+
+
+#: How many items each pool of hard negatives gives at most, and the ranks that the vector neighbours are taken from.
+POOL_QUOTAS = {"behaviour": 24, "category": 16, "popular": 12, "drawn": 12}
+VECTOR_RANKS = (11, 42)
+
+
+def negative_pools(routes: DataFrame) -> DataFrame:
+    """``sample_id, pool, ordinal, aid`` from ranked routes (``sample_id, aid, source, rank``, ranks from 1 without gaps): neighbours by vectors
+    of the middle ranks, co-occurrence and transition in turn as long as both last, the category's and the popular items."""
+    rank, source = F.col("rank"), F.col("source")
+    ends = routes.filter(source.isin("itemcf", "transition")).groupBy("sample_id").agg(F.least(F.max(F.when(source == "itemcf", rank)), F.max(F.when(source == "transition", rank))).alias("n"), F.count_distinct("source").alias("both"))
+    turn = routes.filter(source.isin("itemcf", "transition")).join(ends.filter("both = 2"), "sample_id").filter(rank <= F.col("n"))
+    turn = turn.withColumn("ordinal", 2 * (rank - 1) + (source == "transition").cast("long")).filter(F.col("ordinal") < POOL_QUOTAS["behaviour"])
+    parts = [routes.filter((source == "item2vec") & rank.between(*VECTOR_RANKS)).withColumns({"ordinal": rank - VECTOR_RANKS[0], "pool": F.lit(0)}), turn.withColumn("pool", F.lit(1))]
+    for i, name in ((2, "category"), (3, "popular")):
+        parts.append(routes.filter((source == name) & (rank <= POOL_QUOTAS[name])).withColumns({"ordinal": rank - 1, "pool": F.lit(i)}))
+    out = None
+    for part in parts:
+        part = part.select("sample_id", "pool", F.col("ordinal").cast("long").alias("ordinal"), "aid")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def drawn_items(samples: DataFrame, counts: DataFrame, n: int, power: float = 0.75, seed: int = 7, max_items: int = 2_000_000) -> DataFrame:
+    """``sample_id, ordinal, aid``: ``n`` items per sample drawn by a hash with chances of ``count ** power``; ``counts`` is ``aid, n``.
+
+    The cumulated chances, a number per item, are broadcast; more than ``max_items`` items raise ValueError.
+    """
+    known = counts.dropna().orderBy("aid").limit(max_items + 1).collect()
+    if len(known) > max_items:
+        raise ValueError("too many items for one table of chances")
+    ids, chance = np.array([r["aid"] for r in known], dtype=np.int64), np.array([float(r["n"]) for r in known]) ** power
+    shared = samples.sparkSession.sparkContext.broadcast((ids, np.cumsum(chance) / max(chance.sum(), 1e-300)))
+    uniform = F.shiftrightunsigned(F.xxhash64("sample_id", "ordinal", F.lit(seed)), 11) / F.lit(float(1 << 53))
+    rows = samples.select("sample_id").distinct().withColumn("ordinal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).withColumn("u", uniform)
+
+    @F.pandas_udf("long")
+    def pick(u: pd.Series) -> pd.Series:
+        items, ends = shared.value
+        return pd.Series(items[np.minimum(np.searchsorted(ends, u.to_numpy(), side="right"), len(items) - 1)])
+
+    return rows.select("sample_id", "ordinal", pick("u").alias("aid")) if len(ids) else rows.select("sample_id", "ordinal", F.lit(None).cast("long").alias("aid")).limit(0)
+
+
+def hard_negatives(routes: DataFrame, blocked: DataFrame, counts: DataFrame, samples: DataFrame, limit: int = 96, seed: int = 7) -> DataFrame:
+    """``sample_id, aid, place``: the pools of :func:`negative_pools` and drawn items in turn, each item once and none that is ``blocked``; samples
+    with fewer than ``limit`` are filled up with more drawn items, as far as the catalogue goes: ten rounds of ``limit`` draws are looked at."""
+    drawn = drawn_items(samples, counts, 11 * limit, seed=seed)
+    own = F.col("ordinal") < POOL_QUOTAS["drawn"]
+    drawn = drawn.select("sample_id", F.when(own, F.lit(4)).otherwise(F.lit(5)).alias("pool"), F.when(own, F.col("ordinal")).otherwise(F.col("ordinal") + 1_000_000).alias("ordinal"), "aid")
+    return round_robin(negative_pools(routes).unionByName(drawn), blocked, limit)

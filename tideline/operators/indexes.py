@@ -98,35 +98,47 @@ def merge_with_budget(lists: DataFrame, budget: int) -> DataFrame:
     return lists.groupBy("stage").applyInPandas(merge, "stage string, aid long, rank long")
 
 
-def hybrid_popularity(events: DataFrame, cutoff: int, budget: int = 100, n: int = 200) -> DataFrame:
-    """``stage, aid, rank``: for sessions at the click, cart and order stage a mix of the lists by action, of trends and of new items."""
-    past = events.filter(F.col("ts") < cutoff)
-    parts = []
-    for i, action in enumerate(WEIGHTS):
-        own = popularity(past.filter(F.col("type") == action), n)
-        quota = F.create_map(*(F.lit(x) for stage, q in STAGE_QUOTAS.items() for x in (stage, q[i])))
-        parts.append((own, i, quota))
-    parts += [(trend(past, cutoff, n), 3, F.lit(20)), (new_items(past, cutoff, n), 4, F.lit(20)), (weighted_popularity(past, cutoff, n), 5, F.lit(None).cast("int"))]
-    stage = F.explode(F.array(*(F.lit(s) for s in STAGE_QUOTAS)))
-    lists = None
-    for own, i, quota in parts:
-        rows = own.select(stage.alias("stage"), F.lit(i).alias("part"), "rank", F.col("aid").cast("long").alias("aid"))
-        rows = rows.withColumn("quota", quota[F.col("stage")] if i < 3 else quota)
-        lists = rows if lists is None else lists.unionByName(rows)
-    return merge_with_budget(lists, budget)
-
-
-def item_cf(events: DataFrame, n: int = 100) -> DataFrame:
+def hybrid_popularity(events: DataFrame, cutoff: int, budget: int = 100, n: int = 200, days: int = 30) -> DataFrame:
+    """``stage, aid, rank``: for sessions at the click, cart and order stage a mix of the lists by action, of :func:`trend` and of
+    :func:`new_items`, filled up by :func:`weighted_popularity`. One aggregation per item gives the scores of all six lists."""
+    age = _age_days(cutoff)
+    sums = [F.count_if(F.col("type") == action).cast("double").alias(action) for action in WEIGHTS]
+    sums += [F.sum(weight() * (F.exp(-age) + F.lit(0.3) * F.exp(-age / F.lit(7.0)))).alias("trend"), F.sum(weight() * F.exp(-age / F.lit(7.0))).alias("__fading"), F.sum(weight()).alias("all"), F.min("ts").alias("__first")]
+    items = events.filter(F.col("ts") < cutoff).groupBy("aid").agg(*sums)
+    fresh = F.col("__fading") / F.sqrt((F.lit(cutoff) - F.col("__first")) / F.lit(float(DAY_MS)) + F.lit(1.0))
+    items = items.withColumn("new", F.when(F.col("__first") >= cutoff - days * DAY_MS, fresh))
+    parts = [*WEIGHTS, "trend", "new", "all"]
+    scores = F.array(*(F.struct(F.lit(i).alias("part"), (F.when(F.col(c) > 0, F.col(c)) if c in WEIGHTS else F.col(c)).alias("score")) for i, c in enumerate(parts)))
+    long = items.select("aid", F.explode(scores).alias("s")).select("s.part", F.col("aid").cast("long").alias("aid"), "s.score").filter(F.col("score").isNotNull())
+    quotas = [(stage, i, q[i] if i < 3 else 20 if i < 5 else None) for stage, q in STAGE_QUOTAS.items() for i in range(6)]
+    stages = events.sparkSession.createDataFrame(quotas, "stage string, part int, quota int")
+    return merge_with_budget(ranked_within(long, ["part"], n).join(F.broadcast(stages), "part").select("stage", "part", "rank", "aid", "quota"), budget)
+
+
+def session_pairs(held: DataFrame, carried: list[str], block: int = 2048) -> DataFrame:
+    """``src, dst`` and ``__l_<c>``, ``__r_<c>`` of the carried columns, for all ordered pairs of rows of one session (``session, aid`` unique).
+
+    A session of more than ``block`` items is cut into blocks and each pair of blocks is a join key of its own, so that a long session's
+    pairs are spread over many tasks; its rows are repeated as often as it has blocks.
+    """
+    sizes = held.groupBy("session").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("__parts"))
+    cut = held.join(sizes, "session").withColumn("__own", F.pmod(F.xxhash64("aid"), F.col("__parts").cast("long")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))
+    left = cut.select("session", F.col("__own").alias("__x"), every.alias("__y"), F.col("aid").alias("src"), *(F.col(c).alias(f"__l_{c}") for c in carried))
+    right = cut.select("session", F.col("__own").alias("__y"), every.alias("__x"), F.col("aid").alias("dst"), *(F.col(c).alias(f"__r_{c}") for c in carried))
+    return left.join(right, ["session", "__x", "__y"]).drop("__x", "__y", "session")
+
+
+def item_cf(events: DataFrame, n: int = 100, block: int = 2048) -> DataFrame:
     """``src, dst, score, rank``: items of the same sessions, long sessions counting less, normalised by both items' numbers of sessions.
 
-    Items are made distinct per session before they are paired, and each unordered pair is summed once.
+    Items are made distinct per session before they are paired (:func:`session_pairs`), and each unordered pair is summed once.
     """
     held = events.select("session", "aid").dropna().distinct()
     sizes = held.groupBy("session").agg((F.lit(1.0) / F.log2(F.lit(2.0) + F.count(F.lit(1)))).alias("__w"))
     counts = held.groupBy("aid").agg(F.count(F.lit(1)).alias("__n"))
-    left = held.join(sizes, "session")
-    right = held.select("session", F.col("aid").alias("dst"))
-    sums = left.join(right, "session").filter(F.col("aid") < F.col("dst")).groupBy(F.col("aid").alias("src"), "dst").agg(F.sum("__w").alias("__s"))
+    pairs = session_pairs(held.join(sizes, "session"), ["__w"], block)
+    sums = pairs.filter(F.col("src") < F.col("dst")).groupBy("src", "dst").agg(F.sum("__l___w").alias("__s"))
     a, b = counts.select(F.col("aid").alias("src"), F.col("__n").alias("__a")), counts.select(F.col("aid").alias("dst"), F.col("__n").alias("__b"))
     scored = sums.join(a, "src").join(b, "dst").withColumn("score", F.col("__s") / F.sqrt((F.col("__a") * F.col("__b")).cast("double")))
     both = scored.select(F.explode(F.array(F.struct("src", "dst", "score"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "score"))).alias("e")).select("e.*")

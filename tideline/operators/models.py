@@ -1,4 +1,4 @@
-"""Rankers and towers in NumPy on Spark: shared bottom, multi-gate experts, progressive layers, fusion heads, mean-pool towers.
+"""Rankers and sequence models in NumPy on Spark: shared bottom, multi-gate experts, progressive layers, fusion heads, towers, attention, code decoder.
 
 Training broadcasts the weights, runs mini-batches in the tasks and averages the tasks' weights by rows after each epoch, so a model of any
 of these sizes is trained on all rows without gathering them.
@@ -8,12 +8,19 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.operators.gradients import Node, train
+from tideline.operators.towers import CodeDecoder, FusionHead, SelfAttention, Towers, padded
+from tideline.operators.vectors import cosine_topk
+
+#: Stands for null where items are looked up.
+NO_ITEM = -(1 << 63)
 TASKS = ("label_clicks", "label_carts", "label_orders")
 
 
@@ -190,50 +197,199 @@ def causal_mask(rows: DataFrame, batch: str = "batch") -> DataFrame:
     return a.join(b, batch).select(batch, "row", "column", allowed.alias("allowed"))
 
 
-def train_towers(samples: DataFrame, items: DataFrame, dims: int = 16, epochs: int = 3, rate: float = 0.5, batch: int = 128, seed: int = 7, max_items: int = 2_000_000) -> DataFrame:
-    """``item_id, vector`` of a two-tower model: the user is the mean of the history's vectors, the loss a softmax over the batch's
-    targets that are known by the sample's time (see :func:`causal_mask`).
+@dataclass
+class Fitted:
+    """A trained model of :mod:`towers`, its weights, the item of each number (from 1) and the mean loss of each epoch."""
 
-    ``samples``: ``history array<bigint>, target, ts``. Item vectors are broadcast and the tasks' changes averaged after each epoch.
-    """
-    spark = samples.sparkSession
-    known = items.select("item_id").distinct().orderBy("item_id").limit(max_items + 1).toPandas()["item_id"].to_numpy()
+    model: object
+    weights: dict[str, np.ndarray]
+    ids: np.ndarray
+    losses: list[float]
+
+
+def catalogue(items: DataFrame, max_items: int = 2_000_000) -> np.ndarray:
+    """The different items (``item_id``) in their order, for models whose weights hold a row per item; more than ``max_items`` raise ValueError."""
+    known = np.array([r[0] for r in items.select("item_id").dropna().distinct().orderBy("item_id").limit(max_items + 1).collect()], dtype=np.int64)
     if len(known) > max_items:
         raise ValueError("too many items for one matrix")
-    x = np.random.default_rng(seed).normal(0, 0.1, (len(known), dims))
-
-    def epoch(shared):
-        def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            v = shared.value.copy()
-            start = v.copy()
-            for frame in batches:
-                for i in range(0, len(frame), batch):
-                    part = frame.iloc[i : i + batch]
-                    place = lambda ids: np.clip(np.searchsorted(known, ids), 0, len(known) - 1)
-                    target, ts = place(part["target"].to_numpy()), part["ts"].to_numpy()
-                    lists = [place(np.asarray(h)[np.isin(h, known)]) for h in part["history"]]
-                    user = np.array([v[h].mean(axis=0) if len(h) else np.zeros(dims) for h in lists])
-                    logit = user @ v[target].T
-                    free = (ts[None, :] <= ts[:, None]) & (target[None, :] != target[:, None])
-                    np.fill_diagonal(free, True)
-                    logit = np.where(free, logit, -np.inf)
-                    p = np.exp(logit - logit.max(axis=1, keepdims=True))
-                    p /= p.sum(axis=1, keepdims=True)
-                    error = np.eye(len(p)) - p
-                    np.add.at(v, target, rate / len(p) * error.T @ user)
-                    back = rate / len(p) * error @ v[target]
-                    for h, g in zip(lists, back, strict=True):
-                        if len(h):
-                            np.add.at(v, h, g / len(h))
-            moved = np.flatnonzero((v != start).any(axis=1))
-            if len(moved):
-                yield pd.DataFrame({"i": moved, "delta": list(v[moved] - start[moved])})
-
-        return kernel
-
-    for _ in range(epochs if len(known) else 0):
-        shared = spark.sparkContext.broadcast(x)
-        deltas = samples.select("history", "target", "ts").mapInPandas(epoch(shared), "i long, delta array<double>")
-        mean = deltas.select("i", F.posexplode("delta").alias("d", "x")).groupBy("i", "d").agg(F.avg("x").alias("x")).toPandas()
-        x[mean.i.to_numpy(), mean.d.to_numpy()] += mean.x.to_numpy()
-    return spark.createDataFrame(list(zip(known.tolist(), x.tolist(), strict=True)), "item_id long, vector array<double>")
+    return known
+
+
+def numbered(rows: DataFrame, ids: np.ndarray, lists: tuple[str, ...] = (), singles: tuple[str, ...] = ()) -> DataFrame:
+    """Items of the named columns replaced by their numbers from 1; 0 for others and null. A null list stays null."""
+    shared = rows.sparkSession.sparkContext.broadcast(ids)
+
+    def place(values: np.ndarray) -> np.ndarray:
+        known = shared.value
+        if not len(known):
+            return np.zeros(len(values), dtype=np.int64)
+        at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+        return np.where(known[at] == values, at + 1, 0)
+
+    @F.pandas_udf("array<long>")
+    def many(column: pd.Series) -> pd.Series:
+        return column.map(lambda v: None if v is None else place(np.asarray(v, dtype=np.int64)))
+
+    @F.pandas_udf("long")
+    def one(column: pd.Series) -> pd.Series:
+        return pd.Series(place(column.to_numpy(dtype=np.int64)))
+
+    known = lambda x: F.coalesce(x.cast("long"), F.lit(NO_ITEM))
+    return rows.withColumns({c: many(F.transform(c, known)) for c in lists} | {c: one(known(F.col(c))) for c in singles})
+
+
+def _item_arrays(features: DataFrame, ids: np.ndarray) -> dict[str, np.ndarray]:
+    """Rows of ``item_id`` and of any of ``categories``, ``numbers`` and ``known`` (arrays) by number; zeros where an item has none."""
+    out: dict[str, np.ndarray] = {}
+    rows = features.filter(F.col("item_id").isNotNull()).collect()
+    for name, kind in (("categories", np.int64), ("numbers", np.float64), ("known", np.float64)):
+        if name not in features.columns:
+            continue
+        width = max((len(r[name]) for r in rows if r[name] is not None), default=0)
+        table = np.zeros((len(ids) + 1, width), dtype=kind)
+        for r in rows:
+            at = int(np.searchsorted(ids, r["item_id"]))
+            if r[name] is not None and at < len(ids) and ids[at] == r["item_id"]:
+                table[at + 1] = np.nan_to_num(np.array(r[name], dtype=np.float64)).astype(kind)
+        out[name] = table
+    return out
+
+
+def train_towers(samples: DataFrame, items: DataFrame, width: int = 16, epochs: int = 3, rate: float = 0.01, batch: int = 64, features: DataFrame | None = None, negatives: DataFrame | None = None, hard: tuple[float, ...] = (0.0,), length: int = 30, seed: int = 7, max_items: int = 2_000_000, **control) -> Fitted:
+    """A :class:`towers.Towers` model trained on ``samples`` (``sample_id, history, types, buckets, target, target_type, ts``).
+
+    ``items`` (``item_id``) are the catalogue; samples with another target don't count. ``features`` has a row per item (see
+    :class:`towers.Towers`), ``negatives`` (``sample_id, aid``) are hard negatives, whose share of the loss is ``hard`` by epoch. The weights,
+    a row per item, and the features are held by the driver and by each task. ``control`` goes to :func:`gradients.train`.
+    """
+    ids = catalogue(items, max_items)
+    rows = samples.select("sample_id", "history", "types", "buckets", "target", "target_type", "ts")
+    if negatives is not None:
+        lists = negatives.groupBy("sample_id").agg(F.collect_list("aid").alias("negatives"))
+        most = lists.agg(F.max(F.size("negatives"))).first()[0] or 0
+        rows = rows.join(lists, "sample_id", "left").withColumn("negatives", F.coalesce("negatives", F.array().cast("array<long>")))
+        rows = rows.withColumn("negatives", F.concat("negatives", F.array_repeat(F.lit(None).cast("long"), F.lit(most) - F.size("negatives"))))
+    rows = numbered(rows, ids, ("history", "negatives") if negatives is not None else ("history",), ("target",)).filter("target > 0").drop("sample_id")
+    model = Towers(len(ids), width, length, hard=hard if negatives is not None else (0.0,), seed=seed, **(_item_arrays(features, ids) if features is not None else {}))
+    weights, losses = train(model, rows, epochs, rate, batch, seed, **control)
+    return Fitted(model, weights, ids, losses)
+
+
+def tower_items(spark: SparkSession, fitted: Fitted) -> DataFrame:
+    """``item_id, vector`` of the item tower."""
+    vectors = fitted.model.all_vectors(fitted.weights) if len(fitted.ids) else np.zeros((0, 1))
+    return spark.createDataFrame(list(zip(fitted.ids.tolist(), vectors.tolist(), strict=True)), "item_id long, vector array<double>")
+
+
+def tower_users(samples: DataFrame, fitted: Fitted) -> DataFrame:
+    """``sample_id, vector`` of the user tower; null for a history without a known item."""
+    rows = numbered(samples.select("sample_id", "history", "types", "buckets"), fitted.ids, ("history",))
+    shared = samples.sparkSession.sparkContext.broadcast(pickle.dumps((fitted.model, fitted.weights)))
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, weights = pickle.loads(shared.value)
+        nodes = {k: Node(v) for k, v in weights.items()}
+        for frame in batches:
+            for i in range(0, len(frame), 1024):
+                part = frame.iloc[i : i + 1024]
+                known = [any(h) for h in part["history"]]
+                vectors = model.users(nodes, part).value.tolist()
+                yield pd.DataFrame({"sample_id": part["sample_id"], "vector": [v if k else None for v, k in zip(vectors, known, strict=True)]})
+
+    return rows.mapInPandas(kernel, f"sample_id {rows.schema['sample_id'].dataType.simpleString()}, vector array<double>")
+
+
+def recall_towers(samples: DataFrame, fitted: Fitted, n: int = 300) -> DataFrame:
+    """``sample_id, aid, source, source_rank, source_score``: the ``n`` nearest items of each sample's user vector, exactly."""
+    users = tower_users(samples, fitted).filter(F.col("vector").isNotNull()).withColumnRenamed("sample_id", "query_id")
+    found = cosine_topk(users, tower_items(samples.sparkSession, fitted), n)
+    return found.select(F.col("query_id").alias("sample_id"), F.col("item_id").alias("aid"), F.lit("two_tower").alias("source"), F.col("rank").alias("source_rank"), F.col("similarity").alias("source_score"))
+
+
+def train_fusion(rows: DataFrame, kind: str, probabilities: list[str], context: list[str], label: str = "label", epochs: int = 5, rate: float = 0.02, batch: int = 1024, seed: int = 7, **control) -> tuple[FusionHead, dict[str, np.ndarray], list[float]]:
+    """A fusion head (:class:`towers.FusionHead`) trained on the logits of the probabilities and the context columns (nulls as 0)."""
+    head = FusionHead(kind, len(context), seed=seed)
+    data = rows.select(F.array(*(logit(c) for c in probabilities)).alias("z"), (F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in context)) if context else F.array().cast("array<double>")).alias("x"), F.col(label).cast("double").alias("label"))
+    weights, losses = train(head, data, epochs, rate, batch, seed, **control)
+    return head, weights, losses
+
+
+def score_fusion(rows: DataFrame, head: FusionHead, weights: dict[str, np.ndarray], probabilities: list[str], context: list[str], name: str = "fused") -> DataFrame:
+    """Add the probability of a trained fusion head."""
+    shared = rows.sparkSession.sparkContext.broadcast(pickle.dumps((head, weights)))
+
+    @F.pandas_udf("double")
+    def predict(z: pd.Series, x: pd.Series) -> pd.Series:
+        model, w = pickle.loads(shared.value)
+        out = model.logit({k: Node(v) for k, v in w.items()}, np.array(z.tolist(), dtype=np.float64), np.array(x.tolist(), dtype=np.float64).reshape(len(z), -1)).value
+        return pd.Series(1 / (1 + np.exp(-np.clip(out, -30, 30))))
+
+    x = F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in context)) if context else F.array().cast("array<double>")
+    return rows.withColumn(name, predict(F.array(*(logit(c) for c in probabilities)), x))
+
+
+def train_attention(windows: DataFrame, items: DataFrame, length: int, width: int = 16, heads: int = 2, layers: int = 1, epochs: int = 3, rate: float = 0.01, batch: int = 128, seed: int = 7, max_items: int = 2_000_000, **control) -> Fitted:
+    """A :class:`towers.SelfAttention` model trained on windows as :func:`sequences.masked_windows` gives them (``items`` are item + 1)."""
+    ids = catalogue(items, max_items)
+    plain = windows.select(F.transform("items", lambda x: F.when(x > 0, x - 1)).alias("items"), "feedback", F.transform("labels", lambda x: F.when(x != -100, x)).alias("labels"))
+    rows = numbered(plain, ids, ("items", "labels")).withColumn("labels", F.transform("labels", lambda x: F.when(x > 0, x - 1).otherwise(F.lit(-100).cast("long"))))
+    model = SelfAttention(len(ids), length, width, heads, layers, seed)
+    weights, losses = train(model, rows, epochs, rate, batch, seed, **control)
+    return Fitted(model, weights, ids, losses)
+
+
+def attention_ranks(samples: DataFrame, fitted: Fitted) -> DataFrame:
+    """``user_id, rank``: place of ``target`` among all items after ``history`` and ``feedback`` (padded with 0), the history's other items left
+    out; null for an unknown target. Ties go to the smaller item."""
+    rows = numbered(samples.select("user_id", F.transform("history", lambda x: F.nullif(x, F.lit(0).cast("long"))).alias("history"), "feedback", "target"), fitted.ids, ("history",), ("target",))
+    shared = samples.sparkSession.sparkContext.broadcast(pickle.dumps((fitted.model, fitted.weights)))
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, weights = pickle.loads(shared.value)
+        for frame in batches:
+            for i in range(0, len(frame), 256):
+                part = frame.iloc[i : i + 256]
+                history = padded(part["history"], model.length)
+                score = np.round(model.score_all(weights, history, padded(part["feedback"], model.length)), 9)
+                target = part["target"].to_numpy(dtype=np.int64)
+                own = np.take_along_axis(score, np.maximum(target - 1, 0)[:, None], axis=1)
+                others = history != target[:, None]
+                r, c = np.nonzero(others & (history > 0))
+                score[r, history[r, c] - 1] = -np.inf
+                ahead = (score > own).sum(axis=1) + ((score == own) & (np.arange(score.shape[1]) < target[:, None] - 1)).sum(axis=1)
+                yield pd.DataFrame({"user_id": part["user_id"], "rank": pd.array([int(a) + 1 if t else None for a, t in zip(ahead, target, strict=True)], dtype="Int64")})
+
+    return rows.mapInPandas(kernel, f"user_id {rows.schema['user_id'].dataType.simpleString()}, rank long")
+
+
+def train_decoder(samples: DataFrame, codes: DataFrame, length: int, width: int = 16, heads: int = 2, layers: int = 1, epochs: int = 3, rate: float = 0.01, batch: int = 128, seed: int = 7, max_items: int = 2_000_000, **control) -> Fitted:
+    """A :class:`towers.CodeDecoder` trained on ``history, feedback`` (padded with 0) and ``target``; ``codes`` (``item_id, c1 .. cL``) are unique."""
+    ids = catalogue(codes, max_items)
+    levels = sorted((c for c in codes.columns if c[0] == "c" and c[1:].isdigit()), key=lambda c: int(c[1:]))
+    table = np.zeros((len(ids) + 1, len(levels)), dtype=np.int64)
+    for r in codes.collect():
+        table[np.searchsorted(ids, r["item_id"]) + 1] = [r[c] for c in levels]
+    rows = samples.select(F.transform("history", lambda x: F.nullif(x, F.lit(0).cast("long"))).alias("history"), "feedback", "target")
+    rows = numbered(rows, ids, ("history",), ("target",)).filter("target > 0")
+    model = CodeDecoder(table, tuple(int(x) + 1 for x in table.max(axis=0)), length, width, heads, layers, seed)
+    weights, losses = train(model, rows, epochs, rate, batch, seed, **control)
+    return Fitted(model, weights, ids, losses)
+
+
+def decode_topk(samples: DataFrame, fitted: Fitted, beam: int, topk: int) -> DataFrame:
+    """``user_id, item_id, score, rank``: the items of the ``topk`` best codes after each history, by a beam over legal prefixes."""
+    if beam < topk:
+        raise ValueError("beam must not be less than topk")
+    rows = numbered(samples.select("user_id", F.transform("history", lambda x: F.nullif(x, F.lit(0).cast("long"))).alias("history"), "feedback"), fitted.ids, ("history",))
+    shared = samples.sparkSession.sparkContext.broadcast(pickle.dumps((fitted.model, fitted.weights, fitted.ids)))
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, weights, ids = pickle.loads(shared.value)
+        for frame in batches:
+            for i in range(0, len(frame), 64):
+                part = frame.iloc[i : i + 64]
+                items, score = model.beam(weights, padded(part["history"], model.length), padded(part["feedback"], model.length), beam, topk)
+                r, c = np.nonzero(items)
+                yield pd.DataFrame({"user_id": part["user_id"].to_numpy()[r], "item_id": ids[items[r, c] - 1], "score": score[r, c], "rank": c + 1})
+
+    return rows.mapInPandas(kernel, f"user_id {rows.schema['user_id'].dataType.simpleString()}, item_id long, score double, rank long")

@@ -78,7 +78,7 @@ def category(samples: DataFrame, item_category: DataFrame, pools: DataFrame, lim
 def path_category(item_category: DataFrame, paths: DataFrame, level: str) -> DataFrame:
     """``aid, category`` with the category replaced by its parent or root where the path has one."""
     value = F.when(F.size("category_path") >= 2, F.element_at("category_path", -2 if level == "parent" else 1)).otherwise(F.col("category"))
-    return item_category.join(F.broadcast(paths.select(F.col("categoryid").alias("category"), "category_path")), "category").select("aid", value.alias("category"))
+    return item_category.join(paths.select(F.col("categoryid").alias("category"), "category_path"), "category").select("aid", value.alias("category"))
 
 
 def union(*routes: DataFrame) -> DataFrame:

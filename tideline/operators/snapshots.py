@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.operators.asof import DAY_MS
-from tideline.operators.indexes import ranked_within, weight
+from tideline.operators.indexes import ranked_within, session_pairs, weight
 
 
 def floor_to(column: str, interval: int) -> Column:
@@ -32,23 +32,24 @@ def popularity_at(events: DataFrame, snapshots: DataFrame, n: int, interval: int
     return ranked_within(rows.select("snapshot_ts", "aid", F.col("score").cast("double").alias("score")), ["snapshot_ts"], n)
 
 
-def cf_changes(events: DataFrame, interval: int = DAY_MS) -> DataFrame:
+def cf_changes(events: DataFrame, interval: int = DAY_MS, block: int = 2048) -> DataFrame:
     """``src, dst, day, delta``: changes of the co-occurrence sums at the end of each day.
 
     A session that goes on the next day and meets new items changes the weight of its old pairs too, since the weight falls with the
-    number of items; so each of its days writes the difference to the day before.
+    number of items; so each of its days writes the difference to the day before. Pairs are formed by :func:`session_pairs`.
     """
     first = events.groupBy("session", "aid").agg(F.min(floor_to("ts", interval)).alias("day"))
     per_day = first.groupBy("session", "day").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("session").orderBy("day")
     size = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))
     value = F.lit(1.0) / F.log2(F.lit(2.0) + F.col("__size"))
-    days = per_day.withColumn("__size", size).withColumn("now", value).withColumn("before", F.lag("now").over(w)).select("session", F.col("day").alias("at"), "now", "before")
-    a, b = first.select("session", F.col("aid").alias("src"), F.col("day").alias("__a")), first.select("session", F.col("aid").alias("dst"), F.col("day").alias("__b"))
-    pairs = a.join(b, "session").filter(F.col("src") != F.col("dst")).withColumn("met", F.greatest("__a", "__b"))
-    rows = pairs.join(days, "session").filter(F.col("at") >= F.col("met"))
-    delta = F.col("now") - F.when(F.col("at") > F.col("met"), F.col("before")).otherwise(0.0)
-    return rows.groupBy("src", "dst", F.col("at").alias("day")).agg(F.sum(delta).alias("delta"))
+    days = per_day.withColumn("__size", size).withColumn("now", value).withColumn("before", F.lag("now").over(w))
+    days = days.groupBy("session").agg(F.collect_list(F.struct(F.col("day").alias("at"), "now", "before")).alias("days"))  # one entry a day
+    pairs = session_pairs(first.join(days, "session"), ["day", "days"], block).filter(F.col("src") != F.col("dst"))
+    met = F.greatest("__l_day", "__r_day")
+    rows = pairs.select("src", "dst", met.alias("met"), F.explode(F.filter("__l_days", lambda d: d["at"] >= met)).alias("d"))
+    delta = F.col("d.now") - F.when(F.col("d.at") > F.col("met"), F.col("d.before")).otherwise(0.0)
+    return rows.groupBy("src", "dst", F.col("d.at").alias("day")).agg(F.sum(delta).alias("delta"))
 
 
 def session_counts(events: DataFrame, interval: int = DAY_MS) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -68,17 +69,51 @@ def cosine_topk(queries: DataFrame, catalogue: DataFrame, k: int, same: bool = F
     return found.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
-def lsh_topk(vectors: DataFrame, k: int, tables: int = 8, width: float = 2.0, radius: float = 1.3, seed: int = 7) -> DataFrame:
-    """``query_id, item_id, similarity, rank``: nearest other items among those that share a bucket of MLlib's random projections."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+def cell_topk(vectors: DataFrame, k: int, probes: int = 12, cell_rows: int = 4096, least_cells: int = 32, block: int = 8192, seed: int = 7) -> DataFrame:
+    """``query_id, item_id, similarity, rank``: about the ``k`` nearest other items, among those of the ``probes`` nearest cells.
 
-    rows = vectors.select("item_id", array_to_vector(unit("vector")).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=seed).fit(rows)
-    pairs = model.approxSimilarityJoin(rows, rows, radius, distCol="d").filter(F.col("datasetA.item_id") != F.col("datasetB.item_id"))
-    pairs = pairs.select(F.col("datasetA.item_id").alias("query_id"), F.col("datasetB.item_id").alias("item_id"), (F.lit(1.0) - F.col("d") * F.col("d") / F.lit(2.0)).alias("similarity"))
+    Cells of about ``cell_rows`` items (but ``least_cells`` at least) lie around centres that MLlib fits on a sample of 64 items for each; all items are
+    put into the cell of their nearest centre and ask ``probes`` cells. A cell's items and askers meet in blocks of at most ``block`` rows on
+    each side, one product of matrices each, so a large cell is spread over many tasks. Similarities are exact, rounded to nine decimals,
+    ties go to the smaller item. The centres, a row per cell, are broadcast. Runs jobs.
+    """
+    asked = asked_cells(vectors, probes, cell_rows, least_cells, seed)
+    if asked is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, item_id long, similarity double, rank long")
+    cell = F.explode("cells").alias("cell")
+    own, asks = asked.select("item_id", "vector", F.col("cells")[0].alias("cell")), asked.select(F.col("item_id").alias("query_id"), F.col("vector").alias("vector"), cell)
+    count = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias(name))
+    sizes = count(own, "parts").join(count(asks, "slices"), "cell")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = own.join(F.broadcast(sizes), "cell").select("cell", "item_id", "vector", F.pmod(F.xxhash64("item_id"), F.col("parts").cast("long")).cast("int").alias("b"), every("slices").alias("p"))
+    right = asks.join(F.broadcast(sizes), "cell").select("cell", "query_id", "vector", F.pmod(F.xxhash64("query_id"), F.col("slices").cast("long")).cast("int").alias("p"), every("parts").alias("b"))
+    found = left.groupBy("cell", "b", "p").cogroup(right.groupBy("cell", "b", "p")).applyInPandas(_top(k, True), "query_id long, item_id long, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id")
-    return pairs.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+
+
+def asked_cells(vectors: DataFrame, probes: int = 12, cell_rows: int = 4096, least_cells: int = 32, seed: int = 7) -> DataFrame | None:
+    """``item_id, vector, cells``: the ``probes`` nearest cells of each item, its own first (see :func:`cell_topk`); None without items."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = settle(vectors.select("item_id", unit("vector").alias("vector")))
+    n = rows.count()
+    if not n:
+        return None
+    cells = min(n, max(least_cells, math.ceil(n / cell_rows)))
+    sample = rows.sample(False, min(1.0, 64 * cells / n), seed) if 64 * cells < n else rows
+    model = KMeans(k=cells, seed=seed, maxIter=10).fit(sample.select(array_to_vector("vector").alias("features")))
+    shared = rows.sparkSession.sparkContext.broadcast(np.array(model.clusterCenters()))
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centres = shared.value
+        for batch in batches:
+            x = np.array(batch["vector"].tolist()).reshape(len(batch), -1)
+            order = np.argsort((centres**2).sum(axis=1) - 2 * x @ centres.T, axis=1, kind="stable")[:, :probes]
+            yield batch.assign(cells=order.tolist())
+
+    return settle(rows.mapInPandas(kernel, "item_id long, vector array<double>, cells array<int>"))
 
 
 def session_vectors(samples: DataFrame, vectors: DataFrame, last: int = 5) -> DataFrame:

@@ -322,7 +322,10 @@ def last_positive_samples(spark: SparkSession, folder: str) -> DataFrame:
     return texts(rows.filter("position > 0"), "history", "feedback")
 
 
-@query()
+@query(f"""{with_sql('feedback')}, {_FS}, seq AS (SELECT user_id, list(item_id ORDER BY p) AS items, list(is_positive ORDER BY p) AS pos, count(*) AS n FROM fs GROUP BY user_id),
+ blk AS (SELECT *, unnest(range(1, n, 4)) AS b FROM seq WHERE n > 1), w AS (SELECT *, least(b + 4, n) AS e, greatest(0, least(b + 4, n) - 9) AS f FROM blk)
+ SELECT user_id, b AS block_start, repeat('0,', (8 - (e - f - 1))::INT) || array_to_string([items[i + 1] + 1 for i in range(f, e - 1)], ',') AS items, repeat('0,', (8 - (e - f - 1))::INT) || array_to_string([pos[i + 1] + 1 for i in range(f, e - 1)], ',') AS feedback,
+ repeat('-100,', (8 - (e - f - 1))::INT) || array_to_string([CASE WHEN pos[i + 2] = 1 AND i + 1 >= b THEN items[i + 2] ELSE -100 END for i in range(f, e - 1)], ',') AS labels FROM w""")
 def masked_windows(spark: SparkSession, folder: str) -> DataFrame:
     return texts(sequences.masked_windows(sequences.feedback_sequences(feedback(spark, folder)), length=8, stride=4), "items", "feedback", "labels")
 

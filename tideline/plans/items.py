@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.adapters import behaviour, feedback, item_vectors, vectors, with_sql
 from tideline.functions import text as texts_of
 from tideline.operators import codes, embeddings, features, fusion, indexes, metrics, models, sequences
 from tideline.operators import vectors as vec
+from tideline.operators.sessions import number_rows
 from tideline.plans.events import rounded, texts
 from tideline.plans.recall import ROUTE_NAMES, candidates, labels
 from tideline.plans.registry import Registry
@@ -90,7 +91,7 @@ _UNIQUE = f"{_CODES}, one AS (SELECT min(item_id) AS item_id, c1, c2, c3 FROM co
 
 def _catalogue(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     one = _codes(spark, folder).groupBy("c1", "c2", "c3").agg(F.min("item_id").alias("item_id")).select("item_id", "c1", "c2", "c3")
-    num = one.withColumn("i", F.row_number().over(Window.orderBy("item_id")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+    num = number_rows(one, "i", "item_id").withColumn("n", F.lit(one.count()))
     to = num.select(F.col("item_id").alias("src"), F.explode(F.array_distinct(F.array((F.col("i") * 7 + 3) % F.col("n"), (F.col("i") * 3 + 1) % F.col("n"), F.expr("cast(i div 2 as bigint)")))).alias("j"))
     moves = to.join(num.select(F.col("item_id").alias("dst"), F.col("i").alias("j")), "j").select("src", "dst")
     return one, moves
@@ -145,6 +146,18 @@ def rq_kmeans(spark: SparkSession, folder: str) -> DataFrame:
     return codes.rq_kmeans(vectors(spark, folder), [8, 8, 16], ratio=1.5)
 
 
+@query("SELECT i AS level, (SELECT count(*) FROM embeddings) AS items, CAST(ceil((SELECT count(*) FROM embeddings) / size * 1.5) AS BIGINT) AS capacity, true AS within_capacity, true AS told_apart FROM (VALUES (1, 8.0), (2, 8.0), (3, 16.0)) t(i, size)")
+def rq_kmeans_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Per level, that no token exceeds its capacity, and that items of one prefix differ in the last token where there are enough of them."""
+    found, rows = codes.fit_quantiser(vectors(spark, folder), [8, 8, 16], ratio=1.5, dimensions=16), None
+    groups = found.codes.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("c3").alias("d"))
+    apart = groups.agg(F.coalesce(F.bool_and((F.col("n") > 16) | (F.col("n") == F.col("d"))), F.lit(True)).alias("told_apart"))
+    for m in found.measures:
+        one = found.codes.groupBy(f"c{m['level']}").agg(F.count(F.lit(1)).alias("n")).agg(F.lit(m["level"]).alias("level"), F.sum("n").alias("items"), F.lit(m["capacity"]).cast("long").alias("capacity"), (F.max("n") <= m["capacity"]).alias("within_capacity"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.join(apart)
+
+
 @query()
 def tree_codes(spark: SparkSession, folder: str) -> DataFrame:
     return codes.tree_codes(vectors(spark, folder), [4, 4])
@@ -180,8 +193,23 @@ def session_vector_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query()
-def ann_lsh(spark: SparkSession, folder: str) -> DataFrame:
-    return vec.lsh_topk(vectors(spark, folder).select("item_id", F.col("vector").cast("array<double>").alias("vector")), 10)
+def ann_cells(spark: SparkSession, folder: str) -> DataFrame:
+    return vec.cell_topk(item_vectors(spark, folder), 10)
+
+
+@query("""WITH newest AS (SELECT item_ids AS i, max(struct_pack(e := epoch, v := vectors)).v AS v FROM item2vec_embeddings WHERE item_ids IS NOT NULL GROUP BY item_ids)
+ SELECT count(*) AS asked, true AS reached, true AS selective FROM newest WHERE len(v) = 64 AND len([x for x in v if isfinite(x)]) = 64 AND len([x for x in v if x <> 0]) > 0 AND i % 20 = 0""")
+def ann_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the search by cells finds nine tenths of the true ten nearest of the items divisible by 20, looking at less than half of all pairs."""
+    rows = settle(item_vectors(spark, folder))
+    exact = vec.cosine_topk(rows.filter("item_id % 20 = 0").withColumnRenamed("item_id", "query_id"), rows, 10, same=True)
+    found = vec.cell_topk(rows, 10).select("query_id", "item_id", F.lit(1).alias("held"))
+    one = exact.join(found, ["query_id", "item_id"], "left").agg(F.count_distinct("query_id").alias("asked"), (F.sum("held") >= 0.9 * F.count(F.lit(1))).alias("reached"))
+    asked = vec.asked_cells(rows)
+    own = asked.groupBy(F.col("cells")[0].alias("cell")).agg(F.count(F.lit(1)).alias("o"))
+    asks = asked.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("a"))
+    pairs = own.join(asks, "cell").agg(F.sum(F.col("o") * F.col("a"))).first()[0] or 0
+    return one.withColumn("selective", F.lit(pairs < 0.5 * rows.count() ** 2))
 
 
 @query()
@@ -240,18 +268,15 @@ def fused_embedding(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(fused.select("item_id", total.alias("check_sum"), vec.dot("vector", "vector").alias("length")))
 
 
-@query()
-def item2vec(spark: SparkSession, folder: str) -> DataFrame:
-    return embeddings.item2vec(indexes.adaptive_pairs(behaviour(spark, folder)), dims=16, epochs=2)
-
-
 @query()
 def item2vec_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     items = embeddings.item2vec(indexes.skipgram_pairs(behaviour(spark, folder)), dims=16, epochs=2)
     return vec.cosine_topk(items.withColumnRenamed("item_id", "query_id"), items, 10, same=True)
 
 
-@query()
+@query("""WITH newest AS (SELECT item_ids AS i, max(struct_pack(e := epoch, v := vectors)).v AS v FROM item2vec_embeddings WHERE item_ids IS NOT NULL GROUP BY item_ids),
+ valid AS (SELECT i FROM newest WHERE len(v) = 64 AND len([x for x in v if isfinite(x)]) = 64 AND len([x for x in v if x <> 0]) > 0), known AS (SELECT aid FROM events_all WHERE aid IS NOT NULL UNION SELECT i FROM valid)
+ SELECT aid AS item_id, i IS NOT NULL AS warm, 64 AS width FROM known LEFT JOIN valid ON i = aid""")
 def warm_start(spark: SparkSession, folder: str) -> DataFrame:
     """All items of the session log and all that have a vector."""
     known = item_vectors(spark, folder)
@@ -311,13 +336,6 @@ def ple(spark: SparkSession, folder: str) -> DataFrame:
     return _trained(spark, folder, "ple")
 
 
-@query()
-def two_tower(spark: SparkSession, folder: str) -> DataFrame:
-    samples = spark.read.parquet(f"{folder}/validation_samples.parquet").select(F.col("history_aids").alias("history"), F.col("target_aid").alias("target"), F.col("target_ts").alias("ts"))
-    items = samples.select(F.explode("history").alias("item_id")).unionByName(samples.select(F.col("target").alias("item_id")))
-    return models.train_towers(samples, items, dims=8, epochs=2)
-
-
 @query()
 def synthetic_log(spark: SparkSession, folder: str) -> DataFrame:
     return files.synthetic_log(spark)

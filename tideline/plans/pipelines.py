@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.adapters import DAY_MS, SESSION_GAP_MS, behaviour, raw_behaviour, state, tree, with_sql
+from tideline.adapters import CUTOFF_MS, DAY_MS, SESSION_GAP_MS, behaviour, raw_behaviour, state, tree, with_sql
 from tideline.operators import asof, clean, diagnostics, fusion, indexes, metrics, routes, sequences, sessions, snapshots
 from tideline.plans.events import _LABELS, _SPLIT, rounded
-from tideline.plans.recall import SOURCES
+from tideline.plans.ranking import _RANKED, _TOPLIST
+from tideline.plans.recall import _BASE, _INDEX_SQL, _UNION, SOURCES
+from tideline.plans.recall import _PAST as _PAST_SQL
 from tideline.plans.registry import Registry
 from tideline.session import settle
 
@@ -105,7 +107,12 @@ def rolling_folds(spark: SparkSession, folder: str, folds: int = 2, warmup: floa
 query()(rolling_folds)
 
 
-@query()
+_FIRST = "cutoff AS (SELECT min(target_ts) AS c FROM split WHERE split = 'validation' AND session IN (SELECT session FROM used))"
+_FROZEN = f"{_BASE.replace(_PAST_SQL, _FIRST + ', ' + _PAST_SQL)}, {_INDEX_SQL}".replace(str(CUTOFF_MS - 30 * DAY_MS), f"((SELECT c FROM cutoff) - {30 * DAY_MS})").replace(str(CUTOFF_MS), "(SELECT c FROM cutoff)")
+
+
+@query(f"""{_FROZEN}, cand AS ({_UNION}), fused AS (SELECT session, aid, sum(1.0 / (60.0 + source_rank)) AS s, count(DISTINCT source) AS k FROM cand GROUP BY ALL),
+ scored AS (SELECT f.session AS sample_id, aid, t.target_type, CAST(coalesce(aid = t.target_aid, false) AS INT) AS label, round(s, 9) AS final_score FROM fused f JOIN split t ON t.session = f.session), {_RANKED} {_TOPLIST}""")
 def frozen_evaluation(spark: SparkSession, folder: str) -> DataFrame:
     """Validation samples against indexes frozen at their earliest target: union, fusion and list metrics, label-blind."""
     events, samples = _samples(spark, folder)
@@ -114,7 +121,7 @@ def frozen_evaluation(spark: SparkSession, folder: str) -> DataFrame:
     enriched = asof.asof_enrich(events, changes, changes, asof.category_paths(spark, tree(spark, folder), changes))
     found = routes.from_indexes(samples, indexes.freeze(events, enriched, changes, cutoff))
     rows = fusion.compact(found, samples, SOURCES, 0, 200, inject=False, prioritise=False)
-    return rounded(metrics.toplist(rows.select(F.col("session").alias("sample_id"), "aid", "target_type", "label", F.col("rrf_score").alias("final_score")), 20))
+    return rounded(metrics.toplist(rows.select(F.col("session").alias("sample_id"), "aid", "target_type", "label", F.round("rrf_score", 9).alias("final_score")), 20))
 
 
 QUERIES, ORACLES = query.queries, query.oracles

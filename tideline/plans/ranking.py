@@ -175,14 +175,17 @@ def source_recall(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(metrics.source_recall(candidates(spark, folder), labels(spark, folder), 20))
 
 
-_RANKED = """ranked AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY final_score DESC, aid) AS r FROM scored), pos AS (SELECT sample_id, r, final_score AS ps FROM ranked WHERE label = 1),
- auc AS (SELECT sample_id, sum(CASE WHEN ps > final_score THEN 1.0 WHEN ps = final_score THEN 0.5 ELSE 0 END) AS w, count(*) AS n FROM ranked JOIN (SELECT sample_id, ps FROM pos) USING (sample_id) WHERE label = 0 GROUP BY sample_id),
- per AS (SELECT s.sample_id, s.target_type, p.r, CASE WHEN p.r <= 20 THEN 1.0 ELSE 0 END::DOUBLE AS hit, CASE WHEN p.r <= 20 THEN 1.0 / p.r ELSE 0 END::DOUBLE AS mrr, CASE WHEN p.r <= 20 THEN 1.0 / log2(p.r + 1.0) ELSE 0 END::DOUBLE AS ndcg, CASE s.target_type WHEN 'clicks' THEN 0.1 WHEN 'carts' THEN 0.3 ELSE 0.6 END::DOUBLE AS wt, w, n FROM (SELECT sample_id, any_value(target_type) AS target_type FROM scored GROUP BY sample_id) s LEFT JOIN pos p USING (sample_id) LEFT JOIN auc USING (sample_id))"""
+_RANKED = """ranked AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY final_score DESC, aid) AS r FROM scored), placed AS (SELECT sample_id, r, final_score AS ps FROM ranked WHERE label = 1),
+ auc AS (SELECT sample_id, sum(CASE WHEN ps > final_score THEN 1.0 WHEN ps = final_score THEN 0.5 ELSE 0 END) AS w, count(*) AS n FROM ranked JOIN (SELECT sample_id, ps FROM placed) USING (sample_id) WHERE label = 0 GROUP BY sample_id),
+ per AS (SELECT s.sample_id, s.target_type, p.r, CASE WHEN p.r <= 20 THEN 1.0 ELSE 0 END::DOUBLE AS hit, CASE WHEN p.r <= 20 THEN 1.0 / p.r ELSE 0 END::DOUBLE AS mrr, CASE WHEN p.r <= 20 THEN 1.0 / log2(p.r + 1.0) ELSE 0 END::DOUBLE AS ndcg, CASE s.target_type WHEN 'clicks' THEN 0.1 WHEN 'carts' THEN 0.3 ELSE 0.6 END::DOUBLE AS wt, w, n FROM (SELECT sample_id, any_value(target_type) AS target_type FROM scored GROUP BY sample_id) s LEFT JOIN placed p USING (sample_id) LEFT JOIN auc USING (sample_id))"""
 _ACT = {a: f"coalesce(avg(CASE WHEN target_type = '{a}' THEN hit END), 0)" for a in ("clicks", "carts", "orders")}
 
 
-@query(f"""WITH {_SCORED}, {_RANKED} SELECT count(*) AS samples, round(avg(CASE WHEN r IS NULL THEN 0.0 ELSE 1.0 END), 6) AS candidate_recall, round(avg(hit), 6) AS hit_rate, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, round(sum(hit * wt) / sum(wt), 6) AS event_weighted_hit_rate, round(sum(mrr * wt) / sum(wt), 6) AS event_weighted_mrr, round(sum(ndcg * wt) / sum(wt), 6) AS event_weighted_ndcg,
- {', '.join(f'round({v}, 6) AS {a}_hit_rate' for a, v in _ACT.items())}, round(sum(w) / sum(n), 6) AS conditional_auc, round(avg(w / n), 6) AS conditional_gauc, count(w) AS auc_samples, round(avg(coalesce(w / n, 0)), 6) AS end_to_end_gauc, round(sum(coalesce(w / n, 0) * wt) / sum(wt), 6) AS event_weighted_end_to_end_gauc, round(0.1 * {_ACT['clicks']} + 0.3 * {_ACT['carts']} + 0.6 * {_ACT['orders']}, 6) AS macro_weighted_hit_rate FROM per""")
+_TOPLIST = f"""SELECT count(*) AS samples, round(avg(CASE WHEN r IS NULL THEN 0.0 ELSE 1.0 END), 6) AS candidate_recall, round(avg(hit), 6) AS hit_rate, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, round(sum(hit * wt) / sum(wt), 6) AS event_weighted_hit_rate, round(sum(mrr * wt) / sum(wt), 6) AS event_weighted_mrr, round(sum(ndcg * wt) / sum(wt), 6) AS event_weighted_ndcg,
+ {', '.join(f'round({v}, 6) AS {a}_hit_rate' for a, v in _ACT.items())}, round(sum(w) / sum(n), 6) AS conditional_auc, round(avg(w / n), 6) AS conditional_gauc, count(w) AS auc_samples, round(avg(coalesce(w / n, 0)), 6) AS end_to_end_gauc, round(sum(coalesce(w / n, 0) * wt) / sum(wt), 6) AS event_weighted_end_to_end_gauc, round(0.1 * {_ACT['clicks']} + 0.3 * {_ACT['carts']} + 0.6 * {_ACT['orders']}, 6) AS macro_weighted_hit_rate FROM per"""
+
+
+@query(f"WITH {_SCORED}, {_RANKED} {_TOPLIST}")
 def toplist_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(metrics.toplist(scored(spark, folder), 20))
 

@@ -8,16 +8,20 @@ import os
 import zipfile
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.checks import require_columns
 from tideline.operators.clean import earliest_sessions, hash_sample
+from tideline.operators.codes import Quantiser
 
 EVENT_SCHEMA = T.StructType([T.StructField("session", T.LongType()), T.StructField("aid", T.LongType()), T.StructField("ts", T.LongType()), T.StructField("type", T.StringType())])
 #: Type codes of logs that store numbers.
 TYPE_CODES = {"0": "clicks", "1": "carts", "2": "orders"}
+#: Version of stored quantisers.
+QUANTISER_VERSION = 1
 INDEX_VERSION = 5
 
 
@@ -92,11 +96,30 @@ def write_csv(df: DataFrame, path: str, sample: int | None = None, keys: tuple[s
     (df if sample is None else hash_sample(df, sample, seed, *keys)).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_json(value: dict, path: str) -> None:
-    """A JSON file, replaced in one step."""
-    temporary = f"{path}.{os.getpid()}.tmp"
-    Path(temporary).write_text(json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False), encoding="utf-8")
-    os.replace(temporary, path)
+def _hadoop(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at, jvm
+
+
+def write_json(spark: SparkSession, value: dict, path: str) -> None:
+    """A JSON file on any file system Spark knows, replaced in one step."""
+    fs, at, jvm = _hadoop(spark, path)
+    temporary = jvm.org.apache.hadoop.fs.Path(f"{path}.{os.getpid()}.tmp")
+    stream = fs.create(temporary, True)
+    stream.write(bytearray(json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False).encode("utf-8")))
+    stream.close()
+    if fs.exists(at):
+        fs.delete(at, False)
+    fs.rename(temporary, at)
+
+
+def read_json(spark: SparkSession, path: str) -> dict | None:
+    """A JSON file of :func:`write_json`; None if there is none."""
+    fs, at, _ = _hadoop(spark, path)
+    if not fs.exists(at):
+        return None
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
 def sha256(path: str) -> str:
@@ -118,13 +141,13 @@ def save_vectors(vectors: DataFrame, path: str, version: int = 1) -> dict:
     """Write vectors with a manifest that holds the version and a fingerprint of the content."""
     write_table(vectors, f"{path}/data.parquet")
     manifest = {"version": version, "fingerprint": content_fingerprint(vectors.sparkSession.read.parquet(f"{path}/data.parquet"))}
-    write_json(manifest, f"{path}/manifest.json")
+    write_json(vectors.sparkSession, manifest, f"{path}/manifest.json")
     return manifest
 
 
 def load_vectors(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
     """Vectors of :func:`save_vectors`; another version or changed content raises ValueError."""
-    manifest = json.loads(Path(f"{path}/manifest.json").read_text(encoding="utf-8"))
+    manifest = read_json(spark, f"{path}/manifest.json") or {"version": None}
     rows = spark.read.parquet(f"{path}/data.parquet")
     if manifest["version"] != version:
         raise ValueError(f"version {manifest['version']}, not {version}")
@@ -133,17 +156,43 @@ def load_vectors(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
     return rows
 
 
+def save_quantiser(spark: SparkSession, found: Quantiser, path: str) -> dict:
+    """Write codes, codebooks and the preparation, with a manifest that holds sizes, measures and a fingerprint of all of it."""
+    arrays = [(f"book_{i}", list(book.shape), book.ravel().tolist()) for i, book in enumerate(found.books)]
+    arrays += [(name, list(x.shape), x.ravel().tolist()) for name, x in found.preparation.items() if isinstance(x, np.ndarray)]
+    write_table(spark.createDataFrame(arrays, "name string, shape array<long>, numbers array<double>").coalesce(1), f"{path}/arrays.parquet")
+    write_table(found.codes, f"{path}/codes.parquet")
+    manifest = {"version": QUANTISER_VERSION, "levels": len(found.books), "preparation": {k: v for k, v in found.preparation.items() if not isinstance(v, np.ndarray)}, "measures": found.measures, "fingerprint": _quantiser_fingerprint(spark, path)}
+    write_json(spark, manifest, f"{path}/manifest.json")
+    return manifest
+
+
+def _quantiser_fingerprint(spark: SparkSession, path: str) -> str:
+    return "-".join(content_fingerprint(spark.read.parquet(f"{path}/{name}.parquet")) for name in ("arrays", "codes"))
+
+
+def load_quantiser(spark: SparkSession, path: str) -> Quantiser:
+    """The quantiser of :func:`save_quantiser`, ready to encode new items; another version or changed content raises ValueError."""
+    manifest = read_json(spark, f"{path}/manifest.json") or {"version": None}
+    if manifest["version"] != QUANTISER_VERSION:
+        raise ValueError(f"version {manifest['version']}, not {QUANTISER_VERSION}")
+    if manifest["fingerprint"] != _quantiser_fingerprint(spark, path):
+        raise ValueError("the content has changed")
+    arrays = {r["name"]: np.array(r["numbers"]).reshape(r["shape"]) for r in spark.read.parquet(f"{path}/arrays.parquet").collect()}
+    books = [arrays.pop(f"book_{i}") for i in range(manifest["levels"])]
+    return Quantiser(spark.read.parquet(f"{path}/codes.parquet"), books, manifest["preparation"] | arrays, manifest["measures"])
+
+
 def cached_indexes(spark: SparkSession, path: str, cutoff: int, build) -> dict[str, DataFrame]:
     """Frozen indexes of a cut-off from the cache; built by ``build()`` and written where they lack or are of another version."""
     folder = f"{path}/cutoff={cutoff}"
-    manifest = Path(f"{folder}/manifest.json")
-    known = json.loads(manifest.read_text(encoding="utf-8")) if manifest.exists() else {}
+    known = read_json(spark, f"{folder}/manifest.json") or {}
     if known.get("version") != INDEX_VERSION:
         tables = build()
         for name, df in tables.items():
             write_table(df, f"{folder}/{name}.parquet")
-        write_json({"version": INDEX_VERSION, "cutoff": cutoff, "tables": sorted(tables)}, str(manifest))
-        known = json.loads(manifest.read_text(encoding="utf-8"))
+        known = {"version": INDEX_VERSION, "cutoff": cutoff, "tables": sorted(tables)}
+        write_json(spark, known, f"{folder}/manifest.json")
     return {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in known["tables"]}
 
 
