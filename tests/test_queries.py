@@ -5,10 +5,10 @@ from pathlib import Path
 import pandas as pd
 import pytest
 
-from tideline.plans import events, items, learning, pipelines, ranking, recall, training
+from tideline.plans import events, files, items, learning, pipelines, ranking, recall, training
 
 FOLDER = Path("/root/testdata/sf0.001")
-MODULES = [training, events, recall, ranking, items, learning, pipelines]
+MODULES = [training, events, recall, ranking, items, learning, pipelines, files]
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
 
