@@ -63,9 +63,27 @@ def test_small_sample_and_slices_of_askers(spark, points, sample_rows, ask_rows)
     assert all(len(v) == len(set(v)) == 10 for v in found.values())
 
 
-def test_large_cell_of_equal_vectors(spark):
+def test_groups_of_equal_vectors(spark, points):
+    # a third of all items share one vector, some more come in pairs
+    x = np.concatenate([np.repeat(points[:1], 300, axis=0), points[1:500], points[1:40]])
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "item long, vector array<float>")
+    found = {}
+    for r in nearest(df, 5, width=16, shard_rows=100, probes=8, ef=24).collect():
+        found.setdefault(r.item, {})[r.neighbour] = r.similarity
+    assert set(found) == set(range(len(x))) and all(len(v) == 5 and i not in v for i, v in found.items())
+    for i in range(300):
+        assert set(found[i]) == set([j for j in range(6) if j != i][:5]) and set(found[i].values()) == {1.0}
+    assert all(found[799 + j][300 + j] == found[300 + j][799 + j] == 1.0 for j in range(39))
+    exact = np.round(x[300:] @ x.T, 6)
+    exact[np.arange(len(exact)), np.arange(300, len(x))] = -2
+    tenth = np.sort(exact, axis=1)[:, -5]
+    assert np.mean([s >= tenth[i - 300] - 1e-5 for i in range(300, len(x)) for s in found[i].values()]) > 0.95
+
+
+@pytest.mark.parametrize("nearly", [0.0, 1e-7])
+def test_large_cell_of_equal_vectors(spark, nearly):
     rng = np.random.default_rng(8)
-    rows = [(i, [1.0] * 8) for i in range(300)] + [(1000 + i, [float(v) for v in rng.normal(size=8)]) for i in range(100)]
+    rows = [(i, [1.0 + nearly * (i % 50), *[1.0] * 7]) for i in range(300)] + [(1000 + i, [float(v) for v in rng.normal(size=8)]) for i in range(100)]
     got = nearest(spark.createDataFrame(rows, "item long, vector array<float>"), 3, width=8, shard_rows=40, probes=3, least=0.999).collect()
     close = {r.item for r in got}
     assert close >= set(range(300)) and all(r.item != r.neighbour for r in got)

@@ -15,8 +15,13 @@ from pyspark.sql import functions as F
 from tideline.llm.hnsw import Hnsw
 from tideline.session import settle, spread
 
+RESULT = "item long, neighbour long, similarity double"
 #: Centres a cell that is too large gets at a time, and vectors they are fitted on for each.
 PIECES, PER_PIECE = 256, 64
+#: Times that cells are divided by centres, which is enough for 256 to that power cells; what is too large then differs by rounding only.
+ROUNDS = 8
+#: Groups of equal vectors whose lists are broadcast to their members at most.
+MOST_BROADCAST = 50_000
 
 
 def valid_vectors(exports: DataFrame, item: str, vector: str, version: str, width: int) -> DataFrame:
@@ -104,20 +109,20 @@ def _fit_cells(rows: DataFrame, total: int, shard_rows: int, probes: int, gap: f
     """Centres of cells of at most ``2 * shard_rows`` vectors where centres can tell them apart, and the cells' own and asking vectors.
 
     The first centres come from a sample on the driver; a cell that is too large gets up to :data:`PIECES` centres of its own from a
-    sample of its vectors, fitted in a task, and so on. A cell all of whose vectors are the same stays as it is.
+    sample of its vectors, fitted in a task, and so on. A cell whose vectors centres can't tell apart stays as it is.
     """
     spark = rows.sparkSession
     taken = rows.select("vector").sample(False, min(1.0, sample_rows / total), seed).limit(2 * sample_rows).toPandas()["vector"]
     sample = _unit(pa.array(list(taken), pa.list_(pa.float32())), width).astype(np.float32) if len(taken) else np.eye(1, width, dtype=np.float32)
     centres = _kmeans(sample, max(1, min(math.ceil(total / shard_rows), len(sample) // 32)), np.random.default_rng(seed)).astype(np.float32)
     stuck: set[bytes] = set()
-    while True:
+    for attempt in range(ROUNDS):
         shared = spark.sparkContext.broadcast(np.ascontiguousarray(centres))
         own, asked = np.zeros(len(centres), dtype=np.int64), np.zeros(len(centres), dtype=np.int64)
         for r in rows.mapInArrow(_cells(shared, probes, gap, width), "cell long, own long, asked long").groupBy("cell").agg(F.sum("own").alias("own"), F.sum("asked").alias("asked")).collect():
             own[r["cell"]], asked[r["cell"]] = r["own"], r["asked"]
         large = {int(c): min(PIECES, math.ceil(own[c] / shard_rows)) for c in np.flatnonzero(own > 2 * shard_rows) if centres[c].tobytes() not in stuck}
-        if not large:
+        if not large or attempt == ROUNDS - 1:
             return centres, own, asked
         chance = {c: min(1.0, PER_PIECE * k / float(own[c])) for c, k in large.items()}
         finer: dict[int, list[np.ndarray]] = {c: [] for c in large}
@@ -211,6 +216,9 @@ def nearest(vectors: DataFrame, k: int, item: str = "item", vector: str = "vecto
     :func:`valid_vectors`). Only neighbours with a similarity of ``least`` or more come out; similarities are exact, the
     search is approximate. Fewer other vectors than ``k``: all that are found. Empty input: no rows.
 
+    Items with the same vector are told apart by their smallest ``k + 1`` only: one of them is indexed and asks, and its answers, their copies
+    among them, go to all, so a group of copies costs what one vector does.
+
     Vectors go to shards of about ``shard_rows`` around centres; every vector is indexed, in the shard of its nearest centre, and
     asks the ``probes`` nearest shards whose centres are at most ``gap`` less similar than the nearest. Centres are fitted on a
     sample of at most ``sample_rows`` vectors; a cell with far more vectors than a shard gets centres of its own, fitted in tasks, as often
@@ -223,26 +231,52 @@ def nearest(vectors: DataFrame, k: int, item: str = "item", vector: str = "vecto
     spark = vectors.sparkSession
     rows = settle(vectors.select(F.col(item).cast("long").alias("item"), F.col(vector).cast("array<float>").alias("vector")))
     total = rows.count()
-    result = "item long, neighbour long, similarity double"
     if total == 0:
-        return spark.createDataFrame([], result)
+        return spark.createDataFrame([], RESULT)
+    search = lambda df, n: _search(df, n, k, width, shard_rows, probes, gap, m, build_width, ef, least, sample_rows, 4 * shard_rows if ask_rows is None else ask_rows, seed)
+    hashed = rows.select(F.xxhash64("vector").alias("h"), "item")
+    copies = settle(hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
+    groups = copies.count()
+    if not groups:
+        return search(rows, total)
+    small = lambda df: F.broadcast(df) if groups <= MOST_BROADCAST else df
+    same = rows.withColumn("h", F.xxhash64("vector")).join(small(copies), "h", "left_semi")
+    first = Window.partitionBy("h", "vector").orderBy("item")
+    members = same.withColumn("__r", F.row_number().over(first)).filter(F.col("__r") <= k + 1)
+    members = settle(members.groupBy("h", "vector").agg(F.min("item").alias("rep"), F.array_sort(F.collect_list("item")).alias("members")))
+    apart = rows.withColumn("h", F.xxhash64("vector")).join(small(copies), "h", "left_anti").select("item", "vector")
+    index = settle(apart.unionByName(members.select(F.col("rep").alias("item"), "vector")))
+    found = search(index, index.count())
+    lists = members.select(F.col("rep").alias("neighbour"), "members")
+    wide = found.join(small(lists), "neighbour", "left").select("item", F.explode(F.coalesce("members", F.array("neighbour"))).alias("neighbour"), "similarity")
+    own = members.select(F.col("rep").alias("item"), F.explode("members").alias("neighbour"), F.lit(1.0).alias("similarity")).filter(F.lit(1.0) >= least)
+    best = Window.partitionBy("item").orderBy(F.desc("similarity"), "neighbour")
+    ranked = settle(wide.unionByName(own).withColumn("__r", F.row_number().over(best)).filter(F.col("__r") <= k + 1))  # one more, as a member may be in it
+    single = ranked.join(small(members.select(F.col("rep").alias("item"))), "item", "left_anti").filter(F.col("__r") <= k).drop("__r")
+    kept = ranked.join(small(members.select(F.col("rep").alias("item"), "h", "vector")), "item").groupBy("h", "vector").agg(F.array_sort(F.collect_list(F.struct("__r", "neighbour", "similarity"))).alias("list"))
+    each = same.join(small(kept), ["h", "vector"]).select("item", F.explode(F.slice(F.filter("list", lambda x: x["neighbour"] != F.col("item")), 1, k)).alias("x"))
+    return single.unionByName(each.select("item", F.col("x.neighbour").alias("neighbour"), F.col("x.similarity").alias("similarity")))
+
+
+def _search(rows: DataFrame, total: int, k: int, width: int, shard_rows: int, probes: int, gap: float, m: int, build_width: int, ef: int, least: float, sample_rows: int, ask_rows: int, seed: int) -> DataFrame:
+    """:func:`nearest` for settled rows, without regard to equal vectors."""
+    spark = rows.sparkSession
     centres, own, asked = _fit_cells(rows, total, shard_rows, probes, gap, sample_rows, width, seed)
     parts = np.maximum(1, np.where(own > 2 * shard_rows, np.ceil(own / shard_rows), 1)).astype(np.int64)
     first = np.cumsum(parts) - parts
-    ask_rows = 4 * shard_rows if ask_rows is None else ask_rows
     askers = np.repeat(asked + np.where(parts > 1, own, 0), parts)  # of a divided cell, the other parts' vectors ask, too
     slices = np.where(askers > ask_rows, np.ceil(askers / ask_rows), 0).astype(np.int64)
     hot = frozenset(np.flatnonzero(slices).tolist())
     shared = spark.sparkContext.broadcast(np.ascontiguousarray(centres))
     spread_rows = spread(rows, "item")
     routed = lambda asking: spread_rows.mapInArrow(_route(shared, first, parts, slices, asking, probes, gap, width), "shard long, slice long, own boolean, item long, raw binary")
-    found = routed(False).repartition(4 * len(slices), "shard").groupBy("shard").applyInPandas(_build(k, m, build_width, ef, least, width, hot), f"{result}, shard long, graph binary")
+    found = routed(False).repartition(4 * len(slices), "shard").groupBy("shard").applyInPandas(_build(k, m, build_width, ef, least, width, hot), f"{RESULT}, shard long, graph binary")
     if hot:
         built = settle(found)
         number = spark.createDataFrame([(h, int(slices[h])) for h in sorted(hot)], "shard long, n long")  # as the centres, a row per shard at most
         graphs = built.filter(F.col("graph").isNotNull()).join(F.broadcast(number), "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slice"), "graph")
         pieces = int(slices.sum())
-        answers = graphs.repartition(4 * pieces, "shard", "slice").groupBy("shard", "slice").cogroup(routed(True).repartition(4 * pieces, "shard", "slice").groupBy("shard", "slice")).applyInPandas(_ask(k, ef, least, width), result)
+        answers = graphs.repartition(4 * pieces, "shard", "slice").groupBy("shard", "slice").cogroup(routed(True).repartition(4 * pieces, "shard", "slice").groupBy("shard", "slice")).applyInPandas(_ask(k, ef, least, width), RESULT)
         found = built.filter(F.col("graph").isNull()).select("item", "neighbour", "similarity").unionByName(answers)
     found = found.select("item", "neighbour", "similarity")
     best = Window.partitionBy("item").orderBy(F.desc("similarity"), "neighbour")
