@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Nodes that are linked by their exact similarities before the graph is searched, and nodes inserted at a time after that.
-FIRST, BATCH = 1024, 512
+FIRST, BATCH = 4096, 1024
 #: Links a node may have beyond its limit before its list is cut back.
 SLACK = 8
 
@@ -37,12 +37,10 @@ class Hnsw:
         links = np.full((n, m + SLACK), -1, dtype=np.int32)
         self.links[level] = links
         count = np.zeros(n, dtype=np.int64)
-        near = self.x[:first] @ self.x[:first].T
-        np.fill_diagonal(near, -np.inf)
         take = min(self.width, first - 1)
         if take > 0:
-            ids = np.argpartition(-near, take - 1, axis=1)[:, :take]
-            self._link(links, count, 0, ids, np.take_along_axis(near, ids, axis=1), m)
+            found = [self._exact(i, min(first, i + BATCH), first, take) for i in range(0, first, BATCH)]
+            self._link(links, count, 0, np.concatenate([ids for ids, _ in found]), np.concatenate([near for _, near in found]), m)
         start = first
         while start < n:
             end = min(n, start + BATCH)
@@ -58,6 +56,13 @@ class Hnsw:
             self._link(links, count, start, ids, near, m)
             start = end
 
+    def _exact(self, start: int, end: int, nodes: int, take: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``take`` nearest of the first ``nodes`` of each node from ``start`` on, itself left out."""
+        near = self.x[start:end] @ self.x[:nodes].T
+        near[np.arange(end - start), np.arange(start, end)] = -np.inf
+        ids = np.argpartition(-near, take - 1, axis=1)[:, :take]
+        return ids, np.take_along_axis(near, ids, axis=1)
+
     def _enter(self, level: int, queries: np.ndarray, below: int) -> np.ndarray:
         """Entry node of each query on ``level``: the best found on the levels above."""
         entry = np.zeros(len(queries), dtype=np.int64)
