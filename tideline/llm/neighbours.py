@@ -229,24 +229,24 @@ def nearest(vectors: DataFrame, k: int, item: str = "item", vector: str = "vecto
     Runs jobs (row count, sample, cell sizes).
     """
     spark = vectors.sparkSession
-    rows = settle(vectors.select(F.col(item).cast("long").alias("item"), F.col(vector).cast("array<float>").alias("vector")))
+    rows = settle(vectors.select(F.col(item).cast("long").alias("item"), F.col(vector).cast("array<float>").alias("vector")).withColumn("h", F.xxhash64("vector")))
     total = rows.count()
     if total == 0:
         return spark.createDataFrame([], RESULT)
     search = lambda df, n: _search(df, n, k, width, shard_rows, probes, gap, m, build_width, ef, least, sample_rows, 4 * shard_rows if ask_rows is None else ask_rows, seed)
-    hashed = rows.select(F.xxhash64("vector").alias("h"), "item")
-    copies = settle(hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
+    copies = settle(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
     groups = copies.count()
     if not groups:
-        return search(rows, total)
+        return search(rows.drop("h"), total)
     small = lambda df: F.broadcast(df) if groups <= MOST_BROADCAST else df
-    same = rows.withColumn("h", F.xxhash64("vector")).join(small(copies), "h", "left_semi")
+    same = rows.join(small(copies), "h", "left_semi")
     first = Window.partitionBy("h", "vector").orderBy("item")
     members = same.withColumn("__r", F.row_number().over(first)).filter(F.col("__r") <= k + 1)
     members = settle(members.groupBy("h", "vector").agg(F.min("item").alias("rep"), F.array_sort(F.collect_list("item")).alias("members")))
-    apart = rows.withColumn("h", F.xxhash64("vector")).join(small(copies), "h", "left_anti").select("item", "vector")
-    index = settle(apart.unionByName(members.select(F.col("rep").alias("item"), "vector")))
-    found = search(index, index.count())
+    others = settle(same.select("item").join(small(members.select(F.col("rep").alias("item"))), "item", "left_anti"))
+    many = others.count()
+    index = rows.drop("h").join(F.broadcast(others) if many <= MOST_BROADCAST else others, "item", "left_anti")
+    found = search(index if many <= MOST_BROADCAST else settle(index), total - many)
     lists = members.select(F.col("rep").alias("neighbour"), "members")
     wide = found.join(small(lists), "neighbour", "left").select("item", F.explode(F.coalesce("members", F.array("neighbour"))).alias("neighbour"), "similarity")
     own = members.select(F.col("rep").alias("item"), F.explode("members").alias("neighbour"), F.lit(1.0).alias("similarity")).filter(F.lit(1.0) >= least)
