@@ -38,7 +38,7 @@ def _vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of items with a cosine of 0.94 or more."""
-    near = nearest(_vectors(spark, folder), 10, probes=3, gap=0.2, m=10, build_width=20, ef=12, least=0.94)
+    near = nearest(_vectors(spark, folder), 10, probes=3, gap=0.2, m=10, build_width=24, ef=14, least=0.94)
     return near.select(F.least("item", "neighbour").alias("item_id_a"), F.greatest("item", "neighbour").alias("item_id_b")).distinct()
 
 
