@@ -10,7 +10,9 @@ from tideline.operators import asof, clean, diagnostics, fusion, indexes, metric
 from tideline.plans.events import _LABELS, _SPLIT, rounded
 from tideline.plans.ranking import _RANKED, _TOPLIST
 from tideline.plans.recall import _BASE, _INDEX_SQL, _UNION, SOURCES
+from tideline.plans.recall import _ENR
 from tideline.plans.recall import _PAST as _PAST_SQL
+from tideline.plans.recall import _SEEDS as _RECALL_SEEDS
 from tideline.plans.registry import Registry
 from tideline.session import settle
 
@@ -89,22 +91,39 @@ def snapshot_audit(spark: SparkSession, folder: str) -> DataFrame:
     return snapshots.snapshot_audit(events, samples)
 
 
-def rolling_folds(spark: SparkSession, folder: str, folds: int = 2, warmup: float = 0.4) -> DataFrame:
+_FOLDS = 2
+_FOLD_POINTS = [0.4 + 0.6 * i / _FOLDS for i in range(_FOLDS + 1)]
+_FOLD_SAMPLES = f"""f_all AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts, event_order) - 1 AS place, count(*) OVER (PARTITION BY session, ts) AS tied FROM beh),
+ f_num AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY session) AS n FROM f_all WHERE tied = 1 AND place >= 2),
+ f_pick AS (SELECT DISTINCT session, n, CAST(round_even(k * (n - 1) / 49.0, 0) AS BIGINT) AS i FROM (SELECT DISTINCT session, n FROM f_num WHERE n > 50), (SELECT unnest(range(0, 50)) AS k)),
+ f_smp AS (SELECT f.session AS of_session, aid AS target_aid, type AS target_type, ts AS target_ts FROM f_num f LEFT JOIN f_pick p ON p.session = f.session AND p.n = f.n AND p.i = f.i WHERE f.n <= 50 OR p.session IS NOT NULL),
+ f_bound AS (SELECT {', '.join(f'CAST(floor(quantile_cont(target_ts::DOUBLE, {q})) AS BIGINT) AS b{i}' for i, q in enumerate(_FOLD_POINTS))} FROM f_smp)"""
+
+
+def _fold_sql(fold: int) -> str:
+    own = f"cutoff AS (SELECT b{fold} AS c FROM f_bound), f_own AS (SELECT row_number() OVER (ORDER BY of_session, target_ts) AS session, s.* FROM f_smp s, f_bound WHERE target_ts >= b{fold} AND target_ts < b{fold + 1}{' + 1' if fold == _FOLDS - 1 else ''})"
+    hist = "hist AS (SELECT t.session, h.aid, h.type, row_number() OVER (PARTITION BY t.session ORDER BY h.ts DESC, h.event_order DESC) AS back, count(*) OVER (PARTITION BY t.session) AS n FROM f_own t JOIN beh h ON h.session = t.of_session AND h.ts < t.target_ts)"
+    text = f"""SELECT * FROM ({_ENR}, {_FOLD_SAMPLES}, {own}, {hist}, {_RECALL_SEEDS[_RECALL_SEEDS.index('used AS'):]}, {_PAST_SQL}, {_INDEX_SQL}, f_found AS ({_UNION}),
+ f_fused AS (SELECT session, aid, sum(1.0 / (60.0 + source_rank)) AS s, count(DISTINCT source) AS k, min(source_rank) AS r FROM f_found GROUP BY ALL),
+ f_lab AS (SELECT f.*, CAST(f.aid = o.target_aid AS INT) AS label FROM f_fused f JOIN f_own o USING (session)),
+ f_more AS (SELECT * FROM f_lab UNION ALL SELECT session, target_aid, 0, 0, 201, 1 FROM f_own WHERE session NOT IN (SELECT session FROM f_lab WHERE label = 1))
+ SELECT {fold} AS fold, of_session AS session, target_ts, aid, round(s, 6) AS rrf_score, k AS source_count, r AS best_source_rank, label, target_type FROM (SELECT *, row_number() OVER (PARTITION BY session, label ORDER BY round(s, 9) DESC, k DESC, aid) AS place FROM f_more) JOIN f_own USING (session) WHERE label = 1 OR place <= 30)"""
+    return text.replace(str(CUTOFF_MS - 30 * DAY_MS), f"((SELECT c FROM cutoff) - {30 * DAY_MS})").replace(str(CUTOFF_MS), "(SELECT c FROM cutoff)")
+
+
+@query(" UNION ALL ".join(map(_fold_sql, range(_FOLDS))))
+def rolling_folds(spark: SparkSession, folder: str) -> DataFrame:
     """Out-of-fold training candidates: each fold's samples meet indexes frozen at its start; positives are added where they lack."""
     events, changes = settle(behaviour(spark, folder)), state(spark, folder)
-    enriched = asof.asof_enrich(events, changes, changes, asof.category_paths(spark, tree(spark, folder), changes))
-    samples = sequences.training_samples(events, max_history=30)
+    enriched = settle(asof.asof_enrich(events, changes, changes, asof.category_paths(spark, tree(spark, folder), changes)))
+    samples = settle(sequences.training_samples(events, max_history=30).withColumns({"of_session": F.col("session"), "session": F.xxhash64("session", "target_ts")}))
     out = None
-    for fold in diagnostics.temporal_folds(spark, samples, folds, warmup).orderBy("fold").collect():
+    for fold in diagnostics.temporal_folds(spark, samples, _FOLDS, 0.4).orderBy("fold").collect():
         own = samples.filter((F.col("target_ts") >= fold.start_ts) & (F.col("target_ts") < fold.end_ts))
-        own = own.withColumn("session", F.xxhash64("session", "target_ts"))
         found = routes.from_indexes(own, indexes.freeze(events, enriched, changes, fold.start_ts))
-        one = fusion.compact(found, own, SOURCES, 30, 200).withColumn("fold", F.lit(fold.fold))
+        one = fusion.compact(found, own, SOURCES, 30, 200).join(own.select("session", "of_session", "target_ts"), "session").withColumn("fold", F.lit(fold.fold))
         out = one if out is None else out.unionByName(one)
-    return out.select("fold", "session", "aid", F.round("rrf_score", 6).alias("rrf_score"), "source_count", "best_source_rank", "label", "target_type")
-
-
-query()(rolling_folds)
+    return out.select("fold", F.col("of_session").alias("session"), "target_ts", "aid", F.round("rrf_score", 6).alias("rrf_score"), "source_count", "best_source_rank", "label", "target_type")
 
 
 _FIRST = "cutoff AS (SELECT min(target_ts) AS c FROM split WHERE split = 'validation' AND session IN (SELECT session FROM used))"
