@@ -69,7 +69,7 @@ def cosine_topk(queries: DataFrame, catalogue: DataFrame, k: int, same: bool = F
     return found.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
-def cell_topk(vectors: DataFrame, k: int, probes: int = 12, cell_rows: int = 4096, least_cells: int = 32, block: int = 8192, seed: int = 7) -> DataFrame:
+def cell_topk(vectors: DataFrame, k: int, probes: int = 16, cell_rows: int = 4096, least_cells: int = 48, block: int = 8192, seed: int = 7) -> DataFrame:
     """``query_id, item_id, similarity, rank``: about the ``k`` nearest other items, among those of the ``probes`` nearest cells.
 
     Cells of about ``cell_rows`` items (but ``least_cells`` at least) lie around centres that MLlib fits on a sample of 64 items for each; all items are
@@ -92,7 +92,7 @@ def cell_topk(vectors: DataFrame, k: int, probes: int = 12, cell_rows: int = 409
     return found.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
-def asked_cells(vectors: DataFrame, probes: int = 12, cell_rows: int = 4096, least_cells: int = 32, seed: int = 7) -> DataFrame | None:
+def asked_cells(vectors: DataFrame, probes: int = 16, cell_rows: int = 4096, least_cells: int = 48, seed: int = 7) -> DataFrame | None:
     """``item_id, vector, cells``: the ``probes`` nearest cells of each item, its own first (see :func:`cell_topk`); None without items."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
