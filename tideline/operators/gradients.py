@@ -1,20 +1,23 @@
 """Reverse-mode derivatives over NumPy arrays, as much as the sequence models need, and their training on Spark.
 
 A :class:`Node` holds a value and how its derivative goes back to the nodes it was made from; :func:`backward` walks them from a loss. Training
-broadcasts the weights, each task runs mini-batches of its rows with Adam, and the tasks' weights are averaged by rows after each epoch.
+broadcasts the weights, each task runs mini-batches of its rows with Adam, and the tasks' weights are averaged by rows after each epoch. Of a
+:class:`Table` a task holds and sends only the rows that its batches use; tasks run side by side, their changes are summed in tasks by blocks.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tideline.session import settle
 
+#: Adam's decays and the number that keeps it from dividing by zero; rows of a table whose changes go in one message.
+FIRST, SECOND, TINY, BLOCK = 0.9, 0.999, 1e-8, 4096
 
 class Node:
     """A value in a computation; ``grad`` after :func:`backward`."""
@@ -87,8 +90,112 @@ def backward(root: Node) -> None:
             source.grad = g if source.grad is None else source.grad + g
 
 
+class Table(Node):
+    """Weights of which a batch uses few rows, with their Adam: ``base`` is only read, rows in use are copied.
+
+    A row without a derivative still moves by what Adam remembers. These moves are made up when the row is used next, by their sum: after
+    ``j`` steps they are ``m / sqrt(v) * (FIRST / sqrt(SECOND)) ** j`` times a factor of the step's number only. So a batch costs what its
+    rows do, and the weights are those of Adam over the whole table.
+    """
+
+    __slots__ = ("base", "rate", "slot", "ids", "own", "first", "second", "at", "used", "step", "found")
+
+    def __init__(self, base: np.ndarray, rate: float):
+        super().__init__(base)
+        self.base, self.rate, self.used, self.step, self.found = base, rate, 0, 0, []
+        self.slot = np.full(len(base), -1, dtype=np.int32)
+        self._room(1024)
+
+    def _room(self, rows: int) -> None:
+        old, n = (self.ids, self.own, self.first, self.second, self.at) if self.used else None, self.used
+        width = self.base.shape[1]
+        self.ids, self.at = np.zeros(rows, dtype=np.int64), np.zeros(rows, dtype=np.int64)
+        self.own, self.first, self.second = (np.zeros((rows, width)) for _ in range(3))
+        if old:
+            for new, kept in zip((self.ids, self.own, self.first, self.second, self.at), old, strict=True):
+                new[:n] = kept[:n]
+
+    def rows(self, ids: np.ndarray) -> np.ndarray:
+        """Places of the rows ``ids`` among those in use, all of them as after the steps so far."""
+        fresh = np.unique(ids[self.slot[ids] < 0])
+        if len(fresh):
+            end = self.used + len(fresh)
+            if end > len(self.ids):
+                self._room(max(end, 2 * len(self.ids)))
+            self.slot[fresh] = np.arange(self.used, end)
+            self.ids[self.used : end], self.own[self.used : end], self.at[self.used : end] = fresh, self.base[fresh], self.step
+            self.used = end
+        places = self.slot[ids]
+        late = places[self.at[places] < self.step]
+        if len(late):
+            self._catch_up(np.unique(late))
+        return places
+
+    def _catch_up(self, places: np.ndarray) -> None:
+        at = self.at[places]
+        gap = (self.step - at)[:, None].astype(np.float64)
+        ahead = _ahead(self.step)
+        share = ahead[at][:, None] - (FIRST / np.sqrt(SECOND)) ** gap * ahead[self.step]
+        tiny = np.maximum(TINY * np.sqrt(1 - SECOND**at), 1e-300)[:, None]
+        self.own[places] -= self.rate * self.first[places] / (np.sqrt(self.second[places]) + tiny) * share
+        self.first[places] *= FIRST**gap
+        self.second[places] *= SECOND**gap
+        self.at[places] = self.step
+
+    def derivative(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places and summed derivatives of the rows that the last batch used."""
+        places, which = np.unique(np.concatenate([p for p, _ in self.found]) if self.found else np.zeros(0, dtype=np.int64), return_inverse=True)
+        out = np.zeros((len(places), self.base.shape[1]))
+        if len(places):
+            order = np.argsort(which, kind="stable")
+            begins = np.searchsorted(which[order], np.arange(len(places)))
+            out = np.add.reduceat(np.concatenate([g for _, g in self.found])[order], begins, axis=0)
+        self.found = []
+        return places, out
+
+    def move(self, places: np.ndarray, g: np.ndarray) -> None:
+        """One step of Adam, ``g`` being the derivatives of the rows at ``places``."""
+        self.step += 1
+        first, second = FIRST * self.first[places] + (1 - FIRST) * g, SECOND * self.second[places] + (1 - SECOND) * g * g
+        self.first[places], self.second[places], self.at[places] = first, second, self.step
+        self.own[places] -= self.rate * (first / (1 - FIRST**self.step)) / (np.sqrt(second / (1 - SECOND**self.step)) + TINY)
+
+    def changes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Rows used so far, in their order, and how they differ from ``base``."""
+        self.rows(self.ids[: self.used])
+        order = np.argsort(self.ids[: self.used])
+        ids = self.ids[order]
+        return ids, self.own[order] - self.base[ids]
+
+
+_AHEAD = [np.zeros(0)]
+
+
+def _ahead(step: int) -> np.ndarray:
+    """For each step up to ``step``, the sum over all later ones of what a remembered derivative still moves, in units of ``m / sqrt(v)``."""
+    if len(_AHEAD[0]) <= step:
+        top, c = 2 * step + 1024, FIRST / np.sqrt(SECOND)
+        k = np.arange(1, top + 1025, dtype=np.float64)  # c to the power 1024 is 0 beside the others
+        factor = (np.sqrt(1 - SECOND**k) / (1 - FIRST**k)).tolist()
+        out, last = np.zeros(len(factor)), 0.0
+        for i in range(len(factor) - 1, -1, -1):
+            last = c * (factor[i] + last)
+            out[i] = last
+        _AHEAD[0] = out[:top]
+    return _AHEAD[0]
+
+
 def take(table: Node, ids: np.ndarray) -> Node:
     """Rows of a table."""
+    if isinstance(table, Table):
+        ids = np.asarray(ids)
+        places = table.rows(ids.ravel())
+
+        def keep(g):
+            table.found.append((places, g.reshape(len(places), -1)))
+            return ()
+
+        return Node(table.own[places].reshape(*ids.shape, -1), (), keep)
 
     def back(g):
         out = np.zeros_like(table.value)
@@ -196,57 +303,101 @@ def mean_loss(model, weights: dict[str, np.ndarray], batch: pd.DataFrame, epoch:
     return float(model.loss({k: Node(v) for k, v in weights.items()}, batch, epoch).value)
 
 
+MESSAGE = "name string, block long, task long, rows long, loss double, ids binary, delta binary"
+
+
 def _epoch(shared, rate: float, batch: int, seed: int, clip: float):
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, weights, epoch, frozen = pickle.loads(shared.value)
+        model, start, epoch, frozen = shared.value
+        tables = {k: Table(start[k], rate) for k in getattr(model, "tables", ())}
+        weights = {k: v for k, v in start.items() if k not in tables}
         first, second = ({k: np.zeros_like(v) for k, v in weights.items()} for _ in range(2))
         rows, loss, step, rng = 0, 0.0, 0, np.random.default_rng((seed, epoch))
         for frame in batches:
             frame = frame.iloc[rng.permutation(len(frame))]
             for i in range(0, len(frame), batch):
                 part = frame.iloc[i : i + batch]
-                nodes = {k: Node(v) for k, v in weights.items()}
+                nodes = {k: Node(v) for k, v in weights.items()} | tables
                 result = model.loss(nodes, part, epoch)
                 backward(result)
-                grads = {k: n.grad for k, n in nodes.items() if n.grad is not None and k not in frozen}
-                length = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+                grads = {k: nodes[k].grad for k in weights if nodes[k].grad is not None and k not in frozen}
+                moved = {k: t.derivative() for k, t in tables.items()}
+                moved = {k: x for k, x in moved.items() if k not in frozen}
+                length = np.sqrt(sum(float((g * g).sum()) for g in [*grads.values(), *(g for _, g in moved.values())]))
+                scale = min(1.0, clip / max(length, 1e-12))
                 step += 1
                 for k, g in grads.items():
-                    g = g * min(1.0, clip / max(length, 1e-12))
-                    first[k] = 0.9 * first[k] + 0.1 * g
-                    second[k] = 0.999 * second[k] + 0.001 * g * g
-                    weights[k] = weights[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+                    g = g * scale
+                    first[k] = FIRST * first[k] + (1 - FIRST) * g
+                    second[k] = SECOND * second[k] + (1 - SECOND) * g * g
+                    weights[k] = weights[k] - rate * (first[k] / (1 - FIRST**step)) / (np.sqrt(second[k] / (1 - SECOND**step)) + TINY)
+                for k, (places, g) in moved.items():
+                    tables[k].move(places, g * scale)
                 rows, loss = rows + len(part), loss + float(result.value) * len(part)
-        if rows:
-            yield pd.DataFrame({"rows": [rows], "loss": [loss], "weights": [pickle.dumps(weights)]})
+        if not rows:
+            return
+        task = TaskContext.get().partitionId()
+        line = lambda name, block, ids, delta: pd.DataFrame({"name": [name], "block": [block], "task": [task], "rows": [rows], "loss": [loss], "ids": [ids.tobytes()], "delta": [delta.tobytes()]})
+        yield line("", 0, np.zeros(0, dtype=np.int64), np.zeros(0))
+        changes = [(k, np.arange(len(v)), v - start[k]) for k, v in weights.items() if k not in frozen]
+        changes += [(k, *t.changes()) for k, t in tables.items() if k not in frozen]
+        for name, ids, delta in changes:
+            ends = np.searchsorted(ids, np.arange(0, (ids[-1] if len(ids) else 0) + BLOCK + 1, BLOCK))
+            for block, (b, e) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+                if e > b:
+                    yield line(name, block, ids[b:e], delta[b:e])
+
+    return kernel
+
+
+def _sum(sizes: dict[str, int]):
+    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
+        """The tasks' changes of one block, each times the task's rows, in the order of the tasks."""
+        rows = rows.sort_values("task", ignore_index=True)
+        name, block = rows["name"].iloc[0], int(rows["block"].iloc[0])
+        seen = np.unique(np.concatenate([np.frombuffer(x, dtype=np.int64) for x in rows["ids"]]))
+        out = np.zeros((len(seen), sizes.get(name, 1)))
+        for n, ids, delta in zip(rows["rows"], rows["ids"], rows["delta"], strict=True):
+            if len(ids):
+                out[np.searchsorted(seen, np.frombuffer(ids, dtype=np.int64))] += n * np.frombuffer(delta).reshape(-1, out.shape[1])
+        return pd.DataFrame({"name": [name], "block": [block], "task": [0], "rows": [rows["rows"].sum()], "loss": [rows["loss"].sum()], "ids": [seen.tobytes()], "delta": [out.tobytes()]})
 
     return kernel
 
 
 def train(model, rows: DataFrame, epochs: int, rate: float = 1e-2, batch: int = 256, seed: int = 7, clip: float = 1.0, schedule: Callable[[int], float] | None = None, score: Callable[[dict], float] | None = None, patience: int = 2, checkpoint: Callable[[int, dict, float], None] | None = None) -> tuple[dict[str, np.ndarray], list[float]]:
-    """Weights of ``model`` (``start()``, ``loss(nodes, frame, epoch)`` and, optionally, ``frozen(epoch)``) and the mean loss of each epoch.
+    """Weights of ``model`` (``start()``, ``loss(nodes, frame, epoch)`` and, optionally, ``frozen(epoch)`` and ``tables``, the names of weights
+    that ``loss`` reads by :func:`take` only) and the mean loss of each epoch.
 
     ``schedule`` gives a factor of the rate per epoch. With ``score`` (of the weights, greater is better) the best epoch's weights stay and
     training stops after ``patience`` epochs without a better one. ``checkpoint`` gets each epoch's number, weights and loss. Weights must fit
-    on the driver; each task sends one copy of them. Rows are settled and, where they are few, put together so that a task has twenty batches.
-    Without rows the start weights come back. Runs a job per epoch.
+    on the driver, twice, and once in each task. Rows are settled and given to as many tasks as there are cores or partitions, but where they
+    are few, to fewer, so that a task has twenty batches. Without rows the start weights come back. Runs a job per epoch.
     """
     spark, rows = rows.sparkSession, settle(rows)
-    rows = rows.coalesce(max(1, min(rows.rdd.getNumPartitions(), rows.count() // (20 * batch))))
+    parts, most = rows.rdd.getNumPartitions(), max(1, rows.count() // (20 * batch))
+    tasks = min(most, max(parts, spark.sparkContext.defaultParallelism))
+    rows = rows.coalesce(tasks) if tasks <= parts else rows.repartition(tasks)
     weights, losses, best, kept, stale = model.start(), [], -np.inf, None, 0
+    sizes = {k: int(np.prod(v.shape[1:])) for k, v in weights.items()}
     for epoch in range(epochs):
         frozen = model.frozen(epoch) if hasattr(model, "frozen") else frozenset()
-        shared = spark.sparkContext.broadcast(pickle.dumps((model, weights, epoch, frozen)))
-        parts = rows.mapInPandas(_epoch(shared, rate * (schedule(epoch) if schedule else 1.0), batch, seed, clip), "rows long, loss double, weights binary").toLocalIterator()
-        seen, loss, mean = 0, 0.0, None
-        for part in parts:  # one task's weights at a time
-            own = pickle.loads(part["weights"])
-            mean = {k: part["rows"] * v + (mean[k] if mean else 0.0) for k, v in own.items()}
-            seen, loss = seen + part["rows"], loss + part["loss"]
-        shared.unpersist()
+        shared = spark.sparkContext.broadcast((model, weights, epoch, frozen))
+        changes = rows.mapInPandas(_epoch(shared, rate * (schedule(epoch) if schedule else 1.0), batch, seed, clip), MESSAGE)
+        seen, loss, total = 0, 0.0, {}
+        for part in changes.groupBy("name", "block").applyInPandas(_sum(sizes), MESSAGE).toLocalIterator():  # a block at a time
+            if not part["name"]:
+                seen, loss = part["rows"], part["loss"]
+                continue
+            name = part["name"]
+            if name not in total:
+                total[name] = np.zeros(weights[name].shape)
+            ids = np.frombuffer(part["ids"], dtype=np.int64)
+            total[name][ids] = np.frombuffer(part["delta"]).reshape(len(ids), *weights[name].shape[1:])
+        shared.destroy()
         if not seen:
             break
-        weights = {k: v / seen for k, v in mean.items()}
+        weights = {k: _moved(v, total[k], seen) if k in total else v for k, v in weights.items()}
         losses.append(loss / seen)
         if checkpoint:
             checkpoint(epoch, weights, losses[-1])
@@ -258,3 +409,9 @@ def train(model, rows: DataFrame, epochs: int, rate: float = 1e-2, batch: int =
             if stale >= patience:
                 break
     return (kept if kept is not None else weights), losses
+
+
+def _moved(start: np.ndarray, total: np.ndarray, rows: int) -> np.ndarray:
+    total /= rows
+    total += start
+    return total

@@ -12,12 +12,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.operators.gradients import Node, train
 from tideline.operators.towers import CodeDecoder, FusionHead, SelfAttention, Towers, padded
-from tideline.operators.vectors import cosine_topk
+from tideline.operators.vectors import Nearest
+from tideline.session import settle, spread
 
 #: Stands for null where items are looked up.
 NO_ITEM = -(1 << 63)
@@ -228,7 +230,10 @@ def numbered(rows: DataFrame, ids: np.ndarray, lists: tuple[str, ...] = (), sing
 
     @F.pandas_udf("array<long>")
     def many(column: pd.Series) -> pd.Series:
-        return column.map(lambda v: None if v is None else place(np.asarray(v, dtype=np.int64)))
+        sizes = [0 if v is None else len(v) for v in column]
+        places = place(np.concatenate([np.asarray(v, dtype=np.int64) for v, n in zip(column, sizes, strict=True) if n] or [np.zeros(0, dtype=np.int64)]))
+        ends = np.cumsum(sizes).tolist()
+        return pd.Series([None if v is None else places[e - n : e] for v, n, e in zip(column, sizes, ends, strict=True)], dtype=object)
 
     @F.pandas_udf("long")
     def one(column: pd.Series) -> pd.Series:
@@ -238,20 +243,44 @@ def numbered(rows: DataFrame, ids: np.ndarray, lists: tuple[str, ...] = (), sing
     return rows.withColumns({c: many(F.transform(c, known)) for c in lists} | {c: one(known(F.col(c))) for c in singles})
 
 
+def _placed(shared, kinds: list[tuple[str, type]]):
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Features of the known items: for each width of a feature their numbers and its values as bytes."""
+        for batch in batches:
+            items, known = batch.column(0).to_numpy(), shared.value
+            if not len(items) or not len(known):
+                continue
+            at = np.minimum(np.searchsorted(known, items), len(known) - 1)
+            for begin in range(0, len(items), 4096):
+                rows = np.arange(begin, min(begin + 4096, len(items)))
+                rows = rows[known[at[rows]] == items[rows]]
+                for column, (name, kind) in enumerate(kinds, 1):
+                    lists = batch.column(column).take(pa.array(rows))
+                    width = lists.value_lengths().fill_null(-1).to_numpy()
+                    for w in np.unique(width[width >= 0]):
+                        some = np.flatnonzero(width == w)
+                        values = lists.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([int(w)]), pa.array([(at[rows[some]] + 1).tobytes()]), pa.array([np.nan_to_num(values).astype(kind).tobytes()])], names=["name", "width", "at", "value"])
+
+    return kernel
+
+
 def _item_arrays(features: DataFrame, ids: np.ndarray) -> dict[str, np.ndarray]:
-    """Rows of ``item_id`` and of any of ``categories``, ``numbers`` and ``known`` (arrays) by number; zeros where an item has none."""
-    out: dict[str, np.ndarray] = {}
-    rows = features.filter(F.col("item_id").isNotNull()).collect()
-    for name, kind in (("categories", np.int64), ("numbers", np.float64), ("known", np.float64)):
-        if name not in features.columns:
-            continue
-        width = max((len(r[name]) for r in rows if r[name] is not None), default=0)
-        table = np.zeros((len(ids) + 1, width), dtype=kind)
-        for r in rows:
-            at = int(np.searchsorted(ids, r["item_id"]))
-            if r[name] is not None and at < len(ids) and ids[at] == r["item_id"]:
-                table[at + 1] = np.nan_to_num(np.array(r[name], dtype=np.float64)).astype(kind)
-        out[name] = table
+    """Rows of ``item_id`` and of any of ``categories``, ``numbers`` and ``known`` (arrays) by number; zeros where an item has none.
+
+    Tasks look the items up and pack what is known into blocks, which the driver takes one at a time into tables of the catalogue's size.
+    """
+    single = dict(features.dtypes).get("known") == "array<float>"
+    kinds = [(name, kind) for name, kind in (("categories", np.int64), ("numbers", np.float64), ("known", np.float32 if single else np.float64)) if name in features.columns]
+    rows = features.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), *(F.col(n).cast("array<float>" if kind is np.float32 else "array<double>").alias(n) for n, kind in kinds))
+    shared = features.sparkSession.sparkContext.broadcast(ids)
+    found = settle(rows.mapInArrow(_placed(shared, kinds), "name string, width long, at binary, value binary"))
+    widths = dict(found.groupBy("name").agg(F.max("width")).collect())
+    out = {name: np.zeros((len(ids) + 1, widths.get(name, 0)), dtype=kind) for name, kind in kinds}
+    for part in found.toLocalIterator():
+        at = np.frombuffer(part["at"], dtype=np.int64)
+        out[part["name"]][at] = np.frombuffer(part["value"], dtype=out[part["name"]].dtype).reshape(len(at), part["width"])
+    shared.destroy()
     return out
 
 
@@ -265,7 +294,7 @@ def train_towers(samples: DataFrame, items: DataFrame, width: int = 16, epochs:
     ids = catalogue(items, max_items)
     rows = samples.select("sample_id", "history", "types", "buckets", "target", "target_type", "ts")
     if negatives is not None:
-        lists = negatives.groupBy("sample_id").agg(F.collect_list("aid").alias("negatives"))
+        lists = settle(negatives.groupBy("sample_id").agg(F.collect_list("aid").alias("negatives")))
         most = lists.agg(F.max(F.size("negatives"))).first()[0] or 0
         rows = rows.join(lists, "sample_id", "left").withColumn("negatives", F.coalesce("negatives", F.array().cast("array<long>")))
         rows = rows.withColumn("negatives", F.concat("negatives", F.array_repeat(F.lit(None).cast("long"), F.lit(most) - F.size("negatives"))))
@@ -275,35 +304,78 @@ def train_towers(samples: DataFrame, items: DataFrame, width: int = 16, epochs:
     return Fitted(model, weights, ids, losses)
 
 
+def vector_rows(spark: SparkSession, ids: np.ndarray, vectors: np.ndarray) -> DataFrame:
+    """``item_id, vector`` of a matrix on the driver; tasks make the rows from one broadcast."""
+    if not len(ids):
+        return spark.createDataFrame([], "item_id long, vector array<double>")
+    shared, block = spark.sparkContext.broadcast((ids, vectors)), 8192
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, x = shared.value
+        for batch in batches:
+            for i in (batch.column(0).to_numpy() * block).tolist():
+                part = x[i : i + block]
+                yield pa.RecordBatch.from_arrays([pa.array(known[i : i + block]), pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * x.shape[1], part.ravel())], names=["item_id", "vector"])
+
+    blocks = -(-len(ids) // block)
+    return spark.range(0, blocks, 1, min(blocks, spark.sparkContext.defaultParallelism)).mapInArrow(kernel, "item_id long, vector array<double>")
+
+
 def tower_items(spark: SparkSession, fitted: Fitted) -> DataFrame:
     """``item_id, vector`` of the item tower."""
-    vectors = fitted.model.all_vectors(fitted.weights) if len(fitted.ids) else np.zeros((0, 1))
-    return spark.createDataFrame(list(zip(fitted.ids.tolist(), vectors.tolist(), strict=True)), "item_id long, vector array<double>")
+    return vector_rows(spark, fitted.ids, fitted.model.all_vectors(fitted.weights) if len(fitted.ids) else np.zeros((0, 1)))
+
+
+def _users(model, nodes: dict[str, Node], frame: pd.DataFrame, step: int) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Parts of a frame, which of their histories have a known item, and their users' vectors."""
+    for i in range(0, len(frame), step):
+        part = frame.iloc[i : i + step]
+        yield part, np.array([any(h) for h in part["history"]], dtype=bool), model.users(nodes, part).value
+
+
+def _user_weights(fitted: Fitted) -> dict[str, np.ndarray]:
+    """The weights that the user's tower reads."""
+    return {k: v for k, v in fitted.weights.items() if k in ("item", "type", "time", "out", "out_b") or k.startswith("gru_")}
 
 
 def tower_users(samples: DataFrame, fitted: Fitted) -> DataFrame:
     """``sample_id, vector`` of the user tower; null for a history without a known item."""
     rows = numbered(samples.select("sample_id", "history", "types", "buckets"), fitted.ids, ("history",))
-    shared = samples.sparkSession.sparkContext.broadcast(pickle.dumps((fitted.model, fitted.weights)))
+    shared = samples.sparkSession.sparkContext.broadcast((fitted.model, _user_weights(fitted)))
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, weights = pickle.loads(shared.value)
+        model, weights = shared.value
         nodes = {k: Node(v) for k, v in weights.items()}
         for frame in batches:
-            for i in range(0, len(frame), 1024):
-                part = frame.iloc[i : i + 1024]
-                known = [any(h) for h in part["history"]]
-                vectors = model.users(nodes, part).value.tolist()
-                yield pd.DataFrame({"sample_id": part["sample_id"], "vector": [v if k else None for v, k in zip(vectors, known, strict=True)]})
+            for part, known, vectors in _users(model, nodes, frame, 1024):
+                yield pd.DataFrame({"sample_id": part["sample_id"], "vector": [v if k else None for v, k in zip(vectors.tolist(), known, strict=True)]})
 
     return rows.mapInPandas(kernel, f"sample_id {rows.schema['sample_id'].dataType.simpleString()}, vector array<double>")
 
 
 def recall_towers(samples: DataFrame, fitted: Fitted, n: int = 300) -> DataFrame:
-    """``sample_id, aid, source, source_rank, source_score``: the ``n`` nearest items of each sample's user vector, exactly."""
-    users = tower_users(samples, fitted).filter(F.col("vector").isNotNull()).withColumnRenamed("sample_id", "query_id")
-    found = cosine_topk(users, tower_items(samples.sparkSession, fitted), n)
-    return found.select(F.col("query_id").alias("sample_id"), F.col("item_id").alias("aid"), F.lit("two_tower").alias("source"), F.col("rank").alias("source_rank"), F.col("similarity").alias("source_score"))
+    """``sample_id, aid, source, source_rank, source_score``: the ``n`` nearest items of each sample's user vector, exactly.
+
+    A task holds a row per item anyway, so it meets its users with all items itself and only the ``n`` go on. Similarities are rounded to
+    nine decimals, ties go to the smaller item.
+    """
+    schema = f"sample_id {samples.schema['sample_id'].dataType.simpleString()}, aid long, source string, source_rank long, source_score double"
+    if not len(fitted.ids):
+        return samples.sparkSession.createDataFrame([], schema)
+    rows = spread(numbered(samples.select("sample_id", "history", "types", "buckets"), fitted.ids, ("history",)))
+    shared = samples.sparkSession.sparkContext.broadcast((fitted.model, _user_weights(fitted), fitted.ids, fitted.model.all_vectors(fitted.weights)))
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, weights, ids, x = shared.value
+        nodes, search = {k: Node(v) for k, v in weights.items()}, Nearest(x, n)
+        for frame in batches:
+            for part, known, vectors in _users(model, nodes, frame, 256):
+                found = search(vectors[known])
+                if found:
+                    r, c, rank, score = found
+                    yield pd.DataFrame({"sample_id": part["sample_id"].to_numpy()[known][r], "aid": ids[c], "source": "two_tower", "source_rank": rank, "source_score": score})
+
+    return rows.mapInPandas(kernel, schema)
 
 
 def train_fusion(rows: DataFrame, kind: str, probabilities: list[str], context: list[str], label: str = "label", epochs: int = 5, rate: float = 0.02, batch: int = 1024, seed: int = 7, **control) -> tuple[FusionHead, dict[str, np.ndarray], list[float]]:
@@ -342,10 +414,10 @@ def attention_ranks(samples: DataFrame, fitted: Fitted) -> DataFrame:
     """``user_id, rank``: place of ``target`` among all items after ``history`` and ``feedback`` (padded with 0), the history's other items left
     out; null for an unknown target. Ties go to the smaller item."""
     rows = numbered(samples.select("user_id", F.transform("history", lambda x: F.nullif(x, F.lit(0).cast("long"))).alias("history"), "feedback", "target"), fitted.ids, ("history",), ("target",))
-    shared = samples.sparkSession.sparkContext.broadcast(pickle.dumps((fitted.model, fitted.weights)))
+    shared = samples.sparkSession.sparkContext.broadcast((fitted.model, fitted.weights))
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, weights = pickle.loads(shared.value)
+        model, weights = shared.value
         for frame in batches:
             for i in range(0, len(frame), 256):
                 part = frame.iloc[i : i + 256]
@@ -381,10 +453,10 @@ def decode_topk(samples: DataFrame, fitted: Fitted, beam: int, topk: int) -> Dat
     if beam < topk:
         raise ValueError("beam must not be less than topk")
     rows = numbered(samples.select("user_id", F.transform("history", lambda x: F.nullif(x, F.lit(0).cast("long"))).alias("history"), "feedback"), fitted.ids, ("history",))
-    shared = samples.sparkSession.sparkContext.broadcast(pickle.dumps((fitted.model, fitted.weights, fitted.ids)))
+    shared = samples.sparkSession.sparkContext.broadcast((fitted.model, fitted.weights, fitted.ids))
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, weights, ids = pickle.loads(shared.value)
+        model, weights, ids = shared.value
         for frame in batches:
             for i in range(0, len(frame), 64):
                 part = frame.iloc[i : i + 64]

@@ -104,6 +104,14 @@ class Towers:
             p |= {"mix": _normal(rng, wide + w, w), "mix_b": np.zeros(w), "mix_g": np.ones(w), "mix_o": np.zeros(w)}
         return p
 
+    @property
+    def tables(self) -> tuple[str, ...]:
+        return ("item", *(f"cat{k}" for k in range(self.categories.shape[1] if self.categories is not None else 0)), *(("known",) if self.known is not None else ()))
+
+    def __getstate__(self) -> dict:
+        """Without the known vectors themselves, which are the start of a weight and aren't needed after."""
+        return self.__dict__ | {"known": None if self.known is None else self.known[:0]}
+
     def frozen(self, epoch: int) -> frozenset[str]:
         return frozenset({"known"}) if epoch < self.thaw else frozenset()
 

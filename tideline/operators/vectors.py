@@ -30,6 +30,40 @@ def unit(a: Column | str) -> Column:
     return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
 
 
+class Nearest:
+    """Exactly the ``k`` rows of ``x`` nearest to each vector by cosine, similarities rounded to nine decimals, ties to the smaller row.
+
+    Products in single precision say which rows can be among the ``k``, as they are off by less than their margin; those rows get exact ones.
+    """
+
+    def __init__(self, x: np.ndarray, k: int):
+        self.x = self._scaled(x)
+        self.k, self.low = min(k, len(x)), np.ascontiguousarray(self.x.astype(np.float32).T)
+        self.margin = np.float32(4e-7 * (x.shape[1] + 8) + 2e-9)
+
+    @staticmethod
+    def _scaled(x: np.ndarray) -> np.ndarray:
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+    def __call__(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """``query, row, rank`` (from 1) and ``similarity``, best first for each query; None without queries or rows."""
+        if not len(queries) or not self.k:
+            return None
+        q, out = self._scaled(np.asarray(queries, dtype=np.float64)), []
+        step = max(1, (1 << 23) // len(self.x))
+        for i in range(0, len(q), step):
+            near = q[i : i + step].astype(np.float32) @ self.low
+            least = np.partition(near, near.shape[1] - self.k, axis=1)[:, near.shape[1] - self.k]
+            r, c = np.nonzero(near >= least[:, None] - self.margin)
+            score = np.round(np.einsum("id,id->i", q[i + r], self.x[c]), 9)
+            order = np.lexsort((c, -score, r))
+            r, c, score = r[order], c[order], score[order]
+            rank = np.arange(len(r)) - np.searchsorted(r, r, side="left") + 1
+            kept = rank <= self.k
+            out.append((r[kept] + i, c[kept], rank[kept], score[kept]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def _top(k: int, same: bool):
     def kernel(catalogue: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if catalogue.empty or queries.empty:
