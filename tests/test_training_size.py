@@ -64,3 +64,21 @@ def test_epochs_use_all_cores_and_unused_rows_stay(spark):
     assert losses[-1] < losses[0] and np.flatnonzero(weights["t"].any(axis=1)).tolist() == [2]
     again, _ = gradients.train(_Counts(), rows, 3, rate=0.1, batch=10)
     assert all(np.array_equal(weights[k], again[k]) for k in weights)
+
+
+def test_later_draws_are_made_for_short_samples_only(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tideline.operators import fusion
+
+    routes = spark.createDataFrame([(1, 5, "category", 1), (1, 6, "popular", 1), (2, 5, "popular", 1)], "sample_id long, aid long, source string, rank long")
+    blocked = spark.createDataFrame([(s, a) for s in (1, 2, 3) for a in range(8, 8 + 10 * (s - 1))], "sample_id long, aid long")
+    counts = spark.createDataFrame([(a, 1000 if a > 7 else 1 + a) for a in range(1, 29)], "aid long, n long")
+    samples = spark.createDataFrame([(1,), (2,), (3,), (None,)], "sample_id long")
+    asked, plain = [], fusion.drawn_items
+    monkeypatch.setattr(fusion, "drawn_items", lambda rows, c, n, **kw: asked.append((n, rows.count())) or plain(rows, c, n, **kw))
+    got = sorted(map(tuple, fusion.hard_negatives(routes, blocked, counts, samples, 6).collect()), key=repr)
+    drawn, own = plain(samples, counts, 66, seed=7), F.col("ordinal") < 12
+    drawn = drawn.select("sample_id", F.when(own, F.lit(4)).otherwise(F.lit(5)).alias("pool"), F.when(own, F.col("ordinal")).otherwise(F.col("ordinal") + 1_000_000).alias("ordinal"), "aid")
+    assert got == sorted(map(tuple, fusion.round_robin(fusion.negative_pools(routes).unionByName(drawn), blocked, 6).collect()), key=repr)
+    assert asked[0] == (12, 4) and asked[1][0] == 66 and 0 < asked[1][1] < 4

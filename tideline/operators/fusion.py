@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.session import settle
+
 RRF_K = 60
 
 
@@ -141,13 +145,15 @@ def drawn_items(samples: DataFrame, counts: DataFrame, n: int, power: float = 0.
 
     The cumulated chances, a number per item, are broadcast; more than ``max_items`` items raise ValueError.
     """
-    known = counts.dropna().orderBy("aid").limit(max_items + 1).collect()
-    if len(known) > max_items:
+    known = counts.dropna().orderBy("aid").limit(max_items + 1).select(F.col("aid").cast("long").alias("aid"), F.col("n").cast("double").alias("n"))
+    parts = [(np.frombuffer(r["aid"], dtype=np.int64), np.frombuffer(r["n"])) for r in known.mapInPandas(_packed, "aid binary, n binary").toLocalIterator()]
+    ids, often = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, dtype=np.int64), np.zeros(0))
+    if len(ids) > max_items:
         raise ValueError("too many items for one table of chances")
-    ids, chance = np.array([r["aid"] for r in known], dtype=np.int64), np.array([float(r["n"]) for r in known]) ** power
+    chance = often**power
     shared = samples.sparkSession.sparkContext.broadcast((ids, np.cumsum(chance) / max(chance.sum(), 1e-300)))
     uniform = F.shiftrightunsigned(F.xxhash64("sample_id", "ordinal", F.lit(seed)), 11) / F.lit(float(1 << 53))
-    rows = samples.select("sample_id").distinct().withColumn("ordinal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).withColumn("u", uniform)
+    rows = samples.select("sample_id").distinct().repartition(2 * samples.sparkSession.sparkContext.defaultParallelism, "sample_id").withColumn("ordinal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).withColumn("u", uniform)
 
     @F.pandas_udf("long")
     def pick(u: pd.Series) -> pd.Series:
@@ -159,8 +165,24 @@ def drawn_items(samples: DataFrame, counts: DataFrame, n: int, power: float = 0.
 
 def hard_negatives(routes: DataFrame, blocked: DataFrame, counts: DataFrame, samples: DataFrame, limit: int = 96, seed: int = 7) -> DataFrame:
     """``sample_id, aid, place``: the pools of :func:`negative_pools` and drawn items in turn, each item once and none that is ``blocked``; samples
-    with fewer than ``limit`` are filled up with more drawn items, as far as the catalogue goes: ten rounds of ``limit`` draws are looked at."""
-    drawn = drawn_items(samples, counts, 11 * limit, seed=seed)
+    with fewer than ``limit`` are filled up with more drawn items, as far as the catalogue goes: ten rounds of ``limit`` draws are looked at.
+
+    Later draws only come after earlier ones, so the last nine rounds are drawn for those samples only that aren't full after the first. Runs jobs.
+    """
+    drawn = lambda rows, n: drawn_items(rows, counts, n, seed=seed).select("sample_id", F.when(own, F.lit(4)).otherwise(F.lit(5)).alias("pool"), F.when(own, F.col("ordinal")).otherwise(F.col("ordinal") + 1_000_000).alias("ordinal"), "aid")
     own = F.col("ordinal") < POOL_QUOTAS["drawn"]
-    drawn = drawn.select("sample_id", F.when(own, F.lit(4)).otherwise(F.lit(5)).alias("pool"), F.when(own, F.col("ordinal")).otherwise(F.col("ordinal") + 1_000_000).alias("ordinal"), "aid")
-    return round_robin(negative_pools(routes).unionByName(drawn), blocked, limit)
+    pools = negative_pools(routes)
+    first = settle(round_robin(pools.unionByName(drawn(samples, 2 * limit)), blocked, limit))
+    full = first.groupBy("sample_id").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= limit).select("sample_id")
+    short = settle(samples.select("sample_id").distinct().join(full, "sample_id", "left_anti"))
+    if not short.count():
+        return first
+    named = short.withColumnRenamed("sample_id", "__s")
+    again = F.col("sample_id").eqNullSafe(F.col("__s"))
+    rest = round_robin(pools.join(named, again, "left_semi").unionByName(drawn(short, 11 * limit)), blocked, limit)
+    return first.join(named, again, "left_anti").unionByName(rest)
+
+
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in batches:
+        yield pd.DataFrame({"aid": [frame["aid"].to_numpy(dtype=np.int64).tobytes()], "n": [frame["n"].to_numpy(dtype=np.float64).tobytes()]})
