@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators.models import numbered, vector_rows
 from tideline.operators.sessions import number_rows
 from tideline.operators.vectors import unit
 from tideline.session import settle
@@ -131,23 +132,26 @@ def _scaled(column: str, factor: float) -> Column:
     return F.transform(column, lambda x: x * F.lit(factor))
 
 
+#: Items whose changes go in one message, and pairs a task trains on at least where there are as many.
+BLOCK, TASK_PAIRS = 4096, 4 * 512
+
+
 def _step(table: np.ndarray, seen: np.ndarray, ids: np.ndarray, gradient: np.ndarray, rate: float) -> None:
     """Move the rows of a batch by their summed gradients, each divided by the root of its squares so far, so that frequent items don't run away."""
-    rows, where = np.unique(ids, return_inverse=True)
-    total = np.zeros((len(rows), table.shape[1]))
-    np.add.at(total, where, gradient)
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    begins = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    rows, total = ids[begins], np.add.reduceat(gradient[order], begins, axis=0)
     seen[rows] += (total**2).mean(axis=1)
     table[rows] += rate * total / np.sqrt(seen[rows] + 1e-8)[:, None]
 
 
 def _sgns(shared, dims: int, negatives: int, rate: float, seed: int):
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centre, context, draw = shared.value
-        centre, context = centre.copy(), context.copy()
-        start_a, start_b = centre.copy(), context.copy()
+        start_a, start_b, draw = shared.value
+        centre, context = start_a.copy(), start_b.copy()
         seen = np.zeros(len(centre)), np.zeros(len(context))
         rng = np.random.default_rng(seed)
-        rows = 0
         for batch in batches:
             for i in range(0, len(batch), 512):
                 part = batch.iloc[i : i + 512]
@@ -162,11 +166,26 @@ def _sgns(shared, dims: int, negatives: int, rate: float, seed: int):
                 error[blocked] = 0
                 _step(centre, seen[0], a, np.einsum("bn,bnd->bd", error, y), rate)
                 _step(context, seen[1], target.ravel(), (error[..., None] * x[:, None, :]).reshape(-1, dims), rate)
-                rows += len(a)
+        task = TaskContext.get().partitionId()
         for kind, now, before in (("a", centre, start_a), ("b", context, start_b)):
-            moved = np.flatnonzero((now != before).any(axis=1))
-            if len(moved):
-                yield pd.DataFrame({"kind": kind, "i": moved, "delta": list(now[moved] - before[moved])})
+            for begin in range(0, len(now), BLOCK):
+                moved = np.flatnonzero((now[begin : begin + BLOCK] != before[begin : begin + BLOCK]).any(axis=1)) + begin
+                if len(moved):
+                    yield pd.DataFrame({"kind": [kind], "block": [begin // BLOCK], "task": [task], "ids": [moved.tobytes()], "delta": [(now[moved] - before[moved]).tobytes()]})
+
+    return kernel
+
+
+def _mean_change(dims: int):
+    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
+        """Mean of the tasks' changes of each item of a block, in the order of the tasks."""
+        rows = rows.sort_values("task", ignore_index=True)
+        parts = [np.frombuffer(x, dtype=np.int64) for x in rows["ids"]]
+        ids, count = np.unique(np.concatenate(parts), return_counts=True)
+        total = np.zeros((len(ids), dims))
+        for own, delta in zip(parts, rows["delta"], strict=True):
+            total[np.searchsorted(ids, own)] += np.frombuffer(delta).reshape(-1, dims)
+        return pd.DataFrame({"kind": rows["kind"].iloc[:1], "block": rows["block"].iloc[:1], "task": [0], "ids": [ids.tobytes()], "delta": [(total / count[:, None]).tobytes()]})
 
     return kernel
 
@@ -175,40 +194,45 @@ def item2vec(pairs: DataFrame, dims: int = 32, epochs: int = 3, negatives: int =
     """``item_id, vector``: skip-grams with negative sampling on weighted pairs ``center, context, weight``, the weights divided by their mean.
 
     Frequent items are thinned before pairs are made (:func:`clean.subsample_frequent`). Both matrices are broadcast, each task trains on
-    its pairs, and the means of the tasks' changes per item are added after each epoch; ``schedule`` gives a factor of the rate per epoch,
-    ``checkpoint`` gets each epoch's number, the items and their vectors. More than ``max_items`` items raise ValueError, as the matrices must
-    fit on the driver and in each task. Runs a job per epoch.
+    its pairs, and the means of the tasks' changes per item, formed in tasks by blocks of items, are added after each epoch; ``schedule``
+    gives a factor of the rate per epoch, ``checkpoint`` gets each epoch's number, the items and their vectors. More than ``max_items`` items
+    raise ValueError, as the matrices must fit on the driver and in each task. Runs a job per epoch.
     """
     spark = pairs.sparkSession
-    counts = pairs.groupBy(F.col("center").alias("item_id")).agg(F.count(F.lit(1)).alias("n")).orderBy("item_id").limit(max_items + 1).collect()
-    if len(counts) > max_items:
+    counts = pairs.filter(F.col("center").isNotNull()).groupBy(F.col("center").cast("long").alias("item_id")).agg(F.count(F.lit(1)).alias("n")).orderBy("item_id").limit(max_items + 1)
+    found = [(np.frombuffer(r["i"], dtype=np.int64), np.frombuffer(r["n"], dtype=np.int64)) for r in counts.mapInPandas(_packed, "i binary, n binary").toLocalIterator()]
+    ids, often = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, dtype=np.int64),) * 2
+    if len(ids) > max_items:
         raise ValueError("too many items for one matrix")
-    ids = np.array([r["item_id"] for r in counts], dtype=np.int64)
     if not len(ids):
         return spark.createDataFrame([], "item_id long, vector array<double>")
-    index = spark.createDataFrame(list(zip(ids.tolist(), range(len(ids)), strict=True)), "item_id long, i long")
     mean = pairs.agg(F.avg("weight")).first()[0] or 1.0
-    rows = settle(pairs.join(index.withColumnsRenamed({"item_id": "center", "i": "a"}), "center").join(index.withColumnsRenamed({"item_id": "context", "i": "b"}), "context").select("a", "b", (F.col("weight").cast("double") / F.lit(mean)).alias("weight")))
+    rows = numbered(pairs.select(F.col("center").alias("a"), F.col("context").alias("b"), (F.col("weight").cast("double") / F.lit(mean)).alias("weight")), ids, (), ("a", "b"))
+    tasks = max(1, min(int(often.sum()) // TASK_PAIRS, max(pairs.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)))
+    rows = settle(rows.filter("a > 0 AND b > 0").select((F.col("a") - 1).alias("a"), (F.col("b") - 1).alias("b"), "weight").repartition(tasks, "a").sortWithinPartitions("a"))
     rng = np.random.default_rng(seed)
     centre, context = (rng.random((len(ids), dims)) - 0.5) / dims, np.zeros((len(ids), dims))
-    draw = np.cumsum(np.array([r["n"] for r in counts], dtype=np.float64) ** 0.75)
+    draw = np.cumsum(often.astype(np.float64) ** 0.75)
     draw = draw / draw[-1]
     draw[-1] = 1.0
+    schema = "kind string, block long, task long, ids binary, delta binary"
     for epoch in range(epochs):
         shared = spark.sparkContext.broadcast((centre, context, draw))
         step = rate * (schedule(epoch) if schedule else 1.0)
-        deltas = rows.mapInPandas(_sgns(shared, dims, negatives, step, seed + epoch), "kind string, i long, delta array<double>")
-        total = {"a": np.zeros_like(centre), "b": np.zeros_like(context)}
-        tasks = {"a": np.zeros(len(ids)), "b": np.zeros(len(ids))}
-        for part in deltas.toLocalIterator():  # a task's changes of one item at a time; as many as items and tasks
-            total[part["kind"]][part["i"]] += part["delta"]
-            tasks[part["kind"]][part["i"]] += 1
-        centre = centre + total["a"] / np.maximum(tasks["a"], 1)[:, None]
-        context = context + total["b"] / np.maximum(tasks["b"], 1)[:, None]
-        shared.unpersist()
+        changes = rows.mapInPandas(_sgns(shared, dims, negatives, step, seed + epoch), schema)
+        centre, context = centre.copy(), context.copy()
+        for part in changes.groupBy("kind", "block").applyInPandas(_mean_change(dims), schema).toLocalIterator():  # a block at a time
+            own = np.frombuffer(part["ids"], dtype=np.int64)
+            (centre if part["kind"] == "a" else context)[own] += np.frombuffer(part["delta"]).reshape(len(own), dims)
+        shared.destroy()
         if checkpoint:
             checkpoint(epoch, ids, centre)
-    return spark.createDataFrame(list(zip(ids.tolist(), centre.tolist(), strict=True)), "item_id long, vector array<double>")
+    return vector_rows(spark, ids, centre)
+
+
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in batches:
+        yield pd.DataFrame({"i": [frame["item_id"].to_numpy(dtype=np.int64).tobytes()], "n": [frame["n"].to_numpy(dtype=np.int64).tobytes()]})
 
 
 def text_vectors(texts: DataFrame, key: str, text: str, embed: Callable[[list[str]], np.ndarray] | None = None, dimensions: int = 64, sizes: tuple[int, ...] = (1, 2)) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +11,6 @@ from tideline.adapters import behaviour, feedback, item_vectors, with_sql
 from tideline.operators import asof, codes, embeddings, features, fusion, indexes, metrics, models, sequences
 from tideline.operators.clean import fill_routes
 from tideline.operators.events import typed_events
-from tideline.operators.sessions import number_rows
 from tideline.plans.events import _FS, rounded
 from tideline.plans.recall import ROUTE_NAMES, candidates, labels
 from tideline.plans.registry import Registry
@@ -268,21 +268,39 @@ def item2vec(spark: SparkSession, folder: str) -> DataFrame:
 def item2vec_checks(spark: SparkSession, folder: str) -> DataFrame:
     """That items of common sessions are nearer than pairs drawn at random, and that each epoch is handed out."""
     events = typed_events(read_table(spark, folder, "events_all")).filter("session IS NOT NULL")
-    pairs = settle(indexes.adaptive_pairs(events.select("session", "aid", "ts", "event_order").distinct()))
-    seen: list[int] = []
-    found = settle(embeddings.item2vec(pairs, dims=16, epochs=3, rate=0.1, schedule=lambda e: 1.0 / (1 + e), checkpoint=lambda e, ids, x: seen.append(e)))
-    vectors = lambda n: found.select(F.col("item_id").alias(n), F.col("vector").alias(f"v_{n}"))
-    near = pairs.join(vectors("center"), "center").join(vectors("context"), "context").filter("center <> context").agg(F.avg(_cosine("v_center", "v_context"))).first()[0]
-    n, ids = found.count(), number_rows(found, "i", "item_id").select("i", F.col("vector").alias("v_context"))
-    drawn = vectors("center").select("center", "v_center", F.explode(F.array(*map(F.lit, range(8)))).alias("j")).withColumn("i", F.pmod(F.xxhash64("center", "j"), F.lit(max(1, n))))
-    far = drawn.join(ids, "i").agg(F.avg(_cosine("v_center", "v_context"))).first()[0]
-    return spark.createDataFrame([(n, bool(near > far), len(seen))], "items long, nearer boolean, checkpoints int")
-
-
-def _cosine(a: str, b: str):
-    from tideline.operators.vectors import dot, norm
-
-    return dot(a, b) / F.greatest(norm(a) * norm(b), F.lit(1e-12))
+    pairs = indexes.adaptive_pairs(settle(events.select("session", "aid", "ts", "event_order").distinct()))  # pairs are made again where needed, as they are many times the events
+    seen, last = [], []
+
+    def keep(epoch: int, ids: np.ndarray, x: np.ndarray) -> None:
+        seen.append(epoch)
+        last[:] = ids, x
+
+    found = embeddings.item2vec(pairs, dims=16, epochs=3, rate=0.1, schedule=lambda e: 1.0 / (1 + e), checkpoint=keep)
+    n = found.count()
+    if not n:
+        return spark.createDataFrame([(0, False, len(seen))], "items long, nearer boolean, checkpoints int")
+    ids, x = last
+    near = _mean_cosine(models.numbered(pairs.filter("center <> context").select(F.col("center").alias("a"), F.col("context").alias("b")), ids, (), ("a", "b")).filter("a > 0 AND b > 0"), x)
+    drawn = found.select(F.col("item_id").alias("a"), F.explode(F.array(*map(F.lit, range(8)))).alias("j"))
+    drawn = drawn.select("a", (F.pmod(F.xxhash64("a", "j"), F.lit(n)) + 1).alias("b"))
+    far = _mean_cosine(models.numbered(drawn, ids, (), ("a",)), x)
+    return spark.createDataFrame([(n, near is not None and near > far, len(seen))], "items long, nearer boolean, checkpoints int")
+
+
+def _mean_cosine(places: DataFrame, x: np.ndarray) -> float | None:
+    """Mean cosine of the rows ``a`` and ``b`` (from 1) of a matrix that fits in each task; None without pairs."""
+    length = np.linalg.norm(x, axis=1)
+    shared = places.sparkSession.sparkContext.broadcast((x, length))
+
+    def kernel(batches):
+        x, length = shared.value
+        for frame in batches:
+            a, b = frame["a"].to_numpy() - 1, frame["b"].to_numpy() - 1
+            cosine = np.einsum("id,id->i", x[a], x[b]) / np.maximum(length[a] * length[b], 1e-12)
+            yield pd.DataFrame({"n": [len(frame)], "s": [float(cosine.sum())]})
+
+    n, total = places.select("a", "b").mapInPandas(kernel, "n long, s double").agg(F.sum("n"), F.sum("s")).first()
+    return total / n if n else None
 
 
 @query("SELECT doc_id, true AS unit FROM documents WHERE trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g')) <> ''")
