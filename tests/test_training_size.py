@@ -82,3 +82,19 @@ def test_later_draws_are_made_for_short_samples_only(spark, monkeypatch):
     drawn = drawn.select("sample_id", F.when(own, F.lit(4)).otherwise(F.lit(5)).alias("pool"), F.when(own, F.col("ordinal")).otherwise(F.col("ordinal") + 1_000_000).alias("ordinal"), "aid")
     assert got == sorted(map(tuple, fusion.round_robin(fusion.negative_pools(routes).unionByName(drawn), blocked, 6).collect()), key=repr)
     assert asked[0] == (12, 4) and asked[1][0] == 66 and 0 < asked[1][1] < 4
+
+
+def test_nearest_is_exact_with_ties_to_the_smaller_row():
+    from tideline.operators.vectors import Nearest
+
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(300, 4)), 1)
+    x[100:200] = x[:100]
+    q = rng.normal(size=(40, 4))
+    unit = lambda a: a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
+    near = np.round(unit(q) @ unit(x).T, 9)
+    want = np.argsort(-near, axis=1, kind="stable")[:, :7]
+    r, c, rank, score = Nearest(x, 7)(q)
+    assert np.array_equal(c.reshape(40, 7), want) and np.array_equal(rank.reshape(40, 7)[0], np.arange(1, 8))
+    assert np.allclose(score.reshape(40, 7), np.take_along_axis(near, want, axis=1), atol=2e-9)
+    assert Nearest(x[:3], 7)(q)[1].reshape(40, 3).max() == 2 and Nearest(x, 7)(q[:0]) is None
