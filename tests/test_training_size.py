@@ -98,3 +98,60 @@ def test_nearest_is_exact_with_ties_to_the_smaller_row():
     assert np.array_equal(c.reshape(40, 7), want) and np.array_equal(rank.reshape(40, 7)[0], np.arange(1, 8))
     assert np.allclose(score.reshape(40, 7), np.take_along_axis(near, want, axis=1), atol=2e-9)
     assert Nearest(x[:3], 7)(q)[1].reshape(40, 3).max() == 2 and Nearest(x, 7)(q[:0]) is None
+
+
+def _nodes(root):
+    seen, todo = {}, [root]
+    while todo:
+        n = todo.pop()
+        if id(n) not in seen:
+            seen[id(n)] = n
+            todo += n.sources
+    return len(seen)
+
+
+def test_recurrent_user_is_one_node_and_equals_its_steps():
+    rng = np.random.default_rng(4)
+    p = {k: Node(v) for k, v in towers.gru_start(rng, "g", 3, 4).items()}
+    x, mask = Node(rng.normal(size=(5, 12, 3))), rng.random((5, 12)) < 0.4
+    mask[0] = False
+    got = towers.gru(p, "g", x, mask)
+    assert _nodes(got) < 10
+    w, u, b = (p[f"g_{c}"].value for c in "wub")
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    for row in range(5):
+        state = np.zeros(4)
+        for t in np.flatnonzero(mask[row]):
+            inner, outer = x.value[row, t] @ w + b, state @ u
+            reset, keep = np.split(sigmoid(inner[:8] + outer[:8]), 2)
+            state = keep * state + (1 - keep) * np.tanh(inner[8:] + reset * outer[8:])
+        assert np.allclose(got.value[row], state, atol=1e-12)
+
+
+def test_attention_and_feed_equal_their_parts():
+    rng = np.random.default_rng(5)
+    make = lambda *shape: rng.normal(size=shape)
+    values, seen = [make(3, 4, 6), make(3, 5, 6), *(make(6, 6) for _ in range(4))], rng.random((3, 4, 5)) < 0.6
+    seen[0, 1] = False
+    aim, out = make(3, 4, 6), []
+    for whole in (True, False):
+        a, m, *w = (Node(v) for v in values)
+        if whole:
+            y = gradients.attention(a, m, tuple(w), 2, seen)
+        else:
+            split = lambda v: v.reshape(3, -1, 2, 3).swap(1, 2)
+            q, k, v = split(a @ w[0]), split(m @ w[1]), split(m @ w[2])
+            y = (gradients.softmax((q @ k.swap(2, 3)) * (1 / np.sqrt(3)), seen[:, None]) @ v).swap(1, 2).reshape(3, -1, 6) @ w[3]
+        backward(total(y * aim))
+        out.append([y.value, *(n.grad for n in (a, m, *w))])
+    assert all(np.allclose(g, h, atol=1e-12) for g, h in zip(*out, strict=True))
+    values, out = [make(3, 4, 6), make(6, 9), make(9), make(9, 6), make(6)], []
+    for whole in (True, False):
+        a, w, b, v, c = (Node(x) for x in values)
+        y = gradients.feed(a, w, b, v, c) if whole else gradients.gelu(a @ w + b) @ v + c
+        backward(total(y * aim))
+        out.append([y.value, *(n.grad for n in (a, w, b, v, c))])
+    assert all(np.allclose(g, h, atol=1e-12) for g, h in zip(*out, strict=True))
+    x = make(100)
+    plain = 0.5 * x * (1 + np.tanh(np.sqrt(2 / np.pi) * (x + 0.044715 * x**3)))
+    assert np.allclose(gradients.gelu(Node(x)).value, plain, atol=1e-12) and not gradients.gelu(Node(np.array([-1e4]))).value.any()

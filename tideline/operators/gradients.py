@@ -40,6 +40,14 @@ class Node:
         return Node(self.value * other.value, (self, other), lambda g: (g * other.value, g * self.value))
 
     def __matmul__(self, other: Node) -> Node:
+        if other.value.ndim == 2 and self.value.ndim > 2:  # one product over all rows
+            x, w = self.value.reshape(-1, self.value.shape[-1]), other.value
+
+            def back(g):
+                g = g.reshape(-1, w.shape[1])
+                return (g @ w.T).reshape(self.value.shape), x.T @ g
+
+            return Node((x @ w).reshape(*self.value.shape[:-1], w.shape[1]), (self, other), back)
         return Node(self.value @ other.value, (self, other), lambda g: (g @ np.swapaxes(other.value, -1, -2), np.swapaxes(self.value, -1, -2) @ g))
 
     def __getitem__(self, at) -> Node:
@@ -65,8 +73,10 @@ def node(x) -> Node:
 
 def _fit(g: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
     """A derivative summed over the axes along which its value was repeated."""
+    if g.shape == shape:
+        return g
     if g.ndim > len(shape):
-        g = g.sum(axis=tuple(range(g.ndim - len(shape))))
+        g = g.reshape(-1, *g.shape[g.ndim - len(shape) :]).sum(axis=0)
     stretched = tuple(i for i, n in enumerate(shape) if n == 1 and g.shape[i] != 1)
     return g.sum(axis=stretched, keepdims=True) if stretched else g
 
@@ -145,11 +155,9 @@ class Table(Node):
     def derivative(self) -> tuple[np.ndarray, np.ndarray]:
         """Places and summed derivatives of the rows that the last batch used."""
         places, which = np.unique(np.concatenate([p for p, _ in self.found]) if self.found else np.zeros(0, dtype=np.int64), return_inverse=True)
-        out = np.zeros((len(places), self.base.shape[1]))
+        out = np.zeros((0, self.base.shape[1]))
         if len(places):
-            order = np.argsort(which, kind="stable")
-            begins = np.searchsorted(which[order], np.arange(len(places)))
-            out = np.add.reduceat(np.concatenate([g for _, g in self.found])[order], begins, axis=0)
+            out = _gathered(which, np.concatenate([g for _, g in self.found]), len(places))
         self.found = []
         return places, out
 
@@ -185,6 +193,13 @@ def _ahead(step: int) -> np.ndarray:
     return _AHEAD[0]
 
 
+def _gathered(ids: np.ndarray, g: np.ndarray, rows: int) -> np.ndarray:
+    """``[rows, width]``: the sums of the rows of ``g`` (``[len(ids), width]``) by ``ids``."""
+    width = g.shape[1]
+    at = (ids[:, None] * width + np.arange(width)).ravel()
+    return np.bincount(at, weights=g.ravel(), minlength=rows * width).reshape(rows, width)
+
+
 def take(table: Node, ids: np.ndarray) -> Node:
     """Rows of a table."""
     if isinstance(table, Table):
@@ -198,9 +213,7 @@ def take(table: Node, ids: np.ndarray) -> Node:
         return Node(table.own[places].reshape(*ids.shape, -1), (), keep)
 
     def back(g):
-        out = np.zeros_like(table.value)
-        np.add.at(out, ids, g)
-        return (out,)
+        return (_gathered(np.asarray(ids).ravel(), g.reshape(-1, table.value.shape[1]), len(table.value)),)
 
     return Node(table.value[ids], (table,), back)
 
@@ -223,11 +236,94 @@ def relu(a: Node) -> Node:
     return Node(np.maximum(a.value, 0), (a,), lambda g: (g * (a.value > 0),))
 
 
+def curve(x: np.ndarray) -> tuple[np.ndarray, Callable[[np.ndarray], np.ndarray]]:
+    """The common approximation of gelu by a hyperbolic tangent, and what takes its derivative back. ``(1 + tanh(u)) / 2`` is the sigmoid of ``2 u``."""
+    c, square = 2 * np.sqrt(2 / np.pi), x * x
+    s = square * (-0.044715 * c)
+    s -= c
+    s *= x
+    with np.errstate(over="ignore"):
+        np.exp(s, out=s)
+    s += 1
+    np.divide(1.0, s, out=s)
+
+    def back(g):
+        d = square * (3 * 0.044715 * c)
+        d += c
+        d *= x
+        d *= 1 - s
+        d += 1
+        d *= s
+        d *= g
+        return d
+
+    return x * s, back
+
+
 def gelu(a: Node) -> Node:
-    """The common approximation by a hyperbolic tangent."""
-    c, x = np.sqrt(2 / np.pi), a.value
-    t = np.tanh(c * (x + 0.044715 * x**3))
-    return Node(0.5 * x * (1 + t), (a,), lambda g: (g * (0.5 * (1 + t) + 0.5 * x * (1 - t * t) * c * (1 + 3 * 0.044715 * x * x)),))
+    value, back = curve(a.value)
+    return Node(value, (a,), lambda g: (back(g),))
+
+
+def feed(a: Node, w: Node, b: Node, v: Node, c: Node) -> Node:
+    """``gelu(a @ w + b) @ v + c`` as one node."""
+    x = a.value.reshape(-1, a.value.shape[-1])
+    inner = x @ w.value
+    inner += b.value
+    act, slope = curve(inner)
+
+    def back(g):
+        g = g.reshape(-1, g.shape[-1])
+        d = slope(g @ v.value.T)
+        return (d @ w.value.T).reshape(a.value.shape), x.T @ d, d.sum(axis=0), act.T @ g, g.sum(axis=0)
+
+    out = act @ v.value
+    out += c.value
+    return Node(out.reshape(*a.value.shape[:-1], -1), (a, w, b, v, c), back)
+
+
+def shares(x: np.ndarray, allowed: np.ndarray | None) -> np.ndarray:
+    """Softmax along the last axis, 0 where not ``allowed``; changes ``x``."""
+    if allowed is not None:
+        np.copyto(x, -np.inf, where=~allowed)
+    top = x[..., 0].copy()
+    for i in range(1, x.shape[-1]):
+        np.maximum(top, x[..., i], out=top)
+    top[~np.isfinite(top)] = 0.0
+    x -= top[..., None]
+    np.exp(x, out=x)
+    x *= (1 / np.maximum(_last(x), 1e-300))[..., None]
+    return x
+
+
+def _last(x: np.ndarray) -> np.ndarray:
+    """Sums along the last axis; short ones go faster as a product."""
+    return (x.reshape(-1, x.shape[-1]) @ np.ones(x.shape[-1])).reshape(x.shape[:-1])
+
+
+def attention(a: Node, memory: Node, weights: tuple[Node, Node, Node, Node], heads: int, allowed: np.ndarray) -> Node:
+    """Attention of ``a`` (``[rows, steps, width]``) over ``memory`` by the weights of queries, keys, values and the output, as one node."""
+    (rows, steps, width), (q_w, k_w, v_w, o_w) = a.value.shape, (w.value for w in weights)
+    x, m, scale = a.value.reshape(-1, width), memory.value.reshape(-1, width), 1 / np.sqrt(width // heads)
+    split = lambda v: v.reshape(rows, -1, heads, width // heads).swapaxes(1, 2)
+    joined = lambda v: v.swapaxes(1, 2).reshape(-1, width)
+    q, k, v = split(x @ q_w), split(m @ k_w), split(m @ v_w)
+    z = q @ k.swapaxes(2, 3)
+    z *= scale
+    share = shares(z, allowed[:, None])
+    mixed = joined(share @ v)
+
+    def back(g):
+        g = g.reshape(-1, width)
+        y = split(g @ o_w.T)
+        d = y @ v.swapaxes(2, 3)
+        d -= np.einsum("rhij,rhij->rhi", d, share)[..., None]
+        d *= share
+        d *= scale
+        dq, dk, dv = joined(d @ k), joined(d.swapaxes(2, 3) @ q), joined(share.swapaxes(2, 3) @ y)
+        return (dq @ q_w.T).reshape(a.value.shape), (dk @ k_w.T + dv @ v_w.T).reshape(memory.value.shape), x.T @ dq, m.T @ dk, m.T @ dv, mixed.T @ g
+
+    return Node((mixed @ o_w).reshape(a.value.shape), (a, memory, *weights), back)
 
 
 def softmax(a: Node, allowed: np.ndarray | None = None) -> Node:
@@ -240,13 +336,18 @@ def softmax(a: Node, allowed: np.ndarray | None = None) -> Node:
 
 
 def layer_norm(a: Node, gain: Node, bias: Node) -> Node:
-    mean = a.value.mean(axis=-1, keepdims=True)
-    spread = np.sqrt(a.value.var(axis=-1, keepdims=True) + 1e-5)
-    x = (a.value - mean) / spread
+    width = a.value.shape[-1]
+    x = a.value - (_last(a.value) / width)[..., None]
+    scale = (1 / np.sqrt(_last(x * x) / width + 1e-5))[..., None]
+    x *= scale
 
     def back(g):
-        d = g * gain.value
-        return (d - d.mean(axis=-1, keepdims=True) - x * (d * x).mean(axis=-1, keepdims=True)) / spread, g * x, g
+        d, moved = g * gain.value, g * x
+        slant = (moved @ gain.value / width)[..., None]
+        d -= (_last(d) / width)[..., None]
+        d -= x * slant
+        d *= scale
+        return d, moved, g
 
     return Node(x * gain.value + bias.value, (a, gain, bias), back)
 
@@ -306,12 +407,25 @@ def mean_loss(model, weights: dict[str, np.ndarray], batch: pd.DataFrame, epoch:
 MESSAGE = "name string, block long, task long, rows long, loss double, ids binary, delta binary"
 
 
+def _adam(w: np.ndarray, first: np.ndarray, second: np.ndarray, g: np.ndarray, rate: float, step: int) -> None:
+    """One step of Adam in place."""
+    first *= FIRST
+    first += (1 - FIRST) * g
+    second *= SECOND
+    second += (1 - SECOND) * g * g
+    w -= rate * (first / (1 - FIRST**step)) / (np.sqrt(second / (1 - SECOND**step)) + TINY)
+
+
 def _epoch(shared, rate: float, batch: int, seed: int, clip: float):
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        np.empty(3 << 20)  # once freed, the allocator keeps pieces up to this size, and batches don't fault in their memory again
         model, start, epoch, frozen = shared.value
         tables = {k: Table(start[k], rate) for k in getattr(model, "tables", ())}
-        weights = {k: v for k, v in start.items() if k not in tables}
-        first, second = ({k: np.zeros_like(v) for k, v in weights.items()} for _ in range(2))
+        names = [k for k in start if k not in tables]
+        flat = np.concatenate([start[k].ravel() for k in names] or [np.zeros(0)]).astype(np.float64)  # the other weights follow each other, so that a step moves all of them at once
+        first, second, ends = np.zeros_like(flat), np.zeros_like(flat), np.cumsum([start[k].size for k in names]).tolist()
+        spans = {k: slice(e - start[k].size, e) for k, e in zip(names, ends, strict=True)}
+        weights = {k: flat[at].reshape(start[k].shape) for k, at in spans.items()}
         rows, loss, step, rng = 0, 0.0, 0, np.random.default_rng((seed, epoch))
         for frame in batches:
             frame = frame.iloc[rng.permutation(len(frame))]
@@ -320,17 +434,23 @@ def _epoch(shared, rate: float, batch: int, seed: int, clip: float):
                 nodes = {k: Node(v) for k, v in weights.items()} | tables
                 result = model.loss(nodes, part, epoch)
                 backward(result)
-                grads = {k: nodes[k].grad for k in weights if nodes[k].grad is not None and k not in frozen}
+                grads = {k: nodes[k].grad for k in names if nodes[k].grad is not None and k not in frozen}
                 moved = {k: t.derivative() for k, t in tables.items()}
                 moved = {k: x for k, x in moved.items() if k not in frozen}
-                length = np.sqrt(sum(float((g * g).sum()) for g in [*grads.values(), *(g for _, g in moved.values())]))
+                whole = np.concatenate([grads[k].ravel() for k in grads] or [np.zeros(0)])
+                length = np.sqrt(float(whole @ whole) + sum(float((g * g).sum()) for _, g in moved.values()))
                 scale = min(1.0, clip / max(length, 1e-12))
                 step += 1
-                for k, g in grads.items():
-                    g = g * scale
-                    first[k] = FIRST * first[k] + (1 - FIRST) * g
-                    second[k] = SECOND * second[k] + (1 - SECOND) * g * g
-                    weights[k] = weights[k] - rate * (first[k] / (1 - FIRST**step)) / (np.sqrt(second[k] / (1 - SECOND**step)) + TINY)
+                whole *= scale
+                runs = []  # of weights with a derivative, as far as they follow each other
+                for k in grads:
+                    if runs and runs[-1][1] == spans[k].start:
+                        runs[-1][1] = spans[k].stop
+                    else:
+                        runs.append([spans[k].start, spans[k].stop])
+                for begin, end in runs:
+                    g, whole = whole[: end - begin], whole[end - begin :]
+                    _adam(flat[begin:end], first[begin:end], second[begin:end], g, rate, step)
                 for k, (places, g) in moved.items():
                     tables[k].move(places, g * scale)
                 rows, loss = rows + len(part), loss + float(result.value) * len(part)

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 
-from tideline.operators.gradients import Node, binary_entropy, concat, cross_entropy, gelu, layer_norm, node, relu, sigmoid, softmax, softplus, stack, take, tanh, total, unit
+from tideline.operators.gradients import Node, attention, binary_entropy, concat, cross_entropy, feed, gelu, layer_norm, node, relu, softmax, softplus, stack, take, total, unit
 
 #: Weights of targets that are clicks, carts and orders.
 ACTION_WEIGHTS = np.sqrt(np.array([1.0, 3.0, 6.0]))
@@ -19,10 +19,13 @@ ACTION_WEIGHTS = np.sqrt(np.array([1.0, 3.0, 6.0]))
 def padded(lists, length: int, shift: int = 0) -> np.ndarray:
     """``[rows, length]``: the last values of each list, on the right; 0 elsewhere."""
     out = np.zeros((len(lists), length), dtype=np.int64)
-    for i, values in enumerate(lists):
-        last = np.asarray(values, dtype=np.int64)[-length:]
-        if len(last):
-            out[i, -len(last) :] = last + shift
+    sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+    if sizes.any():
+        values = np.concatenate([np.asarray(v, dtype=np.int64) for v in lists])
+        row = np.repeat(np.arange(len(lists)), sizes)
+        column = length - np.cumsum(sizes)[row] + np.arange(len(values))
+        kept = column >= 0
+        out[row[kept], column[kept]] = values[kept] + shift
     return out
 
 
@@ -44,19 +47,43 @@ def _table(rng: np.random.Generator, rows: int, width: int) -> np.ndarray:
 
 
 def gru(p: dict[str, Node], name: str, x: Node, mask: np.ndarray) -> Node:
-    """Last state of a gated recurrent unit over ``[rows, steps, width]``; masked steps leave the state as it is."""
-    width = p[f"{name}_u"].value.shape[0]
-    state = node(np.zeros((x.value.shape[0], width)))
-    for t in np.flatnonzero(mask.any(axis=0)):
-        inner = x[:, t] @ p[f"{name}_w"] + p[f"{name}_b"]
-        outer = state @ p[f"{name}_u"]
-        gates = sigmoid(inner[:, : 2 * width] + outer[:, : 2 * width])
+    """Last state of a gated recurrent unit over ``[rows, steps, width]``; masked steps leave the state as it is. One node: a step computes
+    only the rows that it isn't masked in."""
+    w, u, b = p[f"{name}_w"], p[f"{name}_u"], p[f"{name}_b"]
+    width, inputs = u.value.shape[0], x.value.shape[2]
+    steps, rows = np.nonzero(mask.T)  # in the order of the steps
+    ends = np.searchsorted(steps, np.flatnonzero(mask.any(axis=0)), side="right").tolist()
+    spans = list(zip([0, *ends[:-1]], ends, strict=True)) if ends else []
+    picked = x.value[rows, steps]
+    inner = picked @ w.value + b.value
+    state = np.zeros((x.value.shape[0], width))
+    before, gates, fresh, carried = np.zeros((len(rows), width)), np.zeros((len(rows), 2 * width)), np.zeros((len(rows), width)), np.zeros((len(rows), width))
+    for i, j in spans:
+        at = rows[i:j]
+        old = before[i:j] = state[at]
+        outer = old @ u.value
+        g = gates[i:j] = 1 / (1 + np.exp(-np.clip(inner[i:j, : 2 * width] + outer[:, : 2 * width], -30, 30)))
+        carried[i:j] = outer[:, 2 * width :]
+        new = fresh[i:j] = np.tanh(inner[i:j, 2 * width :] + g[:, :width] * outer[:, 2 * width :])
+        state[at] = new + g[:, width:] * (old - new)
+
+    def back(g):
+        later, d_inner, d_outer = g.copy(), np.zeros((len(rows), 3 * width)), np.zeros((len(rows), 3 * width))
         reset, keep = gates[:, :width], gates[:, width:]
-        fresh = tanh(inner[:, 2 * width :] + reset * outer[:, 2 * width :])
-        new = keep * state + (node(1.0) - keep) * fresh
-        here = mask[:, t, None].astype(np.float64)
-        state = new * here + state * (1 - here)
-    return state
+        slope, share = (1 - keep) * (1 - fresh * fresh), (before - fresh) * keep * (1 - keep)
+        turn = carried * reset * (1 - reset)
+        for i, j in reversed(spans):
+            at = rows[i:j]
+            d = later[at]
+            into = d * slope[i:j]
+            d_inner[i:j, :width], d_inner[i:j, width : 2 * width], d_inner[i:j, 2 * width :] = into * turn[i:j], d * share[i:j], into
+            d_outer[i:j, : 2 * width], d_outer[i:j, 2 * width :] = d_inner[i:j, : 2 * width], into * reset[i:j]
+            later[at] = d * keep[i:j] + d_outer[i:j] @ u.value.T
+        out = np.zeros((*mask.shape, inputs))
+        out[rows, steps] = d_inner @ w.value.T
+        return out, picked.T @ d_inner, before.T @ d_outer, d_inner.sum(axis=0)
+
+    return Node(state, (x, w, u, b), back)
 
 
 def gru_start(rng: np.random.Generator, name: str, inputs: int, width: int) -> dict[str, np.ndarray]:
@@ -180,11 +207,7 @@ class _Blocks:
         return p | {f"{name}_g": np.ones(d), f"{name}_n": np.zeros(d)}
 
     def _attend(self, p: dict[str, Node], name: str, x: Node, memory: Node, allowed: np.ndarray) -> Node:
-        rows, d = x.value.shape[0], self.width // self.heads
-        split = lambda v: v.reshape(rows, -1, self.heads, d).swap(1, 2)
-        q, k, v = (split(s @ p[f"{name}_{c}"]) for s, c in ((x, "q"), (memory, "k"), (memory, "v")))
-        weight = softmax((q @ k.swap(2, 3)) * (1 / np.sqrt(d)), allowed[:, None])
-        return (weight @ v).swap(1, 2).reshape(rows, -1, self.width) @ p[f"{name}_o"]
+        return attention(x, memory, tuple(p[f"{name}_{c}"] for c in "qkvo"), self.heads, allowed)
 
     def run(self, p: dict[str, Node], name: str, x: Node, allowed: np.ndarray, memory: Node | None = None, seen: np.ndarray | None = None) -> Node:
         for i in range(self.layers):
@@ -194,7 +217,7 @@ class _Blocks:
                 h = layer_norm(x, p[f"{name}{i}cross_g"], p[f"{name}{i}cross_n"])
                 x = x + self._attend(p, f"{name}{i}cross", h, memory, seen)
             h = layer_norm(x, p[f"{name}{i}_g"], p[f"{name}{i}_n"])
-            x = x + gelu(h @ p[f"{name}{i}_1"] + p[f"{name}{i}_1b"]) @ p[f"{name}{i}_2"] + p[f"{name}{i}_2b"]
+            x = x + feed(h, *(p[f"{name}{i}_{c}"] for c in ("1", "1b", "2", "2b")))
         return layer_norm(x, p[f"{name}_g"], p[f"{name}_n"])
 
 
