@@ -155,3 +155,42 @@ def test_attention_and_feed_equal_their_parts():
     x = make(100)
     plain = 0.5 * x * (1 + np.tanh(np.sqrt(2 / np.pi) * (x + 0.044715 * x**3)))
     assert np.allclose(gradients.gelu(Node(x)).value, plain, atol=1e-12) and not gradients.gelu(Node(np.array([-1e4]))).value.any()
+
+
+def test_beam_computes_one_step_a_level_and_equals_decoding(monkeypatch):
+    rng = np.random.default_rng(6)
+    codes = np.array([[0, 0, 0], *([i % 3, i // 3 % 2, i // 6] for i in rng.permutation(15))])
+    model = towers.CodeDecoder(codes, (3, 2, 3), 4, width=4, layers=2)
+    w = {k: v + 0.5 * rng.normal(size=v.shape) for k, v in model.start().items()}
+    history, feedback = rng.integers(0, 16, (5, 4)), rng.integers(0, 3, (5, 4))
+    history[0] = 0
+    p, want = {k: Node(v) for k, v in w.items()}, np.zeros((5, 15))
+    for i in range(1, 16):
+        z = model.decode(p, *model.encode(p, history, feedback), np.repeat(codes[i : i + 1, :-1], 5, axis=0))
+        want[:, i - 1] = sum(x.value[:, t] - np.log(np.exp(x.value).sum(axis=1)) for x, t in zip(z, codes[i], strict=True))
+    monkeypatch.setattr(towers.CodeDecoder, "decode", lambda *a: 1 / 0)  # no prefix is computed again
+    items, score = model.beam(w, history, feedback, 15, 15)
+    assert np.allclose(score, -np.sort(-want, axis=1)) and np.allclose(np.take_along_axis(want, items - 1, axis=1), score)
+
+
+def test_codes_are_read_once(spark):
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    codes = spark.createDataFrame([(5, 0, 1), (3, 1, 0), (9, 0, 0), (None, 1, 1)], "item_id long, c1 long, c2 long").coalesce(1)
+    samples = spark.range(60).select(F.array(F.lit(0), F.lit(3), F.lit(7)).cast("array<long>").alias("history"), F.array(F.lit(0), F.lit(1), F.lit(2)).cast("array<long>").alias("feedback"), F.when(F.col("id") < 50, 5).otherwise(8).cast("long").alias("target"))
+    fitted = models.train_decoder(samples, codes.mapInPandas(count, codes.schema), 3, epochs=1)
+    assert seen.value == 4 and fitted.ids.tolist() == [3, 5, 9] and fitted.model.codes.tolist() == [[0, 0], [1, 0], [0, 1], [0, 0]] and len(fitted.losses) == 1
+
+
+def test_numbers_of_items_in_lists_with_nulls(spark):
+    rows = spark.createDataFrame([(1, [5, None, 7, 9], 9), (2, None, None), (3, [], 8), (4, [9], 5)], "k int, l array<int>, s int").coalesce(1)
+    got = models.numbered(rows, np.array([5, 9]), ("l",), ("s",)).orderBy("k").collect()
+    assert [(r.l, r.s) for r in got] == [([1, 0, 0, 2], 2), (None, 0), ([], 0), ([2], 1)]
+    assert [(r.l, r.s) for r in models.numbered(rows, np.zeros(0, dtype=np.int64), ("l",), ("s",)).orderBy("k").collect()] == [([0, 0, 0, 0], 0), (None, 0), ([], 0), ([0], 0)]

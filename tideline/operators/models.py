@@ -221,26 +221,24 @@ def numbered(rows: DataFrame, ids: np.ndarray, lists: tuple[str, ...] = (), sing
     """Items of the named columns replaced by their numbers from 1; 0 for others and null. A null list stays null."""
     shared = rows.sparkSession.sparkContext.broadcast(ids)
 
-    def place(values: np.ndarray) -> np.ndarray:
-        known = shared.value
+    def place(column: pa.Array) -> np.ndarray:
+        known, values = shared.value, column.fill_null(NO_ITEM).to_numpy(zero_copy_only=False)
         if not len(known):
             return np.zeros(len(values), dtype=np.int64)
         at = np.minimum(np.searchsorted(known, values), len(known) - 1)
         return np.where(known[at] == values, at + 1, 0)
 
-    @F.pandas_udf("array<long>")
-    def many(column: pd.Series) -> pd.Series:
-        sizes = [0 if v is None else len(v) for v in column]
-        places = place(np.concatenate([np.asarray(v, dtype=np.int64) for v, n in zip(column, sizes, strict=True) if n] or [np.zeros(0, dtype=np.int64)]))
-        ends = np.cumsum(sizes).tolist()
-        return pd.Series([None if v is None else places[e - n : e] for v, n, e in zip(column, sizes, ends, strict=True)], dtype=object)
+    @F.arrow_udf("array<long>")
+    def many(column: pa.Array) -> pa.Array:  # all lists of a batch at once
+        sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate((np.zeros(1, dtype=np.int32), np.cumsum(sizes, dtype=np.int32)))
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(place(column.flatten())), mask=column.is_null())
 
-    @F.pandas_udf("long")
-    def one(column: pd.Series) -> pd.Series:
-        return pd.Series(place(column.to_numpy(dtype=np.int64)))
+    @F.arrow_udf("long")
+    def one(column: pa.Array) -> pa.Array:
+        return pa.array(place(column))
 
-    known = lambda x: F.coalesce(x.cast("long"), F.lit(NO_ITEM))
-    return rows.withColumns({c: many(F.transform(c, known)) for c in lists} | {c: one(known(F.col(c))) for c in singles})
+    return rows.withColumns({c: many(F.col(c).cast("array<long>")) for c in lists} | {c: one(F.col(c).cast("long")) for c in singles})
 
 
 def _placed(shared, kinds: list[tuple[str, type]]):
@@ -436,13 +434,14 @@ def attention_ranks(samples: DataFrame, fitted: Fitted) -> DataFrame:
 
 def train_decoder(samples: DataFrame, codes: DataFrame, length: int, width: int = 16, heads: int = 2, layers: int = 1, epochs: int = 3, rate: float = 0.01, batch: int = 128, seed: int = 7, max_items: int = 2_000_000, **control) -> Fitted:
     """A :class:`towers.CodeDecoder` trained on ``history, feedback`` (padded with 0) and ``target``; ``codes`` (``item_id, c1 .. cL``) are unique."""
-    ids = catalogue(codes, max_items)
     levels = sorted((c for c in codes.columns if c[0] == "c" and c[1:].isdigit()), key=lambda c: int(c[1:]))
-    table = np.zeros((len(ids) + 1, len(levels)), dtype=np.int64)
-    for r in codes.collect():
-        table[np.searchsorted(ids, r["item_id"]) + 1] = [r[c] for c in levels]
-    rows = samples.select(F.transform("history", lambda x: F.nullif(x, F.lit(0).cast("long"))).alias("history"), "feedback", "target")
-    rows = numbered(rows, ids, ("history",), ("target",)).filter("target > 0")
+    known = np.array(codes.select("item_id", *levels).dropna(subset=["item_id"]).limit(max_items + 1).collect(), dtype=np.int64).reshape(-1, len(levels) + 1)  # in one run: codes may be dear to make
+    if len(known) > max_items:
+        raise ValueError("too many items for one matrix")
+    ids, first = np.unique(known[:, 0], return_index=True)
+    table = np.concatenate((np.zeros((1, len(levels)), dtype=np.int64), known[first, 1:]))
+    rows = samples.select(F.transform("history", lambda x: F.nullif(x, F.lit(0).cast("long"))).alias("history"), F.col("feedback").cast("array<tinyint>").alias("feedback"), "target")
+    rows = numbered(rows, ids, ("history",), ("target",)).filter("target > 0").withColumn("history", F.col("history").cast("array<int>"))  # settled, so kept small
     model = CodeDecoder(table, tuple(int(x) + 1 for x in table.max(axis=0)), length, width, heads, layers, seed)
     weights, losses = train(model, rows, epochs, rate, batch, seed, **control)
     return Fitted(model, weights, ids, losses)

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 
-from tideline.operators.gradients import Node, attention, binary_entropy, concat, cross_entropy, feed, gelu, layer_norm, node, relu, softmax, softplus, stack, take, total, unit
+from tideline.operators.gradients import Node, attention, binary_entropy, concat, cross_entropy, curve, feed, gelu, layer_norm, node, relu, shares, softmax, softplus, stack, take, total, unit
 
 #: Weights of targets that are clicks, carts and orders.
 ACTION_WEIGHTS = np.sqrt(np.array([1.0, 3.0, 6.0]))
@@ -221,6 +221,56 @@ class _Blocks:
         return layer_norm(x, p[f"{name}_g"], p[f"{name}_n"])
 
 
+    def steps(self, p: dict[str, Node], name: str, memory: Node, seen: np.ndarray) -> _Steps:
+        """:meth:`run` of a causal decoder a step at a time, without derivatives."""
+        return _Steps(self, {k: n.value for k, n in p.items()}, name, memory.value, seen)
+
+
+class _Steps:
+    """Layers of :class:`_Blocks` over one more step of each entry; entries of one row follow each other."""
+
+    def __init__(self, blocks: _Blocks, w: dict[str, np.ndarray], name: str, memory: np.ndarray, seen: np.ndarray):
+        self.blocks, self.w, self.name, self.seen = blocks, w, name, seen
+        rows, split = len(memory), lambda v: v.reshape(len(memory), -1, blocks.heads, blocks.width // blocks.heads).swapaxes(1, 2)
+        flat = memory.reshape(-1, blocks.width) if rows else np.zeros((0, blocks.width))
+        self.memory = [tuple(np.ascontiguousarray(split(flat @ w[f"{name}{i}cross_{c}"])) for c in "kv") for i in range(blocks.layers)]
+        self.past: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(blocks.layers)]
+
+    def keep(self, entries: np.ndarray) -> None:
+        """The entries from which the next step goes on."""
+        self.past = [[(k[entries], v[entries]) for k, v in layer] for layer in self.past]
+
+    def _norm(self, x: np.ndarray, name: str) -> np.ndarray:
+        return layer_norm(Node(x), Node(self.w[f"{name}_g"]), Node(self.w[f"{name}_n"])).value
+
+    def __call__(self, x: np.ndarray, row: np.ndarray) -> np.ndarray:
+        b, w = self.blocks, self.w
+        size = b.width // b.heads
+        lines = lambda v: v.reshape(-1, b.heads, size)
+        place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+        most = int(place.max(initial=-1)) + 1
+        for i in range(b.layers):
+            at = f"{self.name}{i}"
+            h = self._norm(x, f"{at}self")
+            q = lines(h @ w[f"{at}self_q"])
+            self.past[i].append((lines(h @ w[f"{at}self_k"]), lines(h @ w[f"{at}self_v"])))
+            z = np.stack([np.einsum("nhd,nhd->nh", q, k) for k, _ in self.past[i]], axis=2) / np.sqrt(size)
+            share = shares(z, None)
+            mixed = sum(share[:, :, j, None] * v for j, (_, v) in enumerate(self.past[i]))
+            x = x + mixed.reshape(-1, b.width) @ w[f"{at}self_o"]
+            h = self._norm(x, f"{at}cross")
+            q = np.zeros((len(self.seen), b.heads, most, size))
+            q[row, :, place] = lines(h @ w[f"{at}cross_q"])
+            k, v = self.memory[i]
+            z = q @ k.swapaxes(2, 3)
+            z /= np.sqrt(size)
+            mixed = (shares(z, self.seen[:, None, None]) @ v)[row, :, place]
+            x = x + mixed.reshape(-1, b.width) @ w[f"{at}cross_o"]
+            h = self._norm(x, at)
+            x = x + curve(h @ w[f"{at}_1"] + w[f"{at}_1b"])[0] @ w[f"{at}_2"] + w[f"{at}_2b"]
+        return self._norm(x, self.name)
+
+
 @dataclass
 class SelfAttention:
     """Causal self-attention over a history of items with their feedback (1 negative, 2 positive); items are scored by their own vectors.
@@ -321,36 +371,50 @@ class CodeDecoder:
             out = one if out is None else out + one
         return out
 
+    def legal(self) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Items in the order of their codes, the codes so ordered, and of each level's prefixes the first item and the prefix one shorter."""
+        if not hasattr(self, "_legal"):
+            order = np.lexsort(self.codes[1:].T[::-1]) + 1
+            codes, levels, parent = self.codes[order], [], np.zeros(len(order), dtype=np.int64)
+            fresh = np.arange(len(order)) == 0
+            for level in range(codes.shape[1]):
+                fresh[1:] |= codes[1:, level] != codes[:-1, level]
+                firsts = np.flatnonzero(fresh)
+                levels.append((firsts, parent[firsts]))
+                parent = np.cumsum(fresh) - 1
+            self._legal = order, codes, levels
+        return self._legal
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_legal"}
+
     def beam(self, weights: dict[str, np.ndarray], history: np.ndarray, feedback: np.ndarray, beam: int, topk: int) -> tuple[np.ndarray, np.ndarray]:
-        """Item numbers (0: none) and summed log probabilities of the ``topk`` best legal codes; ties go to the smaller code."""
+        """Item numbers (0: none) and summed log probabilities of the ``topk`` best legal codes; ties go to the smaller code.
+
+        A level computes its own step only: keys and values of the steps before stay with the entries, those of the history with its row.
+        """
         p = {k: Node(v) for k, v in weights.items()}
         memory, real = self.encode(p, history, feedback)
         rows, levels = len(history), len(self.sizes)
-        order = np.lexsort(self.codes[1:].T[::-1]) + 1
-        ranks = np.zeros((len(order), levels), dtype=np.int64)  # number of each item's prefix per level, in the order of codes
-        sorted_codes = self.codes[order]
-        for level in range(levels):
-            fresh = np.ones(len(order), dtype=bool)
-            fresh[1:] = (sorted_codes[1:, : level + 1] != sorted_codes[:-1, : level + 1]).any(axis=1)
-            ranks[:, level] = np.cumsum(fresh) - 1
+        order, sorted_codes, prefixes = self.legal()
         line, held, score = np.arange(rows), np.zeros(rows, dtype=np.int64), np.zeros(rows)  # a beam entry: its row, prefix and score
-        tokens = np.zeros((rows, 0), dtype=np.int64)
+        token, steps = None, self.blocks.steps(p, "dec", memory, real)
         for level in range(levels):
-            firsts = np.unique(ranks[:, level], return_index=True)[1]
-            parent = ranks[firsts, level - 1] if level else np.zeros(len(firsts), dtype=np.int64)
-            token = sorted_codes[firsts, level]
-            z = self.decode(p, Node(memory.value[line]), real[line], tokens)[level].value
+            firsts, parent = prefixes[level]
+            x = weights["level"][level] + (weights["begin"] if token is None else weights[f"tok{level - 1}"][token])
+            z = steps(np.broadcast_to(x, (len(line), self.width)), line) @ weights[f"head{level}"] + weights[f"head{level}_b"]
             z = z - z.max(axis=1, keepdims=True)
             z = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
             begin, end = np.searchsorted(parent, held, side="left"), np.searchsorted(parent, held, side="right")
             entry = np.repeat(np.arange(len(line)), end - begin)  # children follow each other in the order of codes
             child = np.arange(len(entry)) - np.repeat(np.cumsum(end - begin) - (end - begin), end - begin) + begin[entry]
-            grown = score[entry] + z[entry, token[child]]
+            own = sorted_codes[firsts, level][child]
+            grown = score[entry] + z[entry, own]
             best = np.lexsort((child, -np.round(grown, 9), line[entry]))
             place = np.arange(len(best)) - np.searchsorted(line[entry][best], line[entry][best], side="left")
             kept = best[place < (beam if level + 1 < levels else topk)]
-            tokens = np.concatenate((tokens[entry[kept]], token[child[kept]][:, None]), axis=1)
-            line, held, score = line[entry[kept]], child[kept], grown[kept]
+            token, line, held, score = own[kept], line[entry[kept]], child[kept], grown[kept]
+            steps.keep(entry[kept])
         place = np.arange(len(line)) - np.searchsorted(line, line, side="left")
         items, scores = np.zeros((rows, topk), dtype=np.int64), np.full((rows, topk), -np.inf)
         items[line, place], scores[line, place] = order[firsts][held], score
