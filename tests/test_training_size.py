@@ -194,3 +194,31 @@ def test_numbers_of_items_in_lists_with_nulls(spark):
     got = models.numbered(rows, np.array([5, 9]), ("l",), ("s",)).orderBy("k").collect()
     assert [(r.l, r.s) for r in got] == [([1, 0, 0, 2], 2), (None, 0), ([], 0), ([2], 1)]
     assert [(r.l, r.s) for r in models.numbered(rows, np.zeros(0, dtype=np.int64), ("l",), ("s",)).orderBy("k").collect()] == [([0, 0, 0, 0], 0), (None, 0), ([], 0), ([0], 0)]
+
+
+def test_catalogue_is_packed_in_tasks(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    items = spark.range(0, 30_000).select(F.when(F.col("id") > 5, (F.col("id") * 7919) % 10_007 - 5).alias("item_id"))
+    assert models.catalogue(items).tolist() == sorted({(i * 7919) % 10_007 - 5 for i in range(6, 30_000)})
+    assert models.catalogue(items.limit(3)).tolist() == []
+    with pytest.raises(ValueError):
+        models.catalogue(items, 10_006)
+
+
+def test_two_tower_reads_the_samples_once(spark, monkeypatch):
+    from tideline.plans import learning
+
+    schema = "sample_id long, session long, target_aid long, target_type string, target_type_id int, target_ts long, history_aids array<long>, history_type_ids array<int>, history_time_deltas_ms array<long>"
+    rows = spark.createDataFrame([(i, i, 5 + i % 3, "clicks", 0, 100 + i, [1, 2] if i % 4 else [], [0, 1] if i % 4 else [], [9, 8] if i % 4 else []) for i in range(40)], schema)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for batch in frames:
+            seen.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(learning, "read_table", lambda *a: rows.coalesce(1).mapInArrow(count, schema))
+    assert sorted(r.item_id for r in learning.two_tower(spark, "").collect()) == [1, 2, 5, 6, 7]
+    assert seen.value == 40

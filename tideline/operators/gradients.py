@@ -505,7 +505,7 @@ def train(model, rows: DataFrame, epochs: int, rate: float = 1e-2, batch: int =
         shared = spark.sparkContext.broadcast((model, weights, epoch, frozen))
         changes = rows.mapInPandas(_epoch(shared, rate * (schedule(epoch) if schedule else 1.0), batch, seed, clip), MESSAGE)
         seen, loss, total = 0, 0.0, {}
-        for part in changes.groupBy("name", "block").applyInPandas(_sum(sizes), MESSAGE).toLocalIterator():  # a block at a time
+        for part in changes.groupBy("name", "block").applyInPandas(_sum(sizes), MESSAGE).toLocalIterator(prefetchPartitions=True):  # a block at a time
             if not part["name"]:
                 seen, loss = part["rows"], part["loss"]
                 continue

@@ -211,7 +211,14 @@ class Fitted:
 
 def catalogue(items: DataFrame, max_items: int = 2_000_000) -> np.ndarray:
     """The different items (``item_id``) in their order, for models whose weights hold a row per item; more than ``max_items`` raise ValueError."""
-    known = np.array([r[0] for r in items.select("item_id").dropna().distinct().orderBy("item_id").limit(max_items + 1).collect()], dtype=np.int64)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy().tobytes()])], names=["ids"])
+
+    found = items.select(F.col("item_id").cast("long").alias("item_id")).dropna().distinct().limit(max_items + 1).mapInArrow(pack, "ids binary").collect()
+    known = np.sort(np.concatenate([np.frombuffer(r["ids"], dtype=np.int64) for r in found] or [np.zeros(0, dtype=np.int64)]))
     if len(known) > max_items:
         raise ValueError("too many items for one matrix")
     return known

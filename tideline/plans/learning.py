@@ -27,7 +27,8 @@ def next_items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _items(samples: DataFrame) -> DataFrame:
-    return samples.select(F.explode("history").alias("item_id")).unionByName(samples.select(F.col("target").alias("item_id")))
+    """Items of the histories and targets, in one pass."""
+    return samples.select(F.explode(F.concat(F.coalesce("history", F.array().cast("array<long>")), F.array("target"))).alias("item_id"))
 
 
 def _falling(spark: SparkSession, rows: list[tuple[str, list[float]]]) -> DataFrame:
@@ -38,7 +39,7 @@ def _falling(spark: SparkSession, rows: list[tuple[str, list[float]]]) -> DataFr
 @query()
 def two_tower(spark: SparkSession, folder: str) -> DataFrame:
     """Item vectors of the towers with a recurrent user."""
-    samples = next_items(spark, folder)
+    samples = settle(next_items(spark, folder))
     return models.tower_items(spark, models.train_towers(samples, _items(samples), epochs=2))
 
 
@@ -119,7 +120,7 @@ def _wide(spark: SparkSession, folder: str, samples: DataFrame, catalogue: DataF
 @query("SELECT model, epochs, true AS falls FROM (VALUES ('towers', 4), ('attention', 3), ('decoder', 3)) t(model, epochs)")
 def training_losses(spark: SparkSession, folder: str) -> DataFrame:
     """That the loss of each sequence model falls."""
-    samples = next_items(spark, folder)
+    samples = settle(next_items(spark, folder))
     tower = models.train_towers(samples, _items(samples), epochs=4)
     windows, events = _windows(spark, folder)
     attention = models.train_attention(windows, events.select("item_id"), 20, epochs=3)
