@@ -222,3 +222,68 @@ def test_two_tower_reads_the_samples_once(spark, monkeypatch):
     monkeypatch.setattr(learning, "read_table", lambda *a: rows.coalesce(1).mapInArrow(count, schema))
     assert sorted(r.item_id for r in learning.two_tower(spark, "").collect()) == [1, 2, 5, 6, 7]
     assert seen.value == 40
+
+
+def test_mapped_tables_train_as_held_ones(spark, monkeypatch):
+    import os
+
+    from tideline.operators import mapped
+    from tideline.operators.mapped import Mapped
+
+    rng = np.random.default_rng(8)
+    samples = [(i, rng.integers(1, 300, 4).tolist(), [0, 1, 2, 0], [1, 2, 3, 4], int(rng.integers(1, 300)), i % 3, 100 + i) for i in range(300)]
+    df = spark.createDataFrame(samples, "sample_id long, history array<long>, types array<long>, buckets array<long>, target long, target_type long, ts long").coalesce(1)
+    items = spark.range(1, 10_001).withColumnRenamed("id", "item_id")
+    features = spark.createDataFrame([(i, [i % 5, 1], [0.1 * i], [0.01 * i, -1.0, 0.5]) for i in range(1, 300)], "item_id long, categories array<long>, numbers array<double>, known array<float>")
+    negatives = spark.createDataFrame([(i, rng.integers(1, 10_000, 6).tolist()) for i in range(300)], "sample_id long, negatives array<long>")
+    fit = lambda: models.train_towers(df, items, 4, 4, 0.05, 5, features, negatives, (0.0, 0.5))
+    monkeypatch.setattr(gradients, "HELD", 20_000)
+    held = fit()
+    monkeypatch.setattr(mapped, "LEAST", 0)
+    got = fit()
+    assert all(isinstance(got.weights[k], Mapped) for k in got.model.tables) and isinstance(got.model.numbers, Mapped) and not len(got.model.known)
+    assert got.losses[-1] < got.losses[0] and abs(got.losses[-1] - held.losses[-1]) < 0.3
+    unused = np.setdiff1d(np.arange(10_001), [0, *(x for s in samples for x in (*s[1], s[4])), *(x for r in negatives.collect() for x in r.negatives)])
+    assert np.allclose(got.weights["item"][unused], held.weights["item"][unused], atol=1e-7)  # rows not in use stay
+    files = {f for f in os.listdir(got.room.folder) if "-" in f}
+    assert not files and len(os.listdir(got.room.folder)) == len(got.model.tables) + 2  # the tables after the last epoch, and the features
+    x = models._all_vectors(spark, got)
+    assert isinstance(x, Mapped) and np.allclose(x, got.model.all_vectors(got.weights), atol=1e-12)
+    got.discard()
+    assert not os.path.exists(got.room.folder)
+
+
+class _Aims(_Counts):
+    def start(self, room=None):
+        p = super().start()
+        if room:
+            p["t"] = room.array(p["t"].shape)
+        return p
+
+    def loss(self, p, frame, epoch):
+        off = take(p["t"], frame["id"].to_numpy() % 4999) - 1.0
+        return total(off * off) * (1 / len(frame)) + total(p["w"] * p["w"])
+
+
+def test_mapped_epoch_equals_one_summed_by_blocks(spark):
+    from tideline.operators.mapped import Room
+    from tideline.session import ensure_shared_dir, settle
+
+    rows = settle(spark.range(0, 4000, 1, 8))
+    room = Room(ensure_shared_dir(spark).removeprefix("file:").replace("//", "/"))
+    held, losses = gradients.train(_Aims(), rows.repartition(12), 3, rate=0.1, batch=10)
+    got, again = gradients.train(_Aims(), rows.repartition(12), 3, rate=0.1, batch=10, room=room)
+    assert np.allclose(losses, again, rtol=1e-3) and abs(got["t"][:4000].mean() - held["t"][:4000].mean()) < 0.01 and got["t"][:4000].all() and not got["t"][4000:].any()  # rows are in other tasks
+    room.remove()
+
+
+def test_place_of_a_row_is_that_of_the_nearest():
+    from tideline.operators.vectors import Nearest, place_of
+
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=(400, 4)), 1)
+    x[100:200] = x[:100]
+    q, row = rng.normal(size=(60, 4)), rng.integers(0, 400, 60)
+    r, c, rank, _ = Nearest(x, 50)(q)
+    want = [next(iter(rank[(r == i) & (c == row[i])]), 0) for i in range(60)]
+    assert place_of(x, q, row, 50, block=64).tolist() == want and 0 in want and max(want) > 0

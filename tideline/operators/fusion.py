@@ -112,8 +112,9 @@ def cap_negatives(labelled: DataFrame, most: int, seed: int) -> DataFrame:
 def round_robin(pools: DataFrame, blocked: DataFrame, limit: int) -> DataFrame:
     """``sample_id, aid, place``: hard negatives of several pools (``sample_id, pool, ordinal, aid``) in turn, each item once and none
     that is ``blocked`` (``sample_id, aid``)."""
-    free = pools.join(blocked.select("sample_id", "aid"), ["sample_id", "aid"], "left_anti")
-    first = free.groupBy("sample_id", "aid").agg(F.min(F.struct("ordinal", "pool")).alias("o"))
+    rows = pools.select("sample_id", "aid", F.struct("ordinal", "pool").alias("o"))
+    rows = rows.unionByName(blocked.select("sample_id", "aid").dropna().select("sample_id", "aid", F.lit(None).cast(rows.schema["o"].dataType).alias("o")))
+    first = rows.repartition("sample_id").groupBy("sample_id", "aid").agg(F.min("o").alias("o"), F.count_if(F.isnull("o")).alias("__b")).filter("__b = 0")  # one shuffle for all
     w = Window.partitionBy("sample_id").orderBy("o", "aid")
     return first.withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= limit).select("sample_id", "aid", "place")
 
@@ -164,7 +165,13 @@ def drawn_items(samples: DataFrame, counts: DataFrame, n: int, power: float = 0.
 
 
 def hard_negatives(routes: DataFrame, blocked: DataFrame, counts: DataFrame, samples: DataFrame, limit: int = 96, seed: int = 7) -> DataFrame:
-    """``sample_id, aid, place``: the pools of :func:`negative_pools` and drawn items in turn, each item once and none that is ``blocked``; samples
+    """``sample_id, aid, place``: the rows of :func:`negative_lists`."""
+    lists = negative_lists(routes, blocked, counts, samples, limit, seed)
+    return lists.select("sample_id", F.posexplode("negatives").alias("place", "aid")).select("sample_id", "aid", (F.col("place") + 1).cast("long").alias("place"))
+
+
+def negative_lists(routes: DataFrame, blocked: DataFrame, counts: DataFrame, samples: DataFrame, limit: int = 96, seed: int = 7) -> DataFrame:
+    """``sample_id, negatives``: the pools of :func:`negative_pools` and drawn items in turn, each item once and none that is ``blocked``; samples
     with fewer than ``limit`` are filled up with more drawn items, as far as the catalogue goes: ten rounds of ``limit`` draws are looked at.
 
     Later draws only come after earlier ones, so the last nine rounds are drawn for those samples only that aren't full after the first. Runs jobs.
@@ -172,14 +179,15 @@ def hard_negatives(routes: DataFrame, blocked: DataFrame, counts: DataFrame, sam
     drawn = lambda rows, n: drawn_items(rows, counts, n, seed=seed).select("sample_id", F.when(own, F.lit(4)).otherwise(F.lit(5)).alias("pool"), F.when(own, F.col("ordinal")).otherwise(F.col("ordinal") + 1_000_000).alias("ordinal"), "aid")
     own = F.col("ordinal") < POOL_QUOTAS["drawn"]
     pools = negative_pools(routes)
-    first = settle(round_robin(pools.unionByName(drawn(samples, 2 * limit)), blocked, limit))
-    full = first.groupBy("sample_id").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= limit).select("sample_id")
+    listed = lambda rows: rows.groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "aid"))), lambda x: x.aid).alias("negatives"))
+    first = settle(listed(round_robin(pools.unionByName(drawn(samples, 2 * limit)), blocked, limit)))  # a list takes a fifth of its rows
+    full = first.filter(F.size("negatives") >= limit).select("sample_id")
     short = settle(samples.select("sample_id").distinct().join(full, "sample_id", "left_anti"))
     if not short.count():
         return first
     named = short.withColumnRenamed("sample_id", "__s")
     again = F.col("sample_id").eqNullSafe(F.col("__s"))
-    rest = round_robin(pools.join(named, again, "left_semi").unionByName(drawn(short, 11 * limit)), blocked, limit)
+    rest = listed(round_robin(pools.join(named, again, "left_semi").unionByName(drawn(short, 11 * limit)), blocked, limit))
     return first.join(named, again, "left_anti").unionByName(rest)
 
 

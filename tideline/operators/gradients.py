@@ -7,17 +7,25 @@ broadcasts the weights, each task runs mini-batches of its rows with Adam, and t
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tideline.session import settle
+from tideline.operators.mapped import Mapped, Room, discard
+from tideline.session import release, settle
 
 #: Adam's decays and the number that keeps it from dividing by zero; rows of a table whose changes go in one message.
 FIRST, SECOND, TINY, BLOCK = 0.9, 0.999, 1e-8, 4096
+#: Bytes of rows in use that a task with mapped tables holds, for which there are more tasks if they use all tables together.
+HELD = 3 << 27
+#: Stands for a block whose changes are in files.
+FILED = -1
 
 class Node:
     """A value in a computation; ``grad`` after :func:`backward`."""
@@ -108,10 +116,11 @@ class Table(Node):
     rows do, and the weights are those of Adam over the whole table.
     """
 
-    __slots__ = ("base", "rate", "slot", "ids", "own", "first", "second", "at", "used", "step", "found")
+    __slots__ = ("base", "rate", "slot", "ids", "own", "first", "second", "at", "used", "step", "found", "fixed")
 
-    def __init__(self, base: np.ndarray, rate: float):
+    def __init__(self, base: np.ndarray, rate: float, fixed: bool = False):
         super().__init__(base)
+        self.fixed = fixed  # rows are read from ``base`` and don't move
         self.base, self.rate, self.used, self.step, self.found = base, rate, 0, 0, []
         self.slot = np.full(len(base), -1, dtype=np.int32)
         self._room(1024)
@@ -120,7 +129,7 @@ class Table(Node):
         old, n = (self.ids, self.own, self.first, self.second, self.at) if self.used else None, self.used
         width = self.base.shape[1]
         self.ids, self.at = np.zeros(rows, dtype=np.int64), np.zeros(rows, dtype=np.int64)
-        self.own, self.first, self.second = (np.zeros((rows, width)) for _ in range(3))
+        self.own, self.first, self.second = (np.zeros((rows, width), dtype=self.base.dtype) for _ in range(3))
         if old:
             for new, kept in zip((self.ids, self.own, self.first, self.second, self.at), old, strict=True):
                 new[:n] = kept[:n]
@@ -170,10 +179,16 @@ class Table(Node):
 
     def changes(self) -> tuple[np.ndarray, np.ndarray]:
         """Rows used so far, in their order, and how they differ from ``base``."""
-        self.rows(self.ids[: self.used])
+        parts = list(self.parts())
+        return np.concatenate([np.zeros(0, dtype=np.int64), *(i for i, _ in parts)]), np.concatenate([np.zeros((0, self.base.shape[1])), *(d for _, d in parts)])
+
+    def parts(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """:meth:`changes` in parts of at most ``BLOCK`` rows."""
         order = np.argsort(self.ids[: self.used])
-        ids = self.ids[order]
-        return ids, self.own[order] - self.base[ids]
+        for i in range(0, len(order), BLOCK):
+            ids = self.ids[order[i : i + BLOCK]]
+            places = self.rows(ids)
+            yield ids, self.own[places] - self.base[ids]
 
 
 _AHEAD = [np.zeros(0)]
@@ -204,18 +219,20 @@ def take(table: Node, ids: np.ndarray) -> Node:
     """Rows of a table."""
     if isinstance(table, Table):
         ids = np.asarray(ids)
+        if table.fixed:
+            return Node(np.asarray(table.base[ids], dtype=np.float64), (), lambda g: ())
         places = table.rows(ids.ravel())
 
         def keep(g):
             table.found.append((places, g.reshape(len(places), -1)))
             return ()
 
-        return Node(table.own[places].reshape(*ids.shape, -1), (), keep)
+        return Node(table.own[places].astype(np.float64, copy=False).reshape(*ids.shape, -1), (), keep)
 
     def back(g):
         return (_gathered(np.asarray(ids).ravel(), g.reshape(-1, table.value.shape[1]), len(table.value)),)
 
-    return Node(table.value[ids], (table,), back)
+    return Node(np.asarray(table.value[ids], dtype=np.float64), (table,), back)
 
 
 def sigmoid(a: Node) -> Node:
@@ -416,13 +433,17 @@ def _adam(w: np.ndarray, first: np.ndarray, second: np.ndarray, g: np.ndarray, r
     w -= rate * (first / (1 - FIRST**step)) / (np.sqrt(second / (1 - SECOND**step)) + TINY)
 
 
-def _epoch(shared, rate: float, batch: int, seed: int, clip: float):
+def _epoch(shared, rate: float, batch: int, seed: int, clip: float, folder: str | None = None):
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = next(batches, None)
+        if first is None:
+            return
         np.empty(3 << 20)  # once freed, the allocator keeps pieces up to this size, and batches don't fault in their memory again
         model, start, epoch, frozen = shared.value
-        tables = {k: Table(start[k], rate) for k in getattr(model, "tables", ())}
+        tables = {k: Table(start[k], rate, k in frozen) for k in getattr(model, "tables", ())}
         names = [k for k in start if k not in tables]
         flat = np.concatenate([start[k].ravel() for k in names] or [np.zeros(0)]).astype(np.float64)  # the other weights follow each other, so that a step moves all of them at once
+        batches = chain([first], batches)
         first, second, ends = np.zeros_like(flat), np.zeros_like(flat), np.cumsum([start[k].size for k in names]).tolist()
         spans = {k: slice(e - start[k].size, e) for k, e in zip(names, ends, strict=True)}
         weights = {k: flat[at].reshape(start[k].shape) for k, at in spans.items()}
@@ -460,7 +481,18 @@ def _epoch(shared, rate: float, batch: int, seed: int, clip: float):
         line = lambda name, block, ids, delta: pd.DataFrame({"name": [name], "block": [block], "task": [task], "rows": [rows], "loss": [loss], "ids": [ids.tobytes()], "delta": [delta.tobytes()]})
         yield line("", 0, np.zeros(0, dtype=np.int64), np.zeros(0))
         changes = [(k, np.arange(len(v)), v - start[k]) for k, v in weights.items() if k not in frozen]
-        changes += [(k, *t.changes()) for k, t in tables.items() if k not in frozen]
+        for k, t in tables.items():
+            if k in frozen:
+                continue
+            if folder is None or not isinstance(t.base, Mapped):
+                changes.append((k, *t.changes()))
+                continue
+            path = f"{folder}/{epoch}-{task}-{TaskContext.get().taskAttemptId()}-{k}"
+            with open(f"{path}.ids", "wb") as ids, open(f"{path}.delta", "wb") as deltas:
+                for some, delta in t.parts():
+                    ids.write(some.tobytes())
+                    deltas.write(delta.astype(np.float32, copy=False).tobytes())
+            yield line(k, FILED, np.frombuffer(path.encode(), dtype=np.uint8), np.zeros(0))
         for name, ids, delta in changes:
             ends = np.searchsorted(ids, np.arange(0, (ids[-1] if len(ids) else 0) + BLOCK + 1, BLOCK))
             for block, (b, e) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
@@ -485,7 +517,7 @@ def _sum(sizes: dict[str, int]):
     return kernel
 
 
-def train(model, rows: DataFrame, epochs: int, rate: float = 1e-2, batch: int = 256, seed: int = 7, clip: float = 1.0, schedule: Callable[[int], float] | None = None, score: Callable[[dict], float] | None = None, patience: int = 2, checkpoint: Callable[[int, dict, float], None] | None = None) -> tuple[dict[str, np.ndarray], list[float]]:
+def train(model, rows: DataFrame, epochs: int, rate: float = 1e-2, batch: int = 256, seed: int = 7, clip: float = 1.0, schedule: Callable[[int], float] | None = None, score: Callable[[dict], float] | None = None, patience: int = 2, checkpoint: Callable[[int, dict, float], None] | None = None, room: Room | None = None, uses: int = 1) -> tuple[dict[str, np.ndarray], list[float]]:
     """Weights of ``model`` (``start()``, ``loss(nodes, frame, epoch)`` and, optionally, ``frozen(epoch)`` and ``tables``, the names of weights
     that ``loss`` reads by :func:`take` only) and the mean loss of each epoch.
 
@@ -493,19 +525,37 @@ def train(model, rows: DataFrame, epochs: int, rate: float = 1e-2, batch: int =
     training stops after ``patience`` epochs without a better one. ``checkpoint`` gets each epoch's number, weights and loss. Weights must fit
     on the driver, twice, and once in each task. Rows are settled and given to as many tasks as there are cores or partitions, but where they
     are few, to fewer, so that a task has twenty batches. Without rows the start weights come back. Runs a job per epoch.
+
+    With a ``room`` (``start`` takes it) tables are mapped files: driver and tasks hold the rows in use only, as single precision. Tasks leave
+    their changes of tables in files, which other tasks sum by ranges of rows, after every wave of twice as many tasks as there are cores. A row
+    reads about ``uses`` rows of a table, by which there are so many tasks that each holds at most about ``HELD`` bytes.
     """
     spark, rows = rows.sparkSession, settle(rows)
-    parts, most = rows.rdd.getNumPartitions(), max(1, rows.count() // (20 * batch))
-    tasks = min(most, max(parts, spark.sparkContext.defaultParallelism))
-    rows = rows.coalesce(tasks) if tasks <= parts else rows.repartition(tasks)
-    weights, losses, best, kept, stale = model.start(), [], -np.inf, None, 0
+    parts, count = rows.rdd.getNumPartitions(), rows.count()
+    cores, most = spark.sparkContext.defaultParallelism, max(1, count // (20 * batch))
+    tasks = min(most, max(parts, cores))
+    weights, losses, best, kept, stale = model.start() if room is None else model.start(room), [], -np.inf, None, 0
     sizes = {k: int(np.prod(v.shape[1:])) for k, v in weights.items()}
+    if room is not None:
+        longest = max(len(weights[k]) for k in model.tables)
+        row = sum(3 * 4 * sizes[k] * len(weights[k]) // longest for k in model.tables)  # weights and two moments
+        if longest * row > HELD:
+            tasks = min(most, max(tasks, -(-count * uses * row // HELD)))
+        tasks -= tasks % cores if tasks > cores else 0
+        rows = settle(rows.repartition(tasks))
+        release(spark)
+    else:
+        rows = rows.coalesce(tasks) if tasks <= parts else rows.repartition(tasks)
     for epoch in range(epochs):
         frozen = model.frozen(epoch) if hasattr(model, "frozen") else frozenset()
         shared = spark.sparkContext.broadcast((model, weights, epoch, frozen))
-        changes = rows.mapInPandas(_epoch(shared, rate * (schedule(epoch) if schedule else 1.0), batch, seed, clip), MESSAGE)
-        seen, loss, total = 0, 0.0, {}
-        for part in changes.groupBy("name", "block").applyInPandas(_sum(sizes), MESSAGE).toLocalIterator(prefetchPartitions=True):  # a block at a time
+        kernel = _epoch(shared, rate * (schedule(epoch) if schedule else 1.0), batch, seed, clip, room and room.folder)
+        seen, loss, total, moved = 0, 0.0, {}, {}
+        if room is None:
+            sums = rows.mapInPandas(kernel, MESSAGE).groupBy("name", "block").applyInPandas(_sum(sizes), MESSAGE).toLocalIterator(prefetchPartitions=True)  # a block at a time
+        else:
+            moved, sums = _waves(room, rows, kernel, tasks, 2 * cores, weights, sizes, count)
+        for part in sums:
             if not part["name"]:
                 seen, loss = part["rows"], part["loss"]
                 continue
@@ -517,7 +567,11 @@ def train(model, rows: DataFrame, epochs: int, rate: float = 1e-2, batch: int =
         shared.destroy()
         if not seen:
             break
-        weights = {k: _moved(v, total[k], seen) if k in total else v for k, v in weights.items()}
+        old, weights = weights, {k: moved[k] if k in moved else _moved(v, total[k], seen) if k in total else v for k, v in weights.items()}
+        for k in moved:
+            if kept is None or old[k] is not kept[k]:
+                discard(old[k])
+        del old
         losses.append(loss / seen)
         if checkpoint:
             checkpoint(epoch, weights, losses[-1])
@@ -531,6 +585,72 @@ def train(model, rows: DataFrame, epochs: int, rate: float = 1e-2, batch: int =
     return (kept if kept is not None else weights), losses
 
 
+def _waves(room: Room, rows: DataFrame, kernel, tasks: int, wave: int, weights: dict[str, np.ndarray], sizes: dict[str, int], count: int) -> tuple[dict[str, np.ndarray], Iterator[pd.Series]]:
+    """An epoch over all ``tasks`` partitions, ``wave`` of them at a time: the tables after it, and the summed changes of the other weights."""
+    messages, sums = [], {}
+    for begin in range(0, tasks, wave):
+        last = begin + wave >= tasks
+        some = rows.filter(F.spark_partition_id().between(begin, begin + wave - 1)) if tasks > wave else rows
+        found = some.mapInPandas(kernel, MESSAGE).collect()
+        messages += [m for m in found if m["block"] != FILED]
+        filed: dict[str, list[tuple[int, int, str]]] = {k: [] for k in sums}
+        for m in found:
+            if m["block"] == FILED:
+                filed.setdefault(m["name"], []).append((m["task"], m["rows"], m["ids"].decode()))
+        jobs = []
+        for name, files in filed.items():
+            out = room.array(weights[name].shape)
+            jobs.append((sorted(files), sums.get(name), weights[name] if last else None, out))
+        if jobs:
+            _add_ranges(rows.sparkSession, jobs, count)
+        for files, before, _, _ in jobs:
+            for _, _, path in files:
+                os.unlink(f"{path}.ids")
+                os.unlink(f"{path}.delta")
+            if before is not None:
+                discard(before)
+        sums = {name: job[3] for name, job in zip(filed, jobs, strict=True)}
+        jobs = before = None  # else the disk of removed files stays in use
+    frame = pd.DataFrame([m.asDict() for m in messages], columns=[c.split()[0] for c in MESSAGE.split(", ")])
+    return sums, (_sum(sizes)(part).iloc[0] for _, part in frame.groupby(["name", "block"]))
+
+
+def _add_ranges(spark: SparkSession, jobs: list[tuple], count: int) -> None:
+    """Per table: what was summed before and the tasks' changes in files, each times the task's rows and in the order of the tasks; where there
+    are weights, these plus the sum's mean. Tasks write ranges of rows of a new file, so one that runs again writes the same."""
+    step = 1 << 16
+    ranges = [(j, i) for j, job in enumerate(jobs) for i in range(0, len(job[3]), step)]
+    for job in jobs:
+        job[3].flush()
+    shared = spark.sparkContext.broadcast((ranges, [(*job[:3], str(job[3].filename), job[3].shape) for job in jobs]))
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ranges, jobs = shared.value
+        for frame in batches:
+            for at in frame["id"].tolist():
+                job, begin = ranges[at]
+                files, before, weights, path, shape = jobs[job]
+                end = min(begin + step, shape[0])
+                total = np.zeros((end - begin, shape[1])) if before is None else np.array(before[begin:end], dtype=np.float64)
+                for _, n, name in files:
+                    if not os.path.getsize(f"{name}.ids"):
+                        continue
+                    ids = np.memmap(f"{name}.ids", dtype=np.int64, mode="r")
+                    i, j = np.searchsorted(ids, (begin, end)).tolist()
+                    if j > i:
+                        total[ids[i:j] - begin] += n * np.fromfile(f"{name}.delta", dtype=np.float32, count=(j - i) * shape[1], offset=i * shape[1] * 4).astype(np.float64).reshape(j - i, -1)
+                if weights is not None:
+                    total = weights[begin:end] + total / count
+                out = Mapped(path, dtype=np.float32, mode="r+", shape=shape)
+                out[begin:end] = total
+                out.flush()
+        yield pd.DataFrame({"n": [1]})
+
+    parts = max(1, min(len(ranges), 2 * spark.sparkContext.defaultParallelism))
+    spark.range(0, len(ranges), 1, parts).mapInPandas(kernel, "n long").collect()
+    shared.destroy()
+
+
 def _moved(start: np.ndarray, total: np.ndarray, rows: int) -> np.ndarray:
     total /= rows
     total += start

@@ -7,7 +7,7 @@ of these sizes is trained on all rows without gathering them.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,9 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.operators.gradients import Node, train
+from tideline.operators.mapped import Mapped, Room, room_for, rows_of
 from tideline.operators.towers import CodeDecoder, FusionHead, SelfAttention, Towers, padded
-from tideline.operators.vectors import Nearest
-from tideline.session import settle, spread
+from tideline.operators.vectors import Nearest, place_of
+from tideline.session import release, settle, spread
 
 #: Stands for null where items are looked up.
 NO_ITEM = -(1 << 63)
@@ -207,6 +208,12 @@ class Fitted:
     weights: dict[str, np.ndarray]
     ids: np.ndarray
     losses: list[float]
+    room: Room | None = None
+
+    def discard(self) -> None:
+        """Remove the files of mapped tables, after which the model isn't of use any more."""
+        if self.room is not None:
+            self.room.remove()
 
 
 def catalogue(items: DataFrame, max_items: int = 2_000_000) -> np.ndarray:
@@ -270,10 +277,11 @@ def _placed(shared, kinds: list[tuple[str, type]]):
     return kernel
 
 
-def _item_arrays(features: DataFrame, ids: np.ndarray) -> dict[str, np.ndarray]:
+def _item_arrays(features: DataFrame, ids: np.ndarray, place: Callable[[dict[str, int]], Room | None] = lambda widths: None) -> dict[str, np.ndarray]:
     """Rows of ``item_id`` and of any of ``categories``, ``numbers`` and ``known`` (arrays) by number; zeros where an item has none.
 
-    Tasks look the items up and pack what is known into blocks, which the driver takes one at a time into tables of the catalogue's size.
+    Tasks look the items up and pack what is known into blocks, which the driver takes one at a time into tables of the catalogue's size, in the
+    room that ``place`` gives for the arrays' widths.
     """
     single = dict(features.dtypes).get("known") == "array<float>"
     kinds = [(name, kind) for name, kind in (("categories", np.int64), ("numbers", np.float64), ("known", np.float32 if single else np.float64)) if name in features.columns]
@@ -281,10 +289,11 @@ def _item_arrays(features: DataFrame, ids: np.ndarray) -> dict[str, np.ndarray]:
     shared = features.sparkSession.sparkContext.broadcast(ids)
     found = settle(rows.mapInArrow(_placed(shared, kinds), "name string, width long, at binary, value binary"))
     widths = dict(found.groupBy("name").agg(F.max("width")).collect())
-    out = {name: np.zeros((len(ids) + 1, widths.get(name, 0)), dtype=kind) for name, kind in kinds}
+    room = place(widths)
+    out = {name: rows_of(room, (len(ids) + 1, widths.get(name, 0)), kind) for name, kind in kinds}
     for part in found.toLocalIterator():
         at = np.frombuffer(part["at"], dtype=np.int64)
-        out[part["name"]][at] = np.frombuffer(part["value"], dtype=out[part["name"]].dtype).reshape(len(at), part["width"])
+        out[part["name"]][at] = np.frombuffer(part["value"], dtype=dict(kinds)[part["name"]]).reshape(len(at), part["width"])
     shared.destroy()
     return out
 
@@ -293,20 +302,31 @@ def train_towers(samples: DataFrame, items: DataFrame, width: int = 16, epochs:
     """A :class:`towers.Towers` model trained on ``samples`` (``sample_id, history, types, buckets, target, target_type, ts``).
 
     ``items`` (``item_id``) are the catalogue; samples with another target don't count. ``features`` has a row per item (see
-    :class:`towers.Towers`), ``negatives`` (``sample_id, aid``) are hard negatives, whose share of the loss is ``hard`` by epoch. The weights,
-    a row per item, and the features are held by the driver and by each task. ``control`` goes to :func:`gradients.train`.
+    :class:`towers.Towers`), ``negatives`` (``sample_id, aid``, or lists ``sample_id, negatives``) are hard negatives, whose share of the loss is ``hard`` by epoch. The weights,
+    a row per item, and the features are held by the driver and by each task, or mapped from files of the shared folder where they are large (see
+    :mod:`mapped`), which stay there until :meth:`Fitted.discard` or the driver's end. ``control`` goes to :func:`gradients.train`.
     """
-    ids = catalogue(items, max_items)
+    ids, most = catalogue(items, max_items), 0
     rows = samples.select("sample_id", "history", "types", "buckets", "target", "target_type", "ts")
     if negatives is not None:
-        lists = settle(negatives.groupBy("sample_id").agg(F.collect_list("aid").alias("negatives")))
+        lists = settle(negatives if "negatives" in negatives.columns else negatives.groupBy("sample_id").agg(F.collect_list("aid").alias("negatives")))
         most = lists.agg(F.max(F.size("negatives"))).first()[0] or 0
         rows = rows.join(lists, "sample_id", "left").withColumn("negatives", F.coalesce("negatives", F.array().cast("array<long>")))
         rows = rows.withColumn("negatives", F.concat("negatives", F.array_repeat(F.lit(None).cast("long"), F.lit(most) - F.size("negatives"))))
     rows = numbered(rows, ids, ("history", "negatives") if negatives is not None else ("history",), ("target",)).filter("target > 0").drop("sample_id")
-    model = Towers(len(ids), width, length, hard=hard if negatives is not None else (0.0,), seed=seed, **(_item_arrays(features, ids) if features is not None else {}))
-    weights, losses = train(model, rows, epochs, rate, batch, seed, **control)
-    return Fitted(model, weights, ids, losses)
+    release(samples.sparkSession)
+    rows = rows.withColumns({c: F.col(c).cast("array<int>") for c in ("history", "negatives") if c in rows.columns})  # settled, so kept small
+    room = room_for(samples.sparkSession, 8 * (len(ids) + 1) * width)
+
+    def place(widths: dict[str, int]) -> Room | None:
+        nonlocal room
+        room = room or room_for(samples.sparkSession, 8 * (len(ids) + 1) * (width + widths.get("known", 0)))
+        return room
+
+    arrays = _item_arrays(features, ids, place) if features is not None else {}
+    model = Towers(len(ids), width, length, hard=hard if negatives is not None else (0.0,), seed=seed, **arrays)
+    weights, losses = train(model, rows, epochs, rate, batch, seed, room=room, uses=most + 8, **control)
+    return Fitted(model, weights, ids, losses, room)
 
 
 def vector_rows(spark: SparkSession, ids: np.ndarray, vectors: np.ndarray) -> DataFrame:
@@ -320,7 +340,7 @@ def vector_rows(spark: SparkSession, ids: np.ndarray, vectors: np.ndarray) -> Da
         for batch in batches:
             for i in (batch.column(0).to_numpy() * block).tolist():
                 part = x[i : i + block]
-                yield pa.RecordBatch.from_arrays([pa.array(known[i : i + block]), pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * x.shape[1], part.ravel())], names=["item_id", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(known[i : i + block]), pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * x.shape[1], np.asarray(part).ravel())], names=["item_id", "vector"])
 
     blocks = -(-len(ids) // block)
     return spark.range(0, blocks, 1, min(blocks, spark.sparkContext.defaultParallelism)).mapInArrow(kernel, "item_id long, vector array<double>")
@@ -328,7 +348,7 @@ def vector_rows(spark: SparkSession, ids: np.ndarray, vectors: np.ndarray) -> Da
 
 def tower_items(spark: SparkSession, fitted: Fitted) -> DataFrame:
     """``item_id, vector`` of the item tower."""
-    return vector_rows(spark, fitted.ids, fitted.model.all_vectors(fitted.weights) if len(fitted.ids) else np.zeros((0, 1)))
+    return vector_rows(spark, fitted.ids, _all_vectors(spark, fitted) if len(fitted.ids) else np.zeros((0, 1)))
 
 
 def _users(model, nodes: dict[str, Node], frame: pd.DataFrame, step: int) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
@@ -368,7 +388,7 @@ def recall_towers(samples: DataFrame, fitted: Fitted, n: int = 300) -> DataFrame
     if not len(fitted.ids):
         return samples.sparkSession.createDataFrame([], schema)
     rows = spread(numbered(samples.select("sample_id", "history", "types", "buckets"), fitted.ids, ("history",)))
-    shared = samples.sparkSession.sparkContext.broadcast((fitted.model, _user_weights(fitted), fitted.ids, fitted.model.all_vectors(fitted.weights)))
+    shared = samples.sparkSession.sparkContext.broadcast((fitted.model, _user_weights(fitted), fitted.ids, _all_vectors(samples.sparkSession, fitted)))
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, weights, ids, x = shared.value
@@ -383,6 +403,57 @@ def recall_towers(samples: DataFrame, fitted: Fitted, n: int = 300) -> DataFrame
     return rows.mapInPandas(kernel, schema)
 
 
+def _all_vectors(spark: SparkSession, fitted: Fitted) -> np.ndarray:
+    """``[items, width]``: the item tower's vectors; of mapped tables mapped too, and made in tasks."""
+    if not isinstance(fitted.weights["item"], Mapped):
+        return fitted.model.all_vectors(fitted.weights)
+    out, step = fitted.room.array((len(fitted.ids), fitted.model.width), np.float64), 8192
+    out.flush()
+    shared = spark.sparkContext.broadcast((fitted.model, fitted.weights, str(out.filename), out.shape))
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, weights, path, shape = shared.value
+        nodes, x = {k: Node(v) for k, v in weights.items()}, Mapped(path, dtype=np.float64, mode="r+", shape=shape)
+        for frame in batches:
+            for i in (frame["id"].to_numpy() * step).tolist():
+                x[i : i + step] = model.vectors(nodes, np.arange(i + 1, min(i + step, len(x)) + 1)).value
+        x.flush()
+        yield pd.DataFrame({"n": [1]})
+
+    blocks = -(-len(out) // step)
+    spark.range(0, blocks, 1, min(blocks, 2 * spark.sparkContext.defaultParallelism)).mapInPandas(kernel, "n long").collect()
+    shared.destroy()
+    return out
+
+
+def target_ranks(samples: DataFrame, fitted: Fitted, n: int) -> DataFrame:
+    """``rank`` of each sample: the place of ``target`` among the items as :func:`recall_towers` orders them; null beyond ``n``, for an unknown
+    target and for a history without a known item.
+
+    Items are met in blocks. A sample leaves once ``n`` items are surely nearer than its target, which single precision says but for a margin;
+    items within the margin are compared exactly.
+    """
+    spark = samples.sparkSession
+    if not len(fitted.ids):
+        return samples.select(F.lit(None).cast("long").alias("rank"))
+    rows = numbered(samples.select("history", "types", "buckets", "target"), fitted.ids, ("history",), ("target",))
+    rows = rows.repartition(max(rows.rdd.getNumPartitions(), 2 * spark.sparkContext.defaultParallelism))
+    shared = spark.sparkContext.broadcast((fitted.model, _user_weights(fitted), _all_vectors(spark, fitted)))
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, weights, x = shared.value
+        nodes = {k: Node(v) for k, v in weights.items()}
+        for frame in batches:
+            for part, known, users in _users(model, nodes, frame, 1024):
+                target, rank = part["target"].to_numpy(dtype=np.int64), np.zeros(len(part), dtype=np.int64)
+                asked = np.flatnonzero(known & (target > 0))
+                if len(asked):
+                    rank[asked] = place_of(x, users[asked], target[asked] - 1, n)
+                yield pd.DataFrame({"rank": pd.array([int(r) if r else None for r in rank], dtype="Int64")})
+
+    return rows.mapInPandas(kernel, "rank long")
+
+
 def train_fusion(rows: DataFrame, kind: str, probabilities: list[str], context: list[str], label: str = "label", epochs: int = 5, rate: float = 0.02, batch: int = 1024, seed: int = 7, **control) -> tuple[FusionHead, dict[str, np.ndarray], list[float]]:
     """A fusion head (:class:`towers.FusionHead`) trained on the logits of the probabilities and the context columns (nulls as 0)."""
     head = FusionHead(kind, len(context), seed=seed)

@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 
 from tideline.operators.gradients import Node, attention, binary_entropy, concat, cross_entropy, curve, feed, gelu, layer_norm, node, relu, shares, softmax, softplus, stack, take, total, unit
+from tideline.operators.mapped import Room, rows_of
 
 #: Weights of targets that are clicks, carts and orders.
 ACTION_WEIGHTS = np.sqrt(np.array([1.0, 3.0, 6.0]))
@@ -40,8 +41,10 @@ def _normal(rng: np.random.Generator, *shape: int, scale: float | None = None) -
     return rng.normal(0, scale if scale is not None else np.sqrt(1 / shape[-2]), shape)
 
 
-def _table(rng: np.random.Generator, rows: int, width: int) -> np.ndarray:
-    out = _normal(rng, rows, width, scale=0.1)
+def _table(rng: np.random.Generator, rows: int, width: int, room: Room | None = None) -> np.ndarray:
+    out = rows_of(room, (rows, width))
+    for i in range(0, rows, 8192):  # the same numbers as at once
+        out[i : i + 8192] = rng.normal(0, 0.1, (min(8192, rows - i), width))
     out[0] = 0
     return out
 
@@ -112,21 +115,24 @@ class Towers:
     known: np.ndarray | None = None
     seed: int = 7
 
-    def start(self) -> dict[str, np.ndarray]:
+    def start(self, room: Room | None = None) -> dict[str, np.ndarray]:
+        """The first weights; the ``tables`` among them in a room, if there is one."""
         rng, w = np.random.default_rng(self.seed), self.width
-        p = {"item": _table(rng, self.items + 1, w), "type": _table(rng, 4, w), "time": _table(rng, 34, w), "out": np.eye(w), "out_b": np.zeros(w)}
+        p = {"item": _table(rng, self.items + 1, w, room), "type": _table(rng, 4, w), "time": _table(rng, 34, w), "out": np.eye(w), "out_b": np.zeros(w)}
         p |= gru_start(rng, "gru", w, w)
         wide = 0
         if self.categories is not None:
             for k in range(self.categories.shape[1]):
-                p[f"cat{k}"] = _table(rng, int(self.categories[:, k].max(initial=0)) + 1, w)
+                p[f"cat{k}"] = _table(rng, int(self.categories[:, k].max(initial=0)) + 1, w, room)
             wide += w
         if self.numbers is not None:
             p |= {"stat": _normal(rng, self.numbers.shape[1], w), "stat_b": np.zeros(w)}
             wide += w
         if self.known is not None:
-            p |= {"known": self.known.astype(np.float64).copy(), "known_w": _normal(rng, self.known.shape[1], w)}
+            p |= {"known": self.known if room else self.known.astype(np.float64).copy(), "known_w": _normal(rng, self.known.shape[1], w)}
             wide += w
+            if room:  # the weight is the only one that needs the file
+                self.known = self.known[:0]
         if wide:
             p |= {"mix": _normal(rng, wide + w, w), "mix_b": np.zeros(w), "mix_g": np.ones(w), "mix_o": np.zeros(w)}
         return p
@@ -155,13 +161,13 @@ class Towers:
         own = take(p["item"], flat)
         parts = [own]
         if self.categories is not None:
-            tables = [take(p[f"cat{k}"], self.categories[flat, k]) for k in range(self.categories.shape[1])]
+            tables = [take(p[f"cat{k}"], np.asarray(self.categories[flat, k])) for k in range(self.categories.shape[1])]
             added = tables[0]
             for t in tables[1:]:
                 added = added + t
             parts.append(added)
         if self.numbers is not None:
-            parts.append(gelu(node(self.numbers[flat]) @ p["stat"] + p["stat_b"]))
+            parts.append(gelu(node(np.asarray(self.numbers[flat], dtype=np.float64)) @ p["stat"] + p["stat_b"]))
         if self.known is not None:
             parts.append(take(p["known"], flat) @ p["known_w"])
         if len(parts) > 1:
@@ -186,7 +192,7 @@ class Towers:
     def all_vectors(self, weights: dict[str, np.ndarray]) -> np.ndarray:
         """``[items, width]``, of the items from 1."""
         p = {k: Node(v) for k, v in weights.items()}
-        return np.concatenate([self.vectors(p, np.arange(i, min(i + 8192, self.items + 1))).value for i in range(1, self.items + 1, 8192)])
+        return np.concatenate([self.vectors(p, np.arange(i, min(i + 8192, self.items + 1))).value for i in range(1, self.items + 1, 8192)]) if self.items else np.zeros((0, self.width))
 
 
 @dataclass

@@ -64,6 +64,28 @@ class Nearest:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def place_of(x: np.ndarray, queries: np.ndarray, row: np.ndarray, k: int, block: int = 8192) -> np.ndarray:
+    """Place (from 1) of a row of ``x`` for each of the queries in the order of :class:`Nearest`; 0 beyond ``k``. ``x`` is read in blocks."""
+    q = Nearest._scaled(np.asarray(queries, dtype=np.float64))
+    own = np.round(np.einsum("id,id->i", q, Nearest._scaled(np.asarray(x[row], dtype=np.float64))), 9)
+    single, ahead, left = q.astype(np.float32), np.zeros(len(q), dtype=np.int64), np.arange(len(q))
+    margin = 4e-7 * (x.shape[1] + 8) + 2e-9
+    for i in range(0, len(x), block):
+        part = Nearest._scaled(np.asarray(x[i : i + block], dtype=np.float64))
+        near = single[left] @ np.ascontiguousarray(part.astype(np.float32).T)
+        at = own[left, None].astype(np.float32)
+        above = near > at + np.float32(margin)
+        ahead[left] += np.count_nonzero(above, axis=1)
+        r, c = np.nonzero((near >= at - np.float32(margin)) & ~above)
+        score = np.round(np.einsum("id,id->i", q[left[r]], part[c]), 9)
+        first = (score > own[left[r]]) | ((score == own[left[r]]) & (c + i < row[left[r]]))
+        np.add.at(ahead, left[r[first]], 1)
+        left = left[ahead[left] < k]
+        if not len(left):
+            break
+    return np.where(ahead < k, ahead + 1, 0)
+
+
 def _top(k: int, same: bool):
     def kernel(catalogue: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if catalogue.empty or queries.empty:

@@ -14,7 +14,7 @@ from tideline.operators.events import typed_events
 from tideline.plans.events import _FS, rounded
 from tideline.plans.recall import ROUTE_NAMES, candidates, labels
 from tideline.plans.registry import Registry
-from tideline.session import read_table, settle
+from tideline.session import read_table, release, settle
 
 query = Registry()
 
@@ -96,23 +96,27 @@ def negative_pools(spark: SparkSession, folder: str) -> DataFrame:
     return fusion.round_robin(fusion.negative_pools(ranked_routes(spark, folder)), blocked_items(spark, folder), 96)
 
 
-def _negatives(spark: SparkSession, folder: str) -> DataFrame:
+def _negatives(spark: SparkSession, folder: str, only: DataFrame | None = None) -> DataFrame:
+    """``sample_id, negatives`` of the validation samples, or of the sessions in ``only``."""
     counts = typed_events(read_table(spark, folder, "events_all")).groupBy("aid").agg(F.count(F.lit(1)).alias("n"))
-    samples = read_table(spark, folder, "validation_samples").select(F.col("session").alias("sample_id")).distinct()
-    return fusion.hard_negatives(ranked_routes(spark, folder), blocked_items(spark, folder), counts, samples)
+    samples = (read_table(spark, folder, "validation_samples") if only is None else only).select(F.col("session").alias("sample_id")).distinct()
+    routes, blocked = ranked_routes(spark, folder), blocked_items(spark, folder)
+    if only is not None:
+        routes, blocked = (df.join(samples, "sample_id", "left_semi") for df in (routes, blocked))
+    return fusion.negative_lists(routes, blocked, counts, samples)
 
 
 @query("SELECT count(DISTINCT session) AS samples, 0::BIGINT AS blocked, true AS full, true AS distinct_items FROM validation_samples")
 def hard_negatives_drawn(spark: SparkSession, folder: str) -> DataFrame:
     """That every sample gets 96 different hard negatives, none of them blocked."""
-    found = settle(_negatives(spark, folder))
+    found = settle(_negatives(spark, folder).select("sample_id", F.explode("negatives").alias("aid")))
     per = found.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("aid").alias("d"))
     wrong = found.join(blocked_items(spark, folder), ["sample_id", "aid"]).count()
     return per.agg(F.count(F.lit(1)).alias("samples"), F.lit(wrong).cast("long").alias("blocked"), F.bool_and(F.col("n") == 96).alias("full"), F.bool_and(F.col("n") == F.col("d")).alias("distinct_items"))
 
 
 def _wide(spark: SparkSession, folder: str, samples: DataFrame, catalogue: DataFrame, epochs: int) -> models.Fitted:
-    negatives = _negatives(spark, folder).select("sample_id", "aid")
+    negatives = _negatives(spark, folder, samples)
     rows = samples.withColumn("sample_id", F.col("session"))
     return models.train_towers(rows, catalogue, epochs=epochs, features=item_features(spark, folder), negatives=negatives, hard=(0.0, 0.25, 0.5))
 
@@ -154,12 +158,13 @@ def two_tower_eval(spark: SparkSession, folder: str) -> DataFrame:
     samples = settle(next_items(spark, folder))
     train, test = _held_out(samples)
     items = _items(samples).unionByName(typed_events(read_table(spark, folder, "events_all")).select(F.col("aid").alias("item_id")))
-    plain, out = models.train_towers(train, items, epochs=8, rate=0.02), None
-    wide = _wide(spark, folder, train, items, 8)
-    asked = test.withColumn("sample_id", F.col("session"))
-    for name, fitted in (("towers", plain), ("towers with features", wide)):
-        found = models.recall_towers(asked, fitted, 200)
-        ranks = asked.select("sample_id", F.col("target").alias("aid")).join(found, ["sample_id", "aid"], "left").select(F.col("source_rank").alias("rank"))
+    asked, out = test.withColumn("sample_id", F.col("session")), None
+    for name, fit in (("towers", lambda: models.train_towers(train, items, epochs=8, rate=0.02)), ("towers with features", lambda: _wide(spark, folder, train, items, 8))):
+        fitted = fit()
+        ranks = settle(models.target_ranks(asked, fitted, 200))
+        fitted.discard()
+        del fitted
+        release(spark)
         one = metrics.list_metrics(ranks, [20, 200]).select(F.lit(name).alias("model"), "k", "hit_rate")
         out = one if out is None else out.unionByName(one)
     frequent = indexes.popularity(_items(train).withColumnRenamed("item_id", "aid"), 200).select(F.col("aid").alias("target"), "rank")

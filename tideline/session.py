@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -57,6 +58,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove shuffle and checkpoint files that nothing refers to any more; it does so when the driver collects garbage, which may be late."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One table of a data folder, ``<folder>/<name>.parquet``."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
